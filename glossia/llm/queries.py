@@ -20,8 +20,16 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossia.llm import bpe
+
+    docs = table(spark, sf_dir, "documents")
+    return bpe.encoded(docs, bpe.default_vocabulary(), keep=["doc_id"], ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op4_bpe_encoding": op4_bpe_encoding,
 }
 
 #: None of the ten but the rollups can be said in SQL on whole tables; see tests/llm.
