@@ -20,6 +20,18 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossia.llm import warc
+
+    return warc.archived(spark, table(spark, sf_dir, "pages"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossia.llm import langid
+
+    return langid.identified(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glossia.llm import bpe
 
@@ -29,6 +41,8 @@ def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_warc_archives": op2_warc_archives,
+    "op3_language_id": op3_language_id,
     "op4_bpe_encoding": op4_bpe_encoding,
 }
 
