@@ -39,11 +39,25 @@ def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(docs, bpe.default_vocabulary(), keep=["doc_id"], ids=False)
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossia.llm import decontam
+
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossia.llm import sketch
+
+    return sketch.edited(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_warc_archives": op2_warc_archives,
     "op3_language_id": op3_language_id,
     "op4_bpe_encoding": op4_bpe_encoding,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_bottom_k_fingerprints": op6_bottom_k_fingerprints,
 }
 
 #: None of the ten but the rollups can be said in SQL on whole tables; see tests/llm.
