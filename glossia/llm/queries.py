@@ -77,6 +77,12 @@ def op8_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.shard(table(spark, sf_dir, "documents"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossia.llm import pii
+
+    return pii.found(table(spark, sf_dir, "documents"))
+
+
 def op10_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glossia.llm import packing
 
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bottom_k_fingerprints": op6_bottom_k_fingerprints,
     "op7_token_count_rollups": op7_token_count_rollups,
     "op8_kd_tree_shards": op8_kd_tree_shards,
+    "op9_personal_data": op9_personal_data,
     "op10_token_packing": op10_token_packing,
 }
 
