@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossia.operators import extract, markup
+from glossia.sources.shared import saved
 
 DICT = "dict"
 
@@ -63,7 +64,9 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markup records of the parts: ordinary ones, some of the second layout, some broken."""
     broken = "concat('<p>no entry ', p_partkey, '</p>')"
     content = f"case p_partkey % 50 when 49 then {broken} when 48 then {_SUPPLEMENT} else {_RECORD} end"
-    return table(spark, sf_dir, "part").select(
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    parts = parts.repartition(spark.sparkContext.defaultParallelism, "p_partkey")  # a small table has one split; parsing is the work
+    return parts.select(
         (F.col("p_partkey") + 1).alias("record_number"), F.concat(F.lit("Part "), F.col("p_partkey")).alias("key"), F.expr(content).alias("content")
     )
 
@@ -80,7 +83,8 @@ def redirect_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.placed(markup.markup_nodes(records(spark, sf_dir)))
+    """The node table, parsed and dealt by record once: every branch of a plan reads what was written."""
+    return saved(extract.placed(markup.markup_nodes(records(spark, sf_dir))), "nodes")
 
 
 def media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from glossia.jobs import derived
 from glossia.jobs.derived import DICT, table
 from glossia.operators import audit, extract, index, markup, media, records, redirects
 from glossia.sources import files
+from glossia.sources.shared import saved
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -184,11 +185,11 @@ class Parsed:
         self.records = derived.records(spark, sf_dir)
         self.nodes = derived.nodes(spark, sf_dir)
         self.heads = extract.headwords(self.nodes, self.records)
-        self.panels = extract.panels(self.nodes)
+        self.panels = saved(extract.panels(self.nodes), "panels")
         self.local = extract.number_entries(self.panels).select("rec", "panel", F.col("local").cast("long").alias("local"))
 
     def senses(self) -> DataFrame:
-        return extract.senses(self.nodes, self.heads)
+        return saved(extract.senses(self.nodes, self.heads), "senses")
 
 
 def parsed(sql: str | None) -> Callable:

@@ -15,6 +15,7 @@ from glossia.functions import text
 from glossia.functions.windows import dedupe_first
 from glossia.operators.markup import ENTRY_PROFILE, Selectors, below, has, href, nearest, parent_has, pruned
 from glossia.schemas import BUCKETS, CHILD, EN_ZH, LABELS, NODE, PRON, SENSE, XREF
+from glossia.sources.shared import saved
 
 #: Class names of the records' layout.
 EMBEDDED = ("o-idiom", "o-phrasal", "o-relation-item")
@@ -385,13 +386,16 @@ def children(nodes: DataFrame, found: DataFrame, dict_id: str) -> DataFrame:
 
 
 def assemble(nodes: DataFrame, records: DataFrame, dict_id: str) -> DataFrame:
-    """The nested entries of all sound records, with ``rec, local``."""
-    heads = headwords(nodes, records)
-    accepted = panels(nodes)
+    """The nested entries of all sound records, with ``rec, local``.
+
+    What several parts of the plan need is written once: headwords, panels, senses.
+    """
+    heads = saved(headwords(nodes, records), "headwords")
+    accepted = saved(panels(nodes), "panels")
     bad = failures(nodes, records, accepted, dict_id)
     kinds = record_kinds(nodes, dict_id)
-    numbered = number_entries(accepted.join(bad, "rec", "left_anti"))
-    found = senses(nodes, heads)
+    numbered = saved(number_entries(accepted.join(bad, "rec", "left_anti")), "numbered")
+    found = saved(senses(nodes, heads), "senses")
     small = children(nodes, found, dict_id)
     of = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("at", "entry"))), lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)), lambda x: x["entry"])
     kids = small.groupBy("rec", "panel").agg(of("o-idiom").alias("idioms"), of("o-phrasal").alias("phrasal_verbs"), of("o-relation-item").alias("derivatives"), F.min_by("entry", "at").alias("phrase"))
