@@ -139,6 +139,9 @@ def group_sketches(docs: DataFrame, by: str, k: int = K, salts: int = 64) -> Dat
     """
     kind = dict(docs.dtypes)[by]
 
+    def frame(held: dict) -> pd.DataFrame:
+        return pd.DataFrame({"g": list(held), "sketch": [packed(v) for v in held.values()]}, dtype=object)
+
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict = {}
         for rows in batches:
@@ -146,15 +149,18 @@ def group_sketches(docs: DataFrame, by: str, k: int = K, salts: int = 64) -> Dat
                 group = None if pd.isna(group) else group
                 held[group] = merged(held.get(group, _EMPTY), sketch(text, k), k)
             if len(held) > 1000:  # bounded memory for many groups
-                yield pd.DataFrame({"g": list(held), "sketch": [packed(v) for v in held.values()]})
+                yield frame(held)
                 held = {}
-        yield pd.DataFrame({"g": list(held), "sketch": [packed(v) for v in held.values()]})
+        if held:
+            yield frame(held)
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         out = _EMPTY
         for text in rows["sketch"]:
             out = merged(out, unpacked(text), k)
-        return rows.iloc[:1].assign(sketch=packed(out), distinct_shingles=distinct(out, k))
+        first = {c: [rows[c].iloc[0]] for c in ("g", "salt")}
+        made = pd.DataFrame(first | {"sketch": [packed(out)], "distinct_shingles": [distinct(out, k)]}, dtype=object)
+        return made[["g", "sketch", "salt", "distinct_shingles"]]
 
     parts = docs.select(F.col(by).alias("g"), "text").mapInPandas(local, f"g {kind}, sketch string")
     salted = parts.withColumn("salt", F.pmod(F.xxhash64("sketch"), F.lit(salts)).cast("int"))
