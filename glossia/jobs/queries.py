@@ -91,7 +91,14 @@ def decode_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("e.entry_id", F.regexp_replace("e.headword", " é$", "").alias("headword"), F.col("e.labels")[0].alias("label"))
 
 
-@query()
+#: SQL for the CRC-32 of a list of bytes; ``k`` is a one-row table ``t`` with the 256 remainders.
+_CRC_TABLE = "t AS (SELECT list(c ORDER BY i) AS k FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, s: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i)))"
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, k[xor(c, x) % 256 + 1])))"
+_FILES = "d AS (SELECT 'doc_' || doc_id || '.mp3' AS name, hex(encode(CASE WHEN doc_id % 3 = 0 THEN 'ID3' ELSE '' END || coalesce(text, ''))) AS h FROM documents)"
+_BYTES = "list_transform(regexp_extract_all({h}, '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes"
+
+
+@query(f"WITH {_CRC_TABLE}, {_FILES}, b AS (SELECT name, {_BYTES.format(h='h')} FROM d) SELECT name, lower(printf('%08x', {_CRC})) AS crc FROM b, t")
 def crc32_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.media(spark, sf_dir).select("name", text.crc32_hex(F.col("content")).alias("crc"))
 
@@ -569,8 +576,7 @@ def duplicate_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Records with their offsets in an archive's unpacked bytes, and the blocks of 64 ids."""
     m = derived.media(spark, sf_dir).withColumn("n", F.octet_length("content").cast("long"))
-    w = Window.partitionBy("archive").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
-    at = m.select("archive", "position", "block_no", "n", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("offset"))
+    at = windows.sums_before(m.select("archive", "position", "block_no", "n"), "archive", ["position"], {"offset": "n"})
     blocks = m.groupBy("archive", "block_no").agg(F.sum("n").alias("size"), F.count("*").alias("packed_size"))
     return at, blocks
 
@@ -582,7 +588,9 @@ _PACKED = f"{_REFERENCES}, pos_ AS (SELECT archive, position, block_no, n, CAST(
 def next_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     at, _ = _packed(spark, sf_dir)
     total = at.groupBy("archive").agg(F.sum("n").alias("total"))
-    return media.next_offset(at.join(total, "archive"), F.col("total")).select("archive", "position", "end")
+    total = total.withColumnRenamed("archive", "_a")
+    sized = at.join(total, F.col("archive").eqNullSafe(F.col("_a"))).drop("_a")
+    return media.next_offset(sized, "total").select("archive", "position", "end")
 
 
 @query(f"WITH {_PACKED} SELECT archive, CAST(block_no AS INT) AS block_no, packed_start, start FROM y")
@@ -614,7 +622,7 @@ def verify_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.verify(derived.media(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {_CRC_TABLE}, {_FILES}, j AS (SELECT string_agg(h, '' ORDER BY name) AS h, count(*) AS files FROM d), b AS (SELECT files, {_BYTES.format(h='h')} FROM j) SELECT {_CRC} AS crc, len(bytes) AS bytes, files FROM b, t")
 def combined_crc32(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.combined_crc32(derived.media(spark, sf_dir))
 

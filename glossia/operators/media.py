@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossia.functions import text
-from glossia.functions.windows import dedupe_first
+from glossia.functions.windows import dedupe_first, ranged, sums_before
 
 #: Fixed value: where word audio stands in an archive.
 FOLDER = "\\audio\\word\\"
@@ -38,17 +38,20 @@ def missing(archive: DataFrame, references: DataFrame) -> DataFrame:
     return asked.join(stored.select("name"), "name", "left_anti").orderBy("name")
 
 
-def next_offset(index: DataFrame, total: Column, archive: str = "archive", order: str = "position", offset: str = "offset") -> DataFrame:
+def next_offset(index: DataFrame, total: str, archive: str = "archive", order: str = "position", offset: str = "offset") -> DataFrame:
     """``end`` of each packed record: the start of the next, or the total size. Before any filter."""
-    w = Window.partitionBy(archive).orderBy(order)
-    return index.withColumn("end", F.coalesce(F.lead(offset).over(w), total))
+    out = ranged(
+        index, archive, [order],
+        {"_next": lambda w: F.lead(offset).over(w)},
+        {"_first": lambda: F.min_by(offset, "_row")},
+        {"_then": lambda w: F.lead("_first").over(w)},
+    )
+    return out.select(*index.columns, F.coalesce("_next", "_then", total).alias("end"))
 
 
 def block_layout(blocks: DataFrame) -> DataFrame:
     """Start of each block in packed and unpacked bytes, by archive."""
-    w = Window.partitionBy("archive").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
-    start = lambda c: F.coalesce(F.sum(c).over(w), F.lit(0))
-    return blocks.withColumn("packed_start", start("packed_size")).withColumn("start", start("size"))
+    return sums_before(blocks, "archive", ["block_no"], {"packed_start": "packed_size", "start": "size"})
 
 
 def layout_errors(blocks: DataFrame, declared: DataFrame) -> DataFrame:
@@ -60,14 +63,23 @@ def layout_errors(blocks: DataFrame, declared: DataFrame) -> DataFrame:
 def locate(records: DataFrame, layout: DataFrame) -> DataFrame:
     """Block of each record: the last one that starts at or before its offset.
 
-    As-of by one sort: blocks and records are put in order of offset by archive, and
-    the last block before a record is carried forward. No block list is broadcast.
+    As-of by one sort: blocks and records are put in order of offset, in ranges of an
+    archive, and the last block before a record is carried forward, also from the
+    ranges before. No block list is broadcast. Many records at one offset are told
+    apart by a hash, so they make several ranges.
     """
-    starts = layout.select("archive", F.col("start").alias("_at"), F.lit(0).alias("_kind"), F.struct("block_no", "start").alias("_block"))
-    asked = records.select("archive", F.col("offset").alias("_at"), F.lit(1).alias("_kind"), F.struct(*records.columns).alias("_rec"))
-    w = Window.partitionBy("archive").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    block, rec = F.struct("block_no", "start"), F.struct(*records.columns)
+    starts = layout.select("archive", F.col("start").alias("_at"), F.lit(0).alias("_kind"), F.col("block_no").cast("long").alias("_tie"), block.alias("_block"))
+    asked = records.select("archive", F.col("offset").alias("_at"), F.lit(1).alias("_kind"), F.xxhash64(*records.columns).alias("_tie"), rec.alias("_rec"))
     both = starts.unionByName(asked, allowMissingColumns=True)
-    placed = both.withColumn("_block", F.last("_block", ignorenulls=True).over(w)).where("_kind = 1")
+    carried = lambda c: lambda w: F.last(c, ignorenulls=True).over(w)
+    out = ranged(
+        both, "archive", ["_at", "_kind", "_tie"],
+        {"_here": lambda w: carried("_block")(w.rowsBetween(Window.unboundedPreceding, 0))},
+        {"_newest": lambda: F.max_by("_block", F.when(F.col("_kind") == 0, F.col("_row")))},
+        {"_before": lambda w: carried("_newest")(w.rowsBetween(Window.unboundedPreceding, -1))},
+    )
+    placed = out.where("_kind = 1").withColumn("_block", F.coalesce("_here", "_before"))
     return placed.select("_rec.*", F.col("_block.block_no").alias("block_no"), (F.col("_at") - F.col("_block.start")).alias("inner"))
 
 
@@ -125,6 +137,8 @@ def crc_joined(first: int, second: int, second_length: int) -> int:
 def combined_crc32(media: DataFrame) -> DataFrame:
     """``crc, bytes, files``: the CRC-32 of all contents one after the other, by name.
 
+    Files of one name stand in order of their own CRC-32.
+
     Each range of names is folded where it lies; only (name, crc, length) are moved, and
     the partial results, one a partition, are folded in order on the driver.
     """
@@ -139,7 +153,7 @@ def combined_crc32(media: DataFrame) -> DataFrame:
             yield pd.DataFrame([(first, crc, size, files)], columns=["name", "crc", "bytes", "files"])
 
     narrow = media.select("name", F.crc32("content").alias("crc"), F.octet_length("content").cast("long").alias("length"))
-    parts = narrow.repartitionByRange("name").sortWithinPartitions("name").mapInPandas(fold, "name string, crc long, bytes long, files long")
+    parts = narrow.repartitionByRange("name").sortWithinPartitions("name", "crc", "length").mapInPandas(fold, "name string, crc long, bytes long, files long")
     crc = size = files = 0
     for r in sorted(parts.collect(), key=lambda r: r["name"]):
         crc, size, files = crc_joined(crc, r["crc"], r["bytes"]), size + r["bytes"], files + r["files"]

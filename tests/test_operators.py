@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from glossia.functions import text, windows
@@ -18,6 +19,14 @@ ENTRY = """<main class="dict-entry"><h1><span class="o-head-main"><span class="o
 </div></section></main>"""
 
 
+@pytest.fixture
+def uncoalesced(spark):
+    """Small ranges stay apart, as large ones do."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def parsed(spark, *contents):
     rows = spark.createDataFrame([(i + 7, f"key {i}", c) for i, c in enumerate(contents)], "record_number long, key string, content string")
     return rows, extract.placed(markup.markup_nodes(rows))
@@ -101,6 +110,32 @@ def test_media(spark):
     assert {(x.id, bytes(x.content)) for x in cut.collect()} == {(1, b"cdef"), (2, b"hi")}
 
 
+def test_packed_offsets_of_a_hot_archive(spark, uncoalesced):
+    """One archive with most rows is laid out in several ranges, as if in one."""
+    rng = random.Random(3)
+    rows = [(a, i, i // 16, rng.choice([0, 0, 1, 5, 90])) for a, n in (("hot", 3000), ("cold", 40), (None, 25), ("one", 1)) for i in range(n)]
+    files = spark.createDataFrame(rows, "archive string, position int, block_no int, n int").repartition(5)
+    dealt = windows.dealt(files, ["archive", "position"])
+    assert dealt.where("archive = 'hot'").select("_part").distinct().count() > 1
+    at, want, total = windows.sums_before(files, "archive", ["position"], {"offset": "n"}), {}, {}
+    for a, i, _, n in rows:
+        want[a, i] = total.get(a, 0)
+        total[a] = want[a, i] + n
+    assert {(r.archive, r.position): r.offset for r in at.collect()} == want
+    ends = media.next_offset(at.withColumn("total", F.lit(-1)), "total")
+    assert {(r.archive, r.position): r.end for r in ends.collect()} == {(a, i): want.get((a, i + 1), -1) for a, i in want}
+    blocks = files.groupBy("archive", "block_no").agg(F.sum("n").alias("size"), F.count("*").alias("packed_size"))
+    start = {}
+    for a, i, b, _ in rows:
+        start.setdefault((a, b), want[a, i])
+    layout = media.block_layout(blocks)
+    assert {(r.archive, r.block_no): r.start for r in layout.collect()} == start
+    for r in media.locate(at.select("archive", "position", "offset"), layout).collect():
+        block = max(b for (a, b), s in start.items() if a == r.archive and s <= r.offset)
+        assert (r.block_no, r.inner) == (block, r.offset - start[r.archive, block])
+    assert windows.sums_before(files.limit(0), "archive", ["position"], {"offset": "n"}).count() == 0
+
+
 def test_gate_and_contract(spark):
     totals = spark.createDataFrame([("entries", 8), ("orphans", 1)], "name string, value long")
     wanted = spark.createDataFrame([("entries", 8), ("records", 5)], "name string, expected long")
