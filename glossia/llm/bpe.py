@@ -82,12 +82,11 @@ class Encoder:
             self.bytes_of[i] = content.encode()
         if len(self.bytes_of) > 1 << 16:
             raise ValueError("ids are kept in 16 bits here")
+        self.size = list(map(len, self.bytes_of))
         self.pairs_of = [i.to_bytes(2, "little") for i in range(len(self.bytes_of))]
         self.text_table = Table(self.bytes_of)
         self.comma_table = Table([b"%d," % i for i in range(len(self.bytes_of))])
-        #: every suffix of a token -> the token's id, or -1 if it only ends longer ones
-        self.suffixes: dict[bytes, int] = {t[i:]: -1 for t in self.ids for i in range(len(t))} | self.ids
-        self.longest = max(map(len, self.ids))
+        self._read_tokens()
         self.merges: dict[tuple[int, int], int] = {}
         self.rank = [-1] * len(self.bytes_of)
         self.parts: list[tuple[int, int]] = [(-1, -1)] * len(self.bytes_of)
@@ -103,6 +102,37 @@ class Encoder:
         self.words: dict[str, bytes] = {c: self.pairs_of[i] for c, i in self.special.items()}
         self.pieces: dict[str, bytes] = {}
 
+    def _read_tokens(self) -> None:
+        """States that tell which tokens end at a byte: the longest suffix that starts a token.
+
+        ``steps``: state and byte to the state one longer, ``shorter``: the state of the
+        longest proper suffix, ``ends``: the tokens that end there, longest first.
+        """
+        steps: dict[int, int] = {}
+        own, depth, into = [-1], [0], [0]
+        for token, i in self.ids.items():
+            state = 0
+            for byte in token:
+                key = state << 8 | byte
+                state = steps.setdefault(key, len(own))
+                if state == len(own):
+                    own.append(-1)
+                    depth.append(depth[key >> 8] + 1)
+                    into.append(key)
+            own[state] = i
+        shorter = [0] * len(own)
+        ends: list[tuple[int, ...]] = [()] * len(own)
+        for state in sorted(range(1, len(own)), key=depth.__getitem__):
+            above, byte = into[state] >> 8, into[state] & 255
+            if above:
+                while above := shorter[above]:
+                    if (above << 8 | byte) in steps:
+                        break
+                shorter[state] = steps.get(above << 8 | byte, 0)
+            tail = ends[shorter[state]]
+            ends[state] = (own[state], *tail) if own[state] >= 0 else tail
+        self.steps, self.shorter, self.ends = steps, shorter, ends
+
     def _stable(self, left: int, right: int) -> bool:
         """Whether no merge ever crosses the border of two tokens that stand side by side.
 
@@ -126,36 +156,56 @@ class Encoder:
             else:
                 limit, right = of_right + 1, self.parts[right][0]
 
-    def _last(self, tail: bytes, last: list[int]) -> int:
-        """Last token of the prefix that ends with ``tail``, given those of all shorter ones."""
-        depth = len(last) + 1
-        get, known = self.suffixes.get, self.stable_pairs
-        found, length = [], 1
-        while length <= depth and (token := get(tail[-length:])) is not None:
-            if token >= 0:
-                found.append((token, length))
-            length += 1
-        for token, length in reversed(found):
-            if length == depth:
+    def _state(self, state: int, byte: int) -> int:
+        """The state after one more byte."""
+        get, shorter = self.steps.get, self.shorter
+        while (found := get(state << 8 | byte)) is None:
+            if not state:
+                raise ValueError("the vocabulary lacks a byte")
+            state = shorter[state]
+        return found
+
+    def _last(self, state: int, last: list[int]) -> int:
+        """Last token of the prefix that leads to ``state``, given those of all shorter ones."""
+        depth, size, known = len(last), self.size, self.stable_pairs
+        for token in self.ends[state]:
+            at = depth - size[token]
+            if at < 0:  # the whole prefix
                 return token
-            before = last[depth - length - 1]
-            key = before << 16 | token
+            key = last[at] << 16 | token
             stable = known.get(key)
             if stable is None:
-                stable = known[key] = self._stable(before, token)
+                stable = known[key] = self._stable(last[at], token)
             if stable:
                 return token
         raise ValueError("the vocabulary lacks a byte")
 
     def _along(self, last: list[int]) -> bytes:
-        ids, at, size = [], len(last), self.bytes_of
+        ids, at, size, pairs = [], len(last), self.size, self.pairs_of
         while at:
             token = last[at - 1]
-            ids.append(self.pairs_of[token])
-            at -= len(size[token])
+            ids.append(pairs[token])
+            at -= size[token]
         ids.reverse()
         return b"".join(ids)
 
+    @staticmethod
+    def _insert(root: dict, data: bytes, word: str) -> None:
+        """Put a word into the trie; what no other word shares stays one leaf ``(data, word)``."""
+        node, at = root, 0
+        while at < len(data):
+            byte = data[at]
+            at += 1
+            child = node.get(byte)
+            if child is None:
+                node[byte] = (data, word)
+                return
+            if type(child) is tuple:  # the leaf moves down by a byte
+                other = child[0]
+                child = node[byte] = {other[at]: child} if len(other) > at else {-1: child[1]}
+            node = child
+        node[-1] = word
+
     def _learn(self, words: set[str]) -> None:
         """Encode the words into ``self.words`` by one walk over their trie."""
         collects = gc.isenabled()
@@ -172,25 +222,29 @@ class Encoder:
             data = word.encode("utf-8", "surrogatepass")
             if len(data) > _LONG_WORD:  # a path of its own, without nodes
                 last: list[int] = []
-                for end in range(1, len(data) + 1):
-                    last.append(self._last(data[max(0, end - self.longest) : end], last))
+                state = 0
+                for byte in data:
+                    state = self._state(state, byte)
+                    last.append(self._last(state, last))
                 self.words[word] = self._along(last)
                 continue
-            node = root
-            for byte in data:
-                node = node.get(byte) or node.setdefault(byte, {})
-            node[-1] = word
-        path, last = bytearray(), []
+            self._insert(root, data, word)
+        last = []
         stack = [(root, 0, 0)]
         while stack:
-            node, depth, byte = stack.pop()
+            node, depth, state = stack.pop()
             if depth:
-                del path[depth - 1 :], last[depth - 1 :]
-                path.append(byte)
-                last.append(self._last(bytes(path[-self.longest :]), last))
+                del last[depth - 1 :]
+                last.append(self._last(state, last))
+            if type(node) is tuple:
+                for byte in node[0][depth:]:
+                    state = self._state(state, byte)
+                    last.append(self._last(state, last))
+                self.words[node[1]] = self._along(last)
+                continue
             for key, child in node.items():
                 if key >= 0:
-                    stack.append((child, depth + 1, key))
+                    stack.append((child, depth + 1, self._state(state, key)))
                 else:
                     self.words[child] = self._along(last)
         if len(self.stable_pairs) > _REMEMBER:
@@ -207,16 +261,16 @@ class Encoder:
     def _flush(self, pending: list[tuple[str, list[str], list[bytes | None]]]) -> Iterator[np.ndarray]:
         """Learn the pieces that were missing and finish the texts that wait for them."""
         cut: dict[str, list[str]] = {}
-        for _, pieces, found in pending:
-            for piece, ids in zip(pieces, found, strict=True):
-                if ids is None and piece and piece not in cut and not (piece[0].isspace() or piece[-1].isspace()):
-                    cut[piece] = self.find(" " + piece)
+        missing = {p for _, pieces, found in pending if None in found for p, ids in zip(pieces, found, strict=True) if ids is None}
+        for piece in missing:
+            if piece and not (piece[0].isspace() or piece[-1].isspace()):
+                cut[piece] = self.find(" " + piece)
         self._learn({w for words in cut.values() for w in words}.difference(self.words))
         for piece, words in cut.items():
             self.pieces[piece] = b"".join([self.words[w] for w in words])
         for text, pieces, found in pending:
             if pieces and None in found:
-                found = [self.pieces.get(p) if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
+                found = list(map(self.pieces.get, pieces))
             head = text[: text.find(" ")] if pieces else text
             if not pieces or not head or head[-1].isspace() or None in found:
                 ids = self._by_words(text)
