@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _LONG_WORD = 512
-_REMEMBER = 400_000
-_PENDING = 250_000
+_REMEMBER = 250_000
+_PENDING = 100_000
 _CHUNK = 1 << 18
 
 
@@ -277,10 +277,10 @@ class Encoder:
             else:
                 ids = self._by_words(head) + b"".join(found)
             yield np.frombuffer(ids, "<u2")
-        # what was learnt first is what occurs most
-        for memory in ("words", "pieces"):
-            if len(getattr(self, memory)) > _REMEMBER:
-                setattr(self, memory, dict(islice(getattr(self, memory).items(), _REMEMBER // 2)))
+        # what was learnt first is what occurs most; words are asked for only where a piece is new
+        for memory, most in (("words", _REMEMBER // 4), ("pieces", _REMEMBER)):
+            if len(getattr(self, memory)) > most:
+                setattr(self, memory, dict(islice(getattr(self, memory).items(), most // 2)))
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """Token ids of each text in turn; null is empty. Texts are taken some at a time."""
