@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _LONG_WORD = 512
-_REMEMBER = 250_000
-_PENDING = 100_000
+_REMEMBER = 400_000
+_PENDING = 250_000
 _CHUNK = 1 << 18
 
 
