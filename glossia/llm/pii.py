@@ -6,9 +6,12 @@ entity discloses it as far as the corpus says so. With probabilities from docume
 counts over the whole corpus, the information an entity carries is IC(e) = -log p(e)
 and what a term tells of it is PMI(t;e) = log p(t,e) / (p(t) p(e)); their ratio is 1 if
 the term never occurs without the entity. Terms whose ratio reaches ``GENERALISE`` are
-replaced by their class, those that reach ``REMOVE`` are removed. A term must have been
-seen in ``SUPPORT`` different contexts of the entity, so that a name that stands once
-beside an address, or in copies of one passage, is not taken for evidence.
+replaced by their class, those that reach ``REMOVE`` are removed. How likely the entity
+comes with the term is taken at its lower 95 % bound, from different contexts, so that a
+name that stands once beside an address, or in copies of one passage, is weak evidence.
+For entities of fewer than ``SUPPORT`` contexts, what a term tells of the class (an
+e-mail address's domain, else the kind) counts if it is more. Terms are counted and marked
+within ``CONTEXT`` characters.
 
 Everything is DataFrame and SQL functions. ``split`` and ``regexp_extract_all`` walk the
 same matches, so the lengths of the parts give the spans, in code points. The Java
@@ -98,6 +101,11 @@ def _normal(value: str) -> str:
     return f"if(contains({value}, '@'), lower({value}), regexp_replace({value}, '[^0-9.]', ''))"
 
 
+def _class(entity: str) -> str:
+    """What an entity is one of: an e-mail address of its domain, others of their kind."""
+    return f"if({entity}.kind = 'email', lower(substring_index({entity}.v, '@', -1)), {entity}.kind)"
+
+
 def _context_terms() -> Column:
     """Terms on either side of each entity: ``(entity, context, term, s, e)``.
 
@@ -112,7 +120,7 @@ def _context_terms() -> Column:
             transform(filter({_located('c.l', _TERM)}, t -> t.s > 0 or c.ls = 0), t -> named_struct('s', t.s + c.ls, 'e', t.e + c.ls, 'v', t.v)),
             transform(filter({_located('c.r', _TERM)}, t -> t.e < {CONTEXT} or c.x.e + t.e = c.n), t -> named_struct('s', t.s + c.x.e, 'e', t.e + c.x.e, 'v', t.v))
           ), t -> not exists(found, b -> t.s < b.e and t.e > b.s)),
-          t -> named_struct('entity', {_normal('c.x.v')}, 'context', xxhash64(c.l, c.r), 'term', lower(t.v), 's', t.s, 'e', t.e))))
+          t -> named_struct('entity', {_normal('c.x.v')}, 'class', {_class('c.x')}, 'context', xxhash64(c.l, c.r), 'term', lower(t.v), 's', t.s, 'e', t.e))))
     """)  # noqa: E501
 
 
@@ -123,41 +131,68 @@ def scanned(docs: DataFrame) -> DataFrame:
     return saved(rows.select("doc_id", F.md5("text").alias("tkey"), "found", terms.alias("terms")), "entities")
 
 
+def _bounded(seen: str, outside: str) -> Column:
+    """A lower 95 % bound of how likely a term comes with what it stood beside.
+
+    The lesser of Wilson's bound and ``0.05^(1/seen)``, exact if it never stood elsewhere.
+    """
+    k, n, z2 = F.col(seen).cast("double"), (F.col(seen) + F.col(outside)).cast("double"), F.lit(1.645**2)
+    p = k / n
+    wilson = (p + z2 / (2 * n) - F.sqrt(z2 * (p * (1 - p) / n + z2 / (4 * n * n)))) / (1 + z2 / n)
+    return F.least(wilson, p * F.pow(F.lit(0.05), 1 / k))
+
+
+def _told(texts: DataFrame, words: DataFrame, terms: DataFrame, total: int, name: str) -> DataFrame:
+    """``name, term, ratio, contexts``: PMI against IC from counts, bounded, for entities or their classes.
+
+    Contexts are counted once each, all of a text's, copies of texts left out. A term
+    counts against itself only in texts that don't hold the entity at all.
+    """
+    held = texts.select("tkey", "copies", F.explode(F.array_distinct(f"terms.{name}")).alias(name))
+    n_held = held.groupBy(name).agg(F.sum("copies").alias("n_held"))
+    seen = texts.select(F.explode("terms").alias("t")).select(f"t.{name}", "t.term", "t.context").distinct()
+    pairs = seen.groupBy(name, "term").agg(F.count("*").alias("n_seen"))
+    contexts = seen.select(name, "context").distinct().groupBy(name).agg(F.count("*").alias("contexts"))
+    inside = held.join(words, "tkey").groupBy(name, "term").agg(F.sum("copies").alias("n_inside"))
+    counted = pairs.join(inside, [name, "term"]).join(n_held, name).join(contexts, name).join(terms, "term")
+    counted = counted.where(F.col("n_held") < total).withColumn("outside", F.greatest(F.col("n_term") - F.col("n_inside"), F.lit(0)))
+    ratio = 1 + F.log(_bounded("n_seen", "outside")) / F.log(F.lit(float(total)) / F.col("n_held"))
+    return counted.select(name, "term", ratio.alias("ratio"), "contexts")
+
+
 def disclosing(docs: DataFrame, rows: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
-    """``entity, term, ratio`` of the terms that reveal an entity, from counts over all documents."""
+    """``entity, term, ratio`` of the terms that reveal an entity, from counts over all documents.
+
+    An entity with fewer than ``support`` contexts has no counts to go by: for it a term
+    tells as much as it tells of the entity's class, if that is more.
+    """
     total = rows.count()
-    texts = _texts(rows)
-    entities = (
-        rows.where(F.size("found") > 0)
-        .select(F.explode(F.expr(f"array_distinct(transform(found, x -> {_normal('x.v')}))")).alias("entity"))
-        .groupBy("entity")
-        .agg(F.count("*").alias("n_entity"))
-    )
-    seen = texts.select("copies", "tkey", F.explode("terms").alias("t")).select("copies", "tkey", "t.entity", "t.term", "t.context")
-    pairs = (
-        seen.groupBy("entity", "term", "tkey")
-        .agg(F.first("copies").alias("copies"), F.min("context").alias("context"))
-        .groupBy("entity", "term", "context")
-        .agg(F.sum("copies").alias("copies"))
-        .groupBy("entity", "term")
-        .agg(F.sum("copies").alias("n_both"), F.count("*").alias("contexts"))
-        .where(F.col("contexts") >= support)
-    )
-    terms = (
-        docs.select(F.explode(F.expr(f"array_distinct(regexp_extract_all(lower(text), {_quoted(_TERM)}, 0))")).alias("term"))
-        .groupBy("term")
-        .agg(F.count("*").alias("n_term"))
-    )
-    told = F.log(F.lit(float(total)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-    ratio = told / F.log(F.lit(float(total)) / F.col("n_entity"))
-    found = pairs.join(entities, "entity").where(F.col("n_entity") < total).join(terms, "term")
-    return found.select("entity", "term", ratio.alias("ratio")).where(F.col("ratio") >= threshold)
+    texts = saved(_texts(rows), "entity_texts")
+    listed = F.expr(f"array_distinct(regexp_extract_all(lower(text), {_quoted(_TERM)}, 0))")
+    terms = docs.select(F.explode(listed).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    words = _entity_texts(docs, texts).select("tkey", F.explode(listed).alias("term"))
+    near = texts.select(F.explode("terms").alias("t")).select("t.term").distinct()
+    terms = saved(terms.join(near, "term", "left_semi"), "terms")
+    words = saved(words, "words")
+    own = _told(texts, words, terms, total, "entity")
+    classes = _told(texts, words, terms, total, "class").where(F.col("ratio") >= threshold).select("class", "term", F.col("ratio").alias("by_class"))
+    known = texts.select(F.explode("terms").alias("t")).select("t.entity", "t.class").distinct()
+    by_class = known.join(classes, "class").groupBy("entity", "term").agg(F.max("by_class").alias("by_class"))
+    rare = own.where(F.col("contexts") < support).join(by_class, ["entity", "term"], "left")
+    rare = rare.select("entity", "term", F.greatest("ratio", "by_class").alias("ratio"))
+    return own.where(F.col("contexts") >= support).select("entity", "term", "ratio").unionByName(rare).where(F.col("ratio") >= threshold)
 
 
 def _texts(rows: DataFrame) -> DataFrame:
-    """Distinct texts with entities: ``tkey, terms, copies``."""
+    """Distinct texts with entities: ``tkey, found, terms, copies``."""
     some = rows.where(F.size("found") > 0)
-    return some.groupBy("tkey").agg(F.first("terms").alias("terms"), F.count("*").alias("copies"))
+    return some.groupBy("tkey").agg(F.first("found").alias("found"), F.first("terms").alias("terms"), F.count("*").alias("copies"))
+
+
+def _entity_texts(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``tkey, text`` of each of ``texts``, once."""
+    may = docs.where(" or ".join(test for test, _, _ in PATTERNS.values())).select("text", F.md5("text").alias("tkey"))
+    return may.join(texts.select("tkey"), "tkey", "left_semi").groupBy("tkey").agg(F.first("text").alias("text"))
 
 
 def term_spans(docs: DataFrame, rows: DataFrame) -> DataFrame:
