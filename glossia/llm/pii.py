@@ -10,8 +10,8 @@ replaced by their class, those that reach ``REMOVE`` are removed. How likely the
 comes with the term is taken at its lower 95 % bound, from different contexts, so that a
 name that stands once beside an address, or in copies of one passage, is weak evidence.
 For entities of fewer than ``SUPPORT`` contexts, what a term tells of the class (an
-e-mail address's domain, else the kind) counts if it is more. Terms are counted and marked
-within ``CONTEXT`` characters.
+e-mail address's domain, else the kind) counts if it is more. Terms are counted within
+``CONTEXT`` characters and marked everywhere in the texts that hold the entity.
 
 Everything is DataFrame and SQL functions. ``split`` and ``regexp_extract_all`` walk the
 same matches, so the lengths of the parts give the spans, in code points. The Java
@@ -22,7 +22,7 @@ time is linear and long runs don't overflow the stack.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossia.llm.durable import saved
@@ -198,12 +198,23 @@ def _entity_texts(docs: DataFrame, texts: DataFrame) -> DataFrame:
 def term_spans(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """``tkey, extra``: the disclosing spans ``(kind, s, e, v)`` of each text that has some.
 
-    v is what the term becomes: its class, or nothing.
+    Every occurrence in a text that holds the entity is marked, however far from it, but
+    for those inside an entity. v is what the term becomes: its class, or nothing.
     """
-    hits = disclosing(docs, rows)
-    own = _texts(rows).select("tkey", F.explode("terms").alias("t")).select("tkey", "t.entity", "t.term", "t.s", "t.e")
+    texts = _texts(rows)
+    hits = saved(disclosing(docs, rows), "disclosing")
+    held = texts.select("tkey", F.explode(F.expr(f"array_distinct(transform(found, x -> {_normal('x.v')}))")).alias("entity"))
+    told = saved(held.join(hits, "entity").groupBy("tkey", "term").agg(F.max("ratio").alias("ratio")), "told")
+    p = _quoted(_TERM)
+    parts = F.posexplode(F.expr(f"arrays_zip(regexp_extract_all(text, {p}, 0), split(text, {p}, -1))").cast("array<struct<m: string, gap: string>>"))
+    walked = _entity_texts(docs, told.select("tkey").distinct()).select("tkey", parts.alias("at", "part")).where("part.m is not null")
+    walked = walked.select("tkey", "at", "part.m", F.expr("char_length(part.m)").alias("n"), F.expr("char_length(part.gap) + char_length(part.m)").alias("step"))
+    upto = Window.partitionBy("tkey").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    placed = walked.withColumn("e", F.sum("step").over(upto).cast("int"))
+    placed = placed.select("tkey", F.lower("m").alias("term"), (F.col("e") - F.col("n")).alias("s"), "e")
+    marked = placed.join(told, ["tkey", "term"]).join(texts.select("tkey", "found"), "tkey")
+    marked = marked.where(~F.expr("exists(found, b -> s < b.e and e > b.s)"))
     general = F.when(F.col("term").rlike("[0-9]"), "[NUMBER]").otherwise("[WORD]")
-    marked = own.join(hits, ["entity", "term"]).groupBy("tkey", "s", "e", "term").agg(F.max("ratio").alias("ratio"))
     span = F.struct(F.col("s"), F.col("e"), F.when(F.col("ratio") >= REMOVE, "").otherwise(general).alias("v"))
     ordered = F.array_sort(F.collect_list(span))
     spans = F.transform(ordered, lambda x: F.struct(F.lit("term").alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v")))

@@ -40,3 +40,14 @@ def test_copies_are_no_evidence(spark):
     own = ["once eve@other.example only"] * 8
     clean = texts_of(pii.sanitised(spark.createDataFrame(corpus(rng, own), SCHEMA)))
     assert all(clean[i] == "once [EMAIL] only" for i in range(8))
+
+
+def test_terms_are_marked_far_from_the_entity(spark):
+    rng = random.Random(4)
+    own = [f"{prose(rng, 9)} nightjar bob@example.org {prose(rng, 9)}" for _ in range(6)]
+    own.append(f"😀 Nightjar {prose(rng, 200)} bob@example.org {prose(rng, 200)} NIGHTJAR end")
+    docs = spark.createDataFrame(corpus(rng, own), SCHEMA)
+    clean = texts_of(pii.sanitised(docs))
+    assert all("nightjar" not in clean[i].lower() for i in range(7)) and clean[6].startswith("😀 [WORD] w")
+    spans = {r.doc_id: r.spans for r in pii.found(docs).collect()}
+    assert "term:2:10" in spans[6].split(",")
