@@ -9,18 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is unset, as in tests, a local folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir``; only a local master without one, as in tests, gets a local folder."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        known = sc._jsc.sc().getCheckpointDir()
         if known.isDefined():
-            return known.get()
+            return known.get().rstrip("/")
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(found)
+        sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder name below the shared one that nothing else uses."""
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
