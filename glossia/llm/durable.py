@@ -10,35 +10,21 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from glossia.sources.shared import new_folder, saved
 
-def shared_dir(spark: SparkSession) -> str:
-    """URI of the shared folder; a session without one (tests) gets a local folder."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not found:
-        known = sc._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            return known.get()
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        sc.setCheckpointDir(found)
-    return found
-
-
-def new_dir(spark: SparkSession, name: str) -> str:
-    """A folder name below the shared one that nothing else uses."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write ``df`` once and return a reader of what was written."""
-    spark = df.sparkSession
-    path = path or new_dir(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["new_dir", "saved", "ship", "unused"]
+
+new_dir = new_folder
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` has not."""
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 def ship(spark: SparkSession) -> None:

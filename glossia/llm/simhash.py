@@ -18,15 +18,13 @@ Rows with equal fingerprints are aggregated first, so copies never form pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossia.llm.durable import saved
+from glossia.llm.batches import Work, added
+from glossia.llm.durable import saved, unused
 from glossia.llm.graph import components
 
 SEED = 42
@@ -68,16 +66,14 @@ def fingerprint(text: str | None) -> int:
     return int(bits.view("<u8")[0])
 
 
-def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
-        values = np.fromiter(map(fingerprint, rows.pop("text")), np.uint64, len(rows))
-        yield rows.assign(fp=values.view(np.int64))
+def _fingerprints() -> Work:
+    return lambda texts: [np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)]
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, tkey, fp``: fp is the fingerprint as a signed long, tkey the text's MD5."""
-    rows = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("tkey"))
-    return rows.mapInPandas(_fingerprints, f"doc_id {dict(docs.dtypes)['doc_id']}, tkey string, fp long")
+    tkey = F.md5(F.coalesce("text", F.lit(""))).alias("tkey")
+    return added(docs, F.col("text"), "fp long", _fingerprints, ["doc_id", tkey])
 
 
 def _bits(fp, start: int, width: int):
@@ -151,18 +147,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def row_key(doc_id, tkey):
+    """One string for an id, which may be null, and the MD5 of a text."""
+    return F.concat(F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit("null")), F.lit(":"), tkey)
+
+
+def kept_rows(docs: DataFrame, keepers: DataFrame) -> DataFrame:
+    """One row for each of ``keepers (doc_id, tkey)``, with the columns of ``docs``.
+
+    Of rows that agree in id and text the first in the order of all their columns. The
+    wide table is read once more and shuffled once, by a key that is near unique.
+    """
+    key, at = unused(docs, "_key"), unused(docs, "_at")
+    keep = keepers.select(row_key(F.col("doc_id"), F.col("tkey")).alias(key)).distinct()
+    kept = docs.withColumn(key, row_key(F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))))).join(keep, key, "left_semi")
+    others = [F.to_json(F.struct(F.col(f"`{c}`"))) for c in docs.columns if c not in ("doc_id", "text")]
+    first = Window.partitionBy(key).orderBy(*others or [F.lit(0)])
+    return kept.withColumn(at, F.row_number().over(first)).where(F.col(at) == 1).drop(key, at)
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group of near copies, with the columns of ``docs``.
+    """One row of each group of near copies by fingerprint, with the columns of ``docs``.
 
-    The row of the smallest doc_id stays, and of rows that agree in doc_id and text
-    the first in the order of all their columns. The wide table is read once more and
-    shuffled once, on keys that are near unique.
+    The row of the smallest doc_id stays (null ids last).
     """
-    keep = grouped(docs).select(F.col("keeper.doc_id").alias("k_id"), F.col("keeper.tkey").alias("k_text")).distinct()
-    rows = docs.withColumn("k_text", F.md5(F.coalesce("text", F.lit(""))))
-    kept = rows.alias("d").join(
-        keep.alias("k"), F.expr("d.doc_id <=> k.k_id and d.k_text = k.k_text"), "left_semi"
-    )
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    order = Window.partitionBy("doc_id", "k_text").orderBy(*[F.col(c).cast("string") for c in others] or [F.lit(0)])
-    return kept.withColumn("k_row", F.row_number().over(order)).where("k_row = 1").select(*docs.columns)
+    return kept_rows(docs, grouped(docs).select("keeper.doc_id", "keeper.tkey"))
