@@ -1,23 +1,29 @@
 r"""Personal data: base patterns, and terms that give a protected entity away.
 
 Base entities (e-mail and IP addresses, card and phone numbers) are found by regular
-expressions over whole texts. Then, information-theoretic sanitisation: a term near an
-entity discloses it as far as the corpus says so. With probabilities from document
-counts over the whole corpus, the information an entity carries is IC(e) = -log p(e)
-and what a term tells of it is PMI(t;e) = log p(t,e) / (p(t) p(e)); their ratio is 1 if
-the term never occurs without the entity. Terms whose ratio reaches ``GENERALISE`` are
-replaced by their class, those that reach ``REMOVE`` are removed. How likely the entity
-comes with the term is taken at its lower 95 % bound, from different contexts, so that a
-name that stands once beside an address, or in copies of one passage, is weak evidence.
-For entities of fewer than ``SUPPORT`` contexts, what a term tells of the class (an
-e-mail address's domain, else the kind) counts if it is more. Terms are counted within
-``CONTEXT`` characters and marked everywhere in the texts that hold the entity.
+expressions over whole texts. Then, information-theoretic sanitisation: a term in a text
+with an entity discloses it as far as the corpus says so. With probabilities from counts
+over the whole corpus, the information an entity carries is IC(e) = -log p(e) and what a
+term tells of it is PMI(t;e) = log p(t,e) / (p(t) p(e)); their ratio is 1 if the term
+never occurs without the entity. Terms whose ratio reaches ``GENERALISE`` are replaced
+by a class, those that reach ``REMOVE`` are removed.
+
+How likely the entity comes with the term is taken at its lower 95 % bound. Evidence are
+the contexts of the entity that a text has, each different one once, as far as the term
+occurs as often in that text; copies of a text are no evidence. A bound below
+``CERTAIN`` marks nothing, whatever the size of the corpus: so a name that stands once
+beside an address is left. Entities that occur in exactly the same texts are one, as
+nothing in the corpus tells them apart. For entities of fewer than ``SUPPORT`` contexts
+what a term tells of their class (an e-mail address's domain, else the kind) counts too.
+Terms of the whole text are counted, and marked wherever they stand in it.
 
 Everything is DataFrame and SQL functions. ``split`` and ``regexp_extract_all`` walk the
-same matches, so the lengths of the parts give the spans, in code points. The Java
-patterns match what the plain ones do, but never try a run of characters again from
-its middle (where the first try failed, the others would) and never recurse, so their
-time is linear and long runs don't overflow the stack.
+same matches, so running sums of the parts' lengths give the spans, in code points. They
+are window sums over one row a match of a distinct text, and no list is compared with
+another one, so time is in proportion to a text's matches and terms. The Java patterns
+match what the plain ones do, but never try a run of characters again from its middle
+(where the first try failed, the others would) and never recurse, so their time is
+linear and long runs don't overflow the stack.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossia.llm.durable import saved
+from glossia.llm.durable import saved, unused
 
 KINDS = ("email", "ip", "card", "phone")
 _BYTE = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
@@ -53,172 +59,190 @@ PATTERNS = {
         "char_length(regexp_replace(v, '[^0-9]', '')) between 8 and 15",
     ),
 }
-#: Characters on either side of an entity that are its context.
+#: Characters on either side of an entity by which its contexts are told apart.
 CONTEXT = 160
 SUPPORT = 3
+CERTAIN = 0.25
 GENERALISE = 0.8
 REMOVE = 0.95
+#: Code points in a chunk of a text, see ``_pieced``.
+_CHUNK = 4096
 _TERM = r"[\p{L}\p{N}]+"
-_SPANS = "array<struct<s: int, e: int, v: string>>"
 
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _located(text: str, pattern: str) -> str:
-    """SQL for the spans of all matches, leftmost and not overlapping, in code points."""
+def _matches(pattern: str, around: int = 0) -> str:
+    """SQL for the matches in ``text`` in order: ``m``, its length ``n``, and ``step``, n plus the gap before it.
+
+    With ``around`` also ``near``, a hash of at most as many characters on either side,
+    up to the next match.
+    """
     p = _quoted(pattern)
-    return f"""aggregate(
-        zip_with(regexp_extract_all({text}, {p}, 0), split({text}, {p}, -1), (m, gap) -> named_struct('m', m, 'gap', gap)),
-        named_struct('at', 0, 'out', cast(array() as {_SPANS})),
-        (a, x) -> if(x.m is null, a, named_struct(
-            'at', a.at + char_length(x.gap) + char_length(x.m),
-            'out', concat(a.out, array(named_struct(
-                's', a.at + char_length(x.gap), 'e', a.at + char_length(x.gap) + char_length(x.m), 'v', x.m))))),
-        a -> a.out)"""
+    near = f", 'near', xxhash64(right(gaps[i], {around}), left(gaps[i + 1], {around}))" if around else ""
+    return f"""transform(array(named_struct('all', regexp_extract_all(text, {p}, 0), 'gaps', split(text, {p}, -1))), a ->
+        transform(a.all, (m, i) -> named_struct('m', m, 'n', char_length(m), 'step', char_length(a.gaps[i]) + char_length(m){near.replace('gaps', 'a.gaps')})))[0]"""
 
 
-def with_entities(docs: DataFrame, column: str) -> DataFrame:
-    """``docs`` plus ``column``: array of ``(kind, s, e, v)``, by kind as listed, then start.
+def _placed(parts: DataFrame, by: list[str]) -> DataFrame:
+    """``s, e`` of matches ``(n, step)`` that are in order of ``at`` in each ``by``; code points, e exclusive."""
+    upto = Window.partitionBy(*by).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    ended = parts.withColumn("e", F.sum("step").over(upto).cast("int"))
+    return ended.withColumn("s", F.col("e") - F.col("n"))
 
-    Needs a column ``text`` without nulls. s and e are code points, e exclusive.
-    """
-    parts = []
-    for kind, (may, pattern, valid) in PATTERNS.items():
-        found = f"filter({_located('text', pattern)}, x -> {valid.replace('v ', 'x.v ').replace('(v,', '(x.v,')})"
-        tagged = f"transform({found}, x -> named_struct('kind', '{kind}', 's', x.s, 'e', x.e, 'v', x.v))"
-        parts.append(f"if({may}, {tagged}, cast(array() as array<struct<kind: string, s: int, e: int, v: string>>))")
-    return docs.withColumn(column, F.expr(f"concat({', '.join(parts)})"))
 
+def _may() -> Column:
+    """A cheap test that is true of every text with base entities."""
+    return F.expr(" or ".join(f"({test})" for test, _, _ in PATTERNS.values()))
 
-def _listed(spans: str) -> str:
-    return f"array_join(transform({spans}, x -> concat(x.kind, ':', x.s, ':', x.e)), ',')"
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, tkey``: null texts are empty, tkey is the text's MD5."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return rows.withColumn("tkey", F.md5("text"))
 
-def _normal(value: str) -> str:
-    """What counts as the same entity: letter case and separators don't matter."""
-    return f"if(contains({value}, '@'), lower({value}), regexp_replace({value}, '[^0-9.]', ''))"
 
+def _kinds() -> str:
+    return "case kind " + " ".join(f"when '{k}' then {i}" for i, k in enumerate(KINDS)) + " end"
 
-def _class(entity: str) -> str:
-    """What an entity is one of: an e-mail address of its domain, others of their kind."""
-    return f"if({entity}.kind = 'email', lower(substring_index({entity}.v, '@', -1)), {entity}.kind)"
 
+def base_spans(rows: DataFrame) -> DataFrame:
+    """``tkey, kind, s, e, v, near``: the base entities of each distinct text of ``keyed`` rows, saved."""
+    none = "cast(array() as array<struct<m: string, n: int, step: int, near: bigint>>)"
+    each = ", ".join(f"named_struct('kind', '{kind}', 'found', if({may}, {_matches(pattern, CONTEXT)}, {none}))" for kind, (may, pattern, _) in PATTERNS.items())
+    found = rows.where(_may()).select("tkey", F.expr(f"inline(filter(array({each}), x -> size(x.found) > 0))"))
+    parts = found.select("tkey", "kind", F.posexplode("found").alias("at", "x")).select("tkey", "kind", "at", "x.*")
+    once = parts.groupBy("tkey", "kind", "at").agg(*[F.first(c).alias(c) for c in ("m", "n", "step", "near")])  # copies of a text
+    valid = F.expr("case kind " + " ".join(f"when '{kind}' then {test.replace('v ', 'm ').replace('(v,', '(m,')}" for kind, (_, _, test) in PATTERNS.items()) + " end")
+    placed = _placed(once, ["tkey", "kind"]).where(valid)
+    return saved(placed.select("tkey", "kind", "s", "e", F.col("m").alias("v"), "near"), "base_spans")
 
-def _context_terms() -> Column:
-    """Terms on either side of each entity: ``(entity, context, term, s, e)``.
 
-    A term cut by the edge of the context is left out, as is one inside any entity.
+def _texts(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """``tkey, copies, text, found`` of each distinct text with entities; found is in order of start.
+
+    ``w`` of a span is from where its text is not covered by spans before it.
     """
-    left = f"substring(text, greatest(x.s - {CONTEXT}, 0) + 1, least(x.s, {CONTEXT}))"
-    right = f"substring(text, x.e + 1, {CONTEXT})"
-    return F.expr(f"""
-        flatten(transform(transform(found, x -> named_struct(
-            'x', x, 'l', {left}, 'r', {right}, 'ls', greatest(x.s - {CONTEXT}, 0), 'n', char_length(text))), c ->
-          transform(filter(concat(
-            transform(filter({_located('c.l', _TERM)}, t -> t.s > 0 or c.ls = 0), t -> named_struct('s', t.s + c.ls, 'e', t.e + c.ls, 'v', t.v)),
-            transform(filter({_located('c.r', _TERM)}, t -> t.e < {CONTEXT} or c.x.e + t.e = c.n), t -> named_struct('s', t.s + c.x.e, 'e', t.e + c.x.e, 'v', t.v))
-          ), t -> not exists(found, b -> t.s < b.e and t.e > b.s)),
-          t -> named_struct('entity', {_normal('c.x.v')}, 'class', {_class('c.x')}, 'context', xxhash64(c.l, c.r), 'term', lower(t.v), 's', t.s, 'e', t.e))))
-    """)  # noqa: E501
-
-
-def scanned(docs: DataFrame) -> DataFrame:
-    """``doc_id, tkey, found, terms`` of every row, saved; terms only where there are entities."""
-    rows = with_entities(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "found")
-    terms = F.when(F.size("found") > 0, _context_terms())
-    return saved(rows.select("doc_id", F.md5("text").alias("tkey"), "found", terms.alias("terms")), "entities")
-
-
-def _bounded(seen: str, outside: str) -> Column:
+    before = Window.partitionBy("tkey").orderBy("s", "e", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    outside = spans.withColumn("w", F.coalesce(F.max("e").over(before), F.lit(0)))
+    found = outside.groupBy("tkey").agg(F.array_sort(F.collect_list(F.struct("s", "e", "w"))).alias("found"))
+    some = rows.where(_may()).join(found.select("tkey"), "tkey", "left_semi")
+    some = some.groupBy("tkey").agg(F.count("*").alias("copies"), F.first("text").alias("text"))
+    return saved(some.join(found, "tkey"), "entity_texts")
+
+
+def _pieced(spans: str, label: str) -> Column:
+    """``text`` with each span put as ``label``; spans ``(s, e, w)`` in order, overlaps belong to the first.
+
+    What stands between spans is cut from chunks of the text, as a cut is found by
+    walking from the start.
+    """
+    chunks = f"transform(sequence(0, char_length(text) div {_CHUNK}), i -> substring(text, cast(i as int) * {_CHUNK} + 1, {_CHUNK}))"
+    cut = "substring({of}, {at} + 1, x.s - x.w)"
+    near = cut.format(of=f"c[cast(x.w div {_CHUNK} as int)]", at=f"x.w % {_CHUNK}")
+    gap = f"if(x.s <= x.w, '', if((x.s - 1) div {_CHUNK} = x.w div {_CHUNK}, {near}, {cut.format(of='text', at='x.w')}))"
+    rest = f"if(size({spans}) = 0, text, substring(text, array_max(transform({spans}, x -> x.e)) + 1))"
+    return F.expr(f"transform(array({chunks}), c -> concat(array_join(transform({spans}, x -> concat({gap}, {label})), ''), {rest}))[0]")
+
+
+def terms_of(texts: DataFrame) -> DataFrame:
+    """``tkey, term, s, e`` of all terms of the texts, saved; entities belong to no term and end them."""
+    blank = _pieced("found", "if(x.e > greatest(x.s, x.w), repeat(' ', x.e - greatest(x.s, x.w)), '')")
+    walked = texts.select("tkey", blank.alias("text")).select("tkey", F.posexplode(F.expr(_matches(_TERM))).alias("at", "x"))
+    placed = _placed(walked.select("tkey", "at", "x.*"), ["tkey"])
+    return saved(placed.select("tkey", F.lower("m").alias("term"), "s", "e"), "entity_terms")
+
+
+def held_by(texts: DataFrame, spans: DataFrame) -> DataFrame:
+    """``tkey, copies, name, class, k``: entities of each text, and in how many different contexts.
+
+    What counts as the same entity: letter case and separators don't matter. Its class
+    is an e-mail address's domain, else its kind.
+    """
+    name = "if(kind = 'email', lower(v), concat(kind, ':', regexp_replace(v, '[^0-9.]', '')))"
+    group = "if(kind = 'email', lower(substring_index(v, '@', -1)), kind)"
+    each = spans.select("tkey", F.expr(name).alias("name"), F.expr(group).alias("class"), "near")
+    counted = each.groupBy("tkey", "name", "class").agg(F.count_distinct("near").alias("k"))
+    return saved(counted.join(texts.select("tkey", "copies"), "tkey"), "held")
+
+
+def bounded(seen: Column, outside: Column) -> Column:
     """A lower 95 % bound of how likely a term comes with what it stood beside.
 
-    The lesser of Wilson's bound and ``0.05^(1/seen)``, exact if it never stood elsewhere.
+    The lesser of Wilson's bound and ``p 0.05^(1/seen)``, exact if it never stood elsewhere.
     """
-    k, n, z2 = F.col(seen).cast("double"), (F.col(seen) + F.col(outside)).cast("double"), F.lit(1.645**2)
+    k, n, z2 = seen.cast("double"), (seen + outside).cast("double"), F.lit(1.645**2)
     p = k / n
     wilson = (p + z2 / (2 * n) - F.sqrt(z2 * (p * (1 - p) / n + z2 / (4 * n * n)))) / (1 + z2 / n)
     return F.least(wilson, p * F.pow(F.lit(0.05), 1 / k))
 
 
-def _told(texts: DataFrame, words: DataFrame, terms: DataFrame, total: int, name: str) -> DataFrame:
-    """``name, term, ratio, contexts``: PMI against IC from counts, bounded, for entities or their classes.
+def _grouped(held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``tkey, team, copies, k`` and ``tkey, name, team``: names of exactly the same texts are one team."""
+    sign = [F.bit_xor(F.xxhash64("tkey")).alias("x"), F.sum(F.pmod(F.xxhash64(F.lit(1), "tkey"), F.lit(1 << 31))).alias("y"), F.count("*").alias("n")]
+    teams = held.groupBy("name").agg(*sign).select("name", F.xxhash64("x", "y", "n").alias("team"))
+    named = held.join(teams, "name")
+    return named.groupBy("tkey", "team").agg(F.first("copies").alias("copies"), F.max("k").alias("k")), named.select("tkey", "name", "team")
 
-    Contexts are counted once each, all of a text's, copies of texts left out. A term
-    counts against itself only in texts that don't hold the entity at all.
-    """
-    held = texts.select("tkey", "copies", F.explode(F.array_distinct(f"terms.{name}")).alias(name))
-    n_held = held.groupBy(name).agg(F.sum("copies").alias("n_held"))
-    seen = texts.select(F.explode("terms").alias("t")).select(f"t.{name}", "t.term", "t.context").distinct()
-    pairs = seen.groupBy(name, "term").agg(F.count("*").alias("n_seen"))
-    contexts = seen.select(name, "context").distinct().groupBy(name).agg(F.count("*").alias("contexts"))
-    inside = held.join(words, "tkey").groupBy(name, "term").agg(F.sum("copies").alias("n_inside"))
-    counted = pairs.join(inside, [name, "term"]).join(n_held, name).join(contexts, name).join(terms, "term")
-    counted = counted.where(F.col("n_held") < total).withColumn("outside", F.greatest(F.col("n_term") - F.col("n_inside"), F.lit(0)))
-    ratio = 1 + F.log(_bounded("n_seen", "outside")) / F.log(F.lit(float(total)) / F.col("n_held"))
-    return counted.select(name, "term", ratio.alias("ratio"), "contexts")
-
-
-def disclosing(docs: DataFrame, rows: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
-    """``entity, term, ratio`` of the terms that reveal an entity, from counts over all documents.
-
-    An entity with fewer than ``support`` contexts has no counts to go by: for it a term
-    tells as much as it tells of the entity's class, if that is more.
+
+def evidence(teams: DataFrame, words: DataFrame) -> DataFrame:
+    """``team, term, n_held, seen, inside`` of all pairs whose bound can reach ``CERTAIN``.
+
+    seen: contexts that hold the term, inside: documents that hold both.
     """
+    whole = teams.groupBy("team").agg(F.sum("copies").alias("n_held"), F.sum("k").alias("contexts"))
+    least = lambda n: F.pow(F.lit(0.05), 1 / F.col(n)) >= CERTAIN
+    some = teams.join(whole.where(least("contexts")).select("team", "n_held"), "team")
+    pairs = some.join(words, "tkey").groupBy("team", "term", "n_held").agg(F.sum(F.least("k", "c")).alias("seen"), F.sum("copies").alias("inside"))
+    return pairs.where(least("seen"))
+
+
+def disclosing(rows: DataFrame, texts: DataFrame, spans: DataFrame, terms: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
+    """``tkey, term, ratio`` of the terms that reveal an entity of their text, from counts over all documents."""
+    held = held_by(texts, spans)
+    words = saved(terms.groupBy("tkey", "term").agg(F.count("*").alias("c")), "words")
+    own, own_names = _grouped(held.select("tkey", "copies", "name", "k"))
+    by_class = held.groupBy("tkey", F.col("class").alias("name")).agg(F.first("copies").alias("copies"), F.sum("k").alias("k"))
+    classes, class_names = _grouped(by_class)
+    pairs = saved(evidence(own, words).withColumn("own", F.lit(True)).unionByName(evidence(classes, words).withColumn("own", F.lit(False))), "evidence")
+    listed = F.expr(f"array_distinct(regexp_extract_all(text, {_quoted(_TERM)}, 0))")
+    every = rows.select(F.monotonically_increasing_id().alias("row"), F.explode(listed).alias("term")).select("row", F.lower("term").alias("term"))
+    counts = every.join(pairs.select("term").distinct(), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
     total = rows.count()
-    texts = saved(_texts(rows), "entity_texts")
-    listed = F.expr(f"array_distinct(regexp_extract_all(lower(text), {_quoted(_TERM)}, 0))")
-    terms = docs.select(F.explode(listed).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    words = _entity_texts(docs, texts).select("tkey", F.explode(listed).alias("term"))
-    near = texts.select(F.explode("terms").alias("t")).select("t.term").distinct()
-    terms = saved(terms.join(near, "term", "left_semi"), "terms")
-    words = saved(words, "words")
-    own = _told(texts, words, terms, total, "entity")
-    classes = _told(texts, words, terms, total, "class").where(F.col("ratio") >= threshold).select("class", "term", F.col("ratio").alias("by_class"))
-    known = texts.select(F.explode("terms").alias("t")).select("t.entity", "t.class").distinct()
-    by_class = known.join(classes, "class").groupBy("entity", "term").agg(F.max("by_class").alias("by_class"))
-    rare = own.where(F.col("contexts") < support).join(by_class, ["entity", "term"], "left")
-    rare = rare.select("entity", "term", F.greatest("ratio", "by_class").alias("ratio"))
-    return own.where(F.col("contexts") >= support).select("entity", "term", "ratio").unionByName(rare).where(F.col("ratio") >= threshold)
-
-
-def _texts(rows: DataFrame) -> DataFrame:
-    """Distinct texts with entities: ``tkey, found, terms, copies``."""
-    some = rows.where(F.size("found") > 0)
-    return some.groupBy("tkey").agg(F.first("found").alias("found"), F.first("terms").alias("terms"), F.count("*").alias("copies"))
-
-
-def _entity_texts(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``tkey, text`` of each of ``texts``, once."""
-    may = docs.where(" or ".join(test for test, _, _ in PATTERNS.values())).select("text", F.md5("text").alias("tkey"))
-    return may.join(texts.select("tkey"), "tkey", "left_semi").groupBy("tkey").agg(F.first("text").alias("text"))
-
-
-def term_spans(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """``tkey, extra``: the disclosing spans ``(kind, s, e, v)`` of each text that has some.
-
-    Every occurrence in a text that holds the entity is marked, however far from it, but
-    for those inside an entity. v is what the term becomes: its class, or nothing.
+    told = pairs.join(counts, "term").where(F.col("n_held") < total)
+    bound = bounded(F.col("seen"), F.greatest(F.col("n_term") - F.col("inside"), F.lit(0)))
+    told = told.withColumn("bound", bound).where(F.col("bound") >= CERTAIN)
+    ratio = 1 + F.log("bound") / F.log(F.lit(float(total)) / F.col("n_held"))
+    told = saved(told.select("team", "term", "own", ratio.alias("ratio")).where(F.col("ratio") >= threshold), "disclosing")
+    hits = own.select("tkey", "team").join(told.where("own"), "team")
+    rare = held.groupBy("name").agg(F.sum("k").alias("contexts")).where(F.col("contexts") < support)
+    rare = held.join(rare.select("name"), "name", "left_semi").select("tkey", F.col("class").alias("name")).distinct()
+    rare = class_names.join(rare, ["tkey", "name"], "left_semi").select("tkey", "team").distinct()
+    hits = hits.unionByName(rare.join(told.where("not own"), "team"))
+    return hits.groupBy("tkey", "term").agg(F.max("ratio").alias("ratio"))
+
+
+def term_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """``tkey, kind, s, e, v``: every place of the disclosing terms; v is what a term becomes.
+
+    A generalised term becomes ``[NUMBER]`` if it has digits, else ``[WORD]``.
     """
-    texts = _texts(rows)
-    hits = saved(disclosing(docs, rows), "disclosing")
-    held = texts.select("tkey", F.explode(F.expr(f"array_distinct(transform(found, x -> {_normal('x.v')}))")).alias("entity"))
-    told = saved(held.join(hits, "entity").groupBy("tkey", "term").agg(F.max("ratio").alias("ratio")), "told")
-    p = _quoted(_TERM)
-    parts = F.posexplode(F.expr(f"arrays_zip(regexp_extract_all(text, {p}, 0), split(text, {p}, -1))").cast("array<struct<m: string, gap: string>>"))
-    walked = _entity_texts(docs, told.select("tkey").distinct()).select("tkey", parts.alias("at", "part")).where("part.m is not null")
-    walked = walked.select("tkey", "at", "part.m", F.expr("char_length(part.m)").alias("n"), F.expr("char_length(part.gap) + char_length(part.m)").alias("step"))
-    upto = Window.partitionBy("tkey").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    placed = walked.withColumn("e", F.sum("step").over(upto).cast("int"))
-    placed = placed.select("tkey", F.lower("m").alias("term"), (F.col("e") - F.col("n")).alias("s"), "e")
-    marked = placed.join(told, ["tkey", "term"]).join(texts.select("tkey", "found"), "tkey")
-    marked = marked.where(~F.expr("exists(found, b -> s < b.e and e > b.s)"))
+    texts = _texts(rows, spans)
+    terms = terms_of(texts)
+    marked = terms.join(disclosing(rows, texts, spans, terms), ["tkey", "term"])
     general = F.when(F.col("term").rlike("[0-9]"), "[NUMBER]").otherwise("[WORD]")
-    span = F.struct(F.col("s"), F.col("e"), F.when(F.col("ratio") >= REMOVE, "").otherwise(general).alias("v"))
-    ordered = F.array_sort(F.collect_list(span))
-    spans = F.transform(ordered, lambda x: F.struct(F.lit("term").alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v")))
-    return marked.groupBy("tkey").agg(spans.alias("extra"))
+    return marked.select("tkey", F.lit("term").alias("kind"), "s", "e", F.when(F.col("ratio") >= REMOVE, "").otherwise(general).alias("v"))
+
+
+def all_spans(rows: DataFrame) -> DataFrame:
+    """``tkey, spans``: all spans ``(kind, s, e, v)`` of each text that has some; kinds as listed, terms last."""
+    base = base_spans(rows)
+    both = base.drop("near").unionByName(term_spans(rows, base))
+    rank = F.expr(_kinds().replace(" end", " else 9 end"))
+    listed = F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "s", "e", "kind", "v")))
+    return both.groupBy("tkey").agg(listed.alias("spans"))
 
 
 def found(docs: DataFrame) -> DataFrame:
@@ -227,41 +251,38 @@ def found(docs: DataFrame) -> DataFrame:
     Null and empty texts have none: counts 0, the digest of the empty string, no spans.
     Repeated rows have a row each; columns other than doc_id and text are ignored.
     """
-    rows = scanned(docs)
-    counts = [F.expr(f"cast(size(filter(found, x -> x.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in KINDS]
-    base = F.expr(_listed("found"))
-    shape = lambda df, spans: df.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
-    clean = rows.where(F.size("found") == 0)
-    some = rows.where(F.size("found") > 0).select("doc_id", "tkey", "found").join(term_spans(docs, rows), "tkey", "left")
-    every = F.expr(_listed("concat(found, coalesce(extra, array()))"))
-    return shape(clean, F.lit("")).unionByName(shape(some, every))
+    rows = keyed(docs)
+    spans = all_spans(rows)
+    some = rows.where(_may()).select("doc_id", "tkey").join(spans, "tkey", "left").select("doc_id", F.coalesce("spans", F.expr("array()")).alias("spans"))
+    none = F.expr("cast(array() as array<struct<rank: int, s: int, e: int, kind: string, v: string>>)")
+    every = some.unionByName(rows.where(~_may()).select("doc_id", none.alias("spans")))
+    counts = [F.expr(f"cast(size(filter(spans, x -> x.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in KINDS]
+    text = lambda x: f"array_join(transform({x}, x -> concat(x.kind, ':', x.s, ':', x.e)), ',')"
+    base = F.sha2(F.expr(text("filter(spans, x -> x.kind <> 'term')")), 256)
+    return every.select("doc_id", *counts, base.alias("base_sha256"), F.expr(text("spans")).alias("spans"))
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data replaced in ``text``, and ``n_chars`` of the new text.
 
-    Texts without entities pass as they are, null texts too, and no row is dropped;
-    only texts with entities are shuffled. Overlapping spans are replaced by the first
-    one's label. All columns keep their order.
+    Texts without entities pass as they are, null texts too, and no row is dropped; only
+    texts that a cheap test doesn't clear are shuffled. Overlapping spans are replaced by
+    the first one's label. All columns keep their order.
     """
-    names = "_".join(docs.columns)
-    spans, key = f"_{names}_spans", f"_{names}_key"  # clash with no column
-    rows = scanned(docs)
-    extra = term_spans(docs, rows).withColumnRenamed("tkey", key)
-    marked = with_entities(docs.withColumn("text", F.coalesce("text", F.lit(""))), spans)
-    some = marked.where(F.size(spans) > 0).withColumn(key, F.md5("text")).join(extra, key, "left")
+    key, marks = unused(docs, "_key"), unused(docs, "_marks")
+    spans = all_spans(keyed(docs))
     label = "case x.kind when 'term' then x.v else concat('[', upper(x.kind), ']') end"
-    made = F.expr(f"""aggregate(
-        array_sort(concat(transform(`{spans}`, x -> named_struct('s', x.s, 'e', x.e, 'kind', x.kind, 'v', x.v)),
-            transform(coalesce(extra, array()), x -> named_struct('s', x.s, 'e', x.e, 'kind', x.kind, 'v', x.v)))),
-        named_struct('at', 0, 'out', ''),
-        (a, x) -> if(x.s >= a.at,
-            named_struct('at', x.e, 'out', concat(a.out, substring(text, a.at + 1, x.s - a.at), {label})),
-            named_struct('at', greatest(a.at, x.e), 'out', a.out)),
-        a -> concat(a.out, substring(text, a.at + 1)))""")
-    some = some.withColumn("text", made)
+    each = spans.select("tkey", F.explode("spans").alias("x")).select("tkey", "x.s", "x.e", "x.kind", F.expr(label).alias("label"))
+    before = Window.partitionBy("tkey").orderBy("s", "e", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("w", F.coalesce(F.max("e").over(before), F.lit(0)))
+    listed = F.array_sort(F.collect_list(F.struct("s", "e", "w", "label"))).alias(marks)
+    each = each.groupBy(F.col("tkey").alias(key)).agg(listed)
+    some = docs.where(_may()).withColumn(key, F.md5("text")).join(each, key, "left")
+    made = _pieced(f"`{marks}`", "if(x.s >= x.w, x.label, '')")
+    some = some.withColumn("text", F.when(F.col(marks).isNull(), F.col("text")).otherwise(made))
     if "n_chars" in docs.columns:
-        some = some.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
-    quiet = with_entities(docs.withColumn(key, F.col("text")).withColumn("text", F.coalesce("text", F.lit(""))), spans)
-    quiet = quiet.where(F.size(spans) == 0).withColumn("text", F.col(key))
-    return quiet.select(*docs.columns).unionByName(some.select(*docs.columns))
+        kind = dict(docs.dtypes)["n_chars"]
+        some = some.withColumn("n_chars", F.when(F.col(marks).isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(kind)))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    quiet = docs.where(~F.coalesce(_may(), F.lit(False)))
+    return quiet.select(*columns).unionByName(some.select(*columns))
