@@ -316,9 +316,88 @@ def test_shards_have_near_equal_bytes(spark):
     assert len({r.shard for r in by_bytes}) == -(-sum(sizes.values()) // 20_000)
 
 
+def brute_shards(points, first, shards, extents):
+    """Shards by the recursion as it is defined: widest dimension, exact weighted median."""
+    if shards == 1 or not points:
+        return {p: first for p in points}
+    low_high = [(min(p[i] for p in points), max(p[i] for p in points)) for i in range(4)]
+    wide = [(b - a) / (x or 1.0) for (a, b), x in zip(low_high, extents)]
+    own = sorted(points, key=lambda p: p[wide.index(max(wide))])
+    half, upto, at = shards // 2, 0, 0
+    goal = sum(p[4] for p in own) * half / shards
+    while upto + own[at][4] < goal:
+        upto, at = upto + own[at][4], at + 1
+    at += upto + own[at][4] - goal < goal - upto
+    return brute_shards(own[:at], first, half, extents) | brute_shards(own[at:], first + half, shards - half, extents)
+
+
+def test_shards_are_those_of_the_definition(spark, monkeypatch):
+    monkeypatch.setattr(kdtree, "TOLERANCE", 0.0)
+    rng = random.Random(20)
+    docs = frame(spark, ODD + [words(rng, rng.randrange(1, 400)) for _ in range(200)])
+    rows = kdtree.points(docs)
+    points = [(*[r[f"c{i}"] for i in range(4)], r["size"]) for r in rows.collect()]
+    extents = [max(p[i] for p in points) - min(p[i] for p in points) for i in range(4)]
+    got = {(*[r[f"c{i}"] for i in range(4)], r["size"]): r["node"] for r in kdtree.placed(rows, 6).collect()}
+    assert got == brute_shards(points, 0, 6, extents)
+
+
+def test_repeated_rows_are_spread(spark):
+    rng = random.Random(21)
+    texts = ["x" * 500] * 2000 + [words(rng, 50) for _ in range(48)]
+    got = kdtree.shard(frame(spark, texts, [7] * 2000 + list(range(100, 148))).repartition(3)).collect()
+    sizes = Counter()
+    for r in got:
+        sizes[r.shard] += r.size
+    assert len(got) == 2048 and set(sizes) == set(range(16)) and max(sizes.values()) - min(sizes.values()) < 5000
+    assert len({(r.shard, r.slot) for r in got}) == 2048
+    ids = [9007199254740993, None, None, None, -9223372036854775807]
+    assert sorted((r.doc_id for r in kdtree.shard(frame(spark, ["a"] * 5, ids)).collect()), key=str) == sorted(ids, key=str)
+
+
 # Personal data
 
 
+def test_the_ratio_is_that_of_the_definition(spark):
+    import math
+
+    rng = random.Random(22)
+    pool = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(pool) for _ in range(12)) + (f" {'secret ' * rng.randrange(1, 4)}bob{rng.randrange(2)}@x.org" * (i % 5 == 0)) for i in range(100)]
+    texts += [texts[0], texts[5]] + [f"odd{i} secret" for i in range(2)]
+    docs = frame(spark, texts)
+    rows = pii.keyed(docs)
+    base = pii.base_spans(rows)
+    held = pii._texts(rows, base)
+    terms = pii.terms_of(held)
+    own = lambda t: re.findall(r"[a-z0-9]+", re.sub(r"bob[01]@x\.org", " ", t))
+    total, copies = len(texts), Counter(texts)
+    names = {t: set(re.findall(r"bob[01]@x\.org", t)) for t in copies}
+    teams = defaultdict(set)
+    for name in {n for own in names.values() for n in own}:
+        teams[frozenset(t for t in copies if name in names[t])].add(name)
+    teams = list(teams)
+    want = {}
+    for level in ("own", "class"):
+        for team in teams if level == "own" else [frozenset(t for t in copies if names[t])]:
+            n_held, contexts = sum(copies[t] for t in team), len(team)
+            for term in {w for t in team for w in own(t)}:
+                seen = sum(min(1, own(t).count(term)) for t in team)
+                outside = sum(n for t, n in copies.items() if term in own(t) and t not in team)
+                n, z2 = seen + outside, 1.645**2
+                p = seen / n
+                wilson = (p + z2 / (2 * n) - math.sqrt(z2 * (p * (1 - p) / n + z2 / (4 * n * n)))) / (1 + z2 / n)
+                bound = min(wilson, p * 0.05 ** (1 / seen))
+                ratio = 1 + math.log(bound) / math.log(total / n_held)
+                if bound >= pii.CERTAIN and ratio >= 0.2 and (level == "own" or contexts < pii.SUPPORT):
+                    for t in team:
+                        want[t, term] = max(want.get((t, term), 0), ratio)
+    got = {(r.tkey, r.term): r.ratio for r in pii.disclosing(rows, held, base, terms, threshold=0.2).collect()}
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    assert got.keys() == {(md5(t), term) for t, term in want} and any(term == "secret" for _, term in want)
+    assert all(abs(got[md5(t), term] - ratio) < 1e-9 for (t, term), ratio in want.items())
+
+
 def test_terms_that_disclose(spark):
     rng = random.Random(11)
     texts = [f"{words(rng, 9)} project nightjar{i % 2 and '' or ','} write bob@example.org {words(rng, 9)}" for i in range(6)]
