@@ -39,9 +39,11 @@ def added(df: DataFrame, text: Column, fields: str, make: Callable[[], Work], ke
     return df.select(*keep, text.alias(unused(kept, "_text"))).mapInArrow(run, schema)
 
 
+_PLAIN = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
+
+
 def frame(rows: list[tuple], fields: str) -> pa.RecordBatch:
-    """Rows of plain Python values as a batch."""
-    schema = StructType.fromDDL(fields)
-    columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
-    arrays = [pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, schema.fields, strict=True)]
-    return pa.RecordBatch.from_arrays(arrays, schema.names)
+    """Rows of plain Python values as a batch; ``fields``: names with plain types, comma-separated."""
+    names, kinds = zip(*(x.split() for x in fields.split(", ")), strict=True)
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, _PLAIN[k]) for c, k in zip(columns, kinds, strict=True)], list(names))

@@ -24,16 +24,22 @@ from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossia.llm.batches import Work, added
+
 #: Fixed value: the pre-tokenizer's pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _LONG_WORD = 512
+#: Bounds of a worker's memory: entries of each kind, and characters in them.
 _REMEMBER = 400_000
+_REMEMBER_CHARS = 6_000_000
+#: Longer pieces seldom come again and are not remembered.
+_LONG_PIECE = 64
+#: Pieces, or eight characters for one, of the texts that are worked on together.
 _PENDING = 250_000
 _CHUNK = 1 << 18
 
@@ -101,6 +107,7 @@ class Encoder:
         self.stable_pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {c: self.pairs_of[i] for c, i in self.special.items()}
         self.pieces: dict[str, bytes] = {}
+        self.held = {"words": 0, "pieces": 0}
 
     def _read_tokens(self) -> None:
         """States that tell which tokens end at a byte: the longest suffix that starts a token.
@@ -226,7 +233,7 @@ class Encoder:
                 for byte in data:
                     state = self._state(state, byte)
                     last.append(self._last(state, last))
-                self.words[word] = self._along(last)
+                self._keep("words", word, self._along(last))
                 continue
             self._insert(root, data, word)
         last = []
@@ -240,25 +247,45 @@ class Encoder:
                 for byte in node[0][depth:]:
                     state = self._state(state, byte)
                     last.append(self._last(state, last))
-                self.words[node[1]] = self._along(last)
+                self._keep("words", node[1], self._along(last))
                 continue
             for key, child in node.items():
                 if key >= 0:
                     stack.append((child, depth + 1, self._state(state, key)))
                 else:
-                    self.words[child] = self._along(last)
+                    self._keep("words", child, self._along(last))
         if len(self.stable_pairs) > _REMEMBER:
             self.stable_pairs = dict(islice(self.stable_pairs.items(), _REMEMBER // 2))
 
-    def _by_words(self, text: str) -> bytes:
+    def _keep(self, memory: str, key: str, ids: bytes) -> None:
+        getattr(self, memory)[key] = ids
+        self.held[memory] += len(key)
+
+    def _forget(self) -> None:
+        """Cut what is remembered to its bounds; what was learnt first is what occurs most."""
+        for memory, most in (("words", _REMEMBER // 4), ("pieces", _REMEMBER)):
+            own = getattr(self, memory)
+            if len(own) <= most and self.held[memory] <= _REMEMBER_CHARS:
+                continue
+            kept, chars = {}, 0
+            for key, ids in own.items():
+                if len(kept) >= most // 2 or chars > _REMEMBER_CHARS // 2:
+                    break
+                if len(key) <= _LONG_PIECE or key in self.special:
+                    kept[key] = ids
+                    chars += len(key)
+            setattr(self, memory, kept)
+            self.held[memory] = chars
+
+    def _by_words(self, text: str, special: bool) -> bytes:
         """Ids of a text that is pre-tokenized as a whole."""
         words: list[str] = []
-        for part in self.cut.split(text) if self.cut is not None else [text]:
-            words.extend([part] if part in self.special else self.find(part))
+        for part in self.cut.split(text) if special and self.cut is not None else [text]:
+            words.extend([part] if special and part in self.special else self.find(part))
         self._learn(set(words).difference(self.words))
         return b"".join(map(self.words.__getitem__, words))
 
-    def _flush(self, pending: list[tuple[str, list[str], list[bytes | None]]]) -> Iterator[np.ndarray]:
+    def _flush(self, pending: list[tuple[str, list[str], list[bytes | None]]], special: bool) -> Iterator[np.ndarray]:
         """Learn the pieces that were missing and finish the texts that wait for them."""
         cut: dict[str, list[str]] = {}
         missing = {p for _, pieces, found in pending if None in found for p, ids in zip(pieces, found, strict=True) if ids is None}
@@ -267,34 +294,34 @@ class Encoder:
                 cut[piece] = self.find(" " + piece)
         self._learn({w for words in cut.values() for w in words}.difference(self.words))
         for piece, words in cut.items():
-            self.pieces[piece] = b"".join([self.words[w] for w in words])
+            self._keep("pieces", piece, b"".join([self.words[w] for w in words]))
         for text, pieces, found in pending:
             if pieces and None in found:
                 found = list(map(self.pieces.get, pieces))
             head = text[: text.find(" ")] if pieces else text
             if not pieces or not head or head[-1].isspace() or None in found:
-                ids = self._by_words(text)
+                ids = self._by_words(text, special)
             else:
-                ids = self._by_words(head) + b"".join(found)
+                ids = self._by_words(head, special) + b"".join(found)
             yield np.frombuffer(ids, "<u2")
-        # what was learnt first is what occurs most; words are asked for only where a piece is new
-        for memory, most in (("words", _REMEMBER // 4), ("pieces", _REMEMBER)):
-            if len(getattr(self, memory)) > most:
-                setattr(self, memory, dict(islice(getattr(self, memory).items(), most // 2)))
+        self._forget()
 
-    def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
-        """Token ids of each text in turn; null is empty. Texts are taken some at a time."""
+    def encode(self, texts: Iterable[str | None], special: bool = True) -> Iterator[np.ndarray]:
+        """Token ids of each text in turn; null is empty. Texts are taken some at a time.
+
+        Without ``special`` a special token's text is text like any other.
+        """
         pending, size = [], 0
         for text in texts:
             text = text or ""
-            special = any(x in text for x in self.special)
-            pieces = [] if special else text.split(" ")[1:]
+            whole = special and any(x in text for x in self.special)
+            pieces = [] if whole else text.split(" ")[1:]
             pending.append((text, pieces, list(map(self.pieces.get, pieces))))
-            size += len(pieces) + 1
+            size += max(len(pieces) + 1, len(text) >> 3)
             if size > _PENDING:
-                yield from self._flush(pending)
+                yield from self._flush(pending, special)
                 pending, size = [], 0
-        yield from self._flush(pending)
+        yield from self._flush(pending, special)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the decoded text; bytes that aren't UTF-8 become U+FFFD."""
@@ -334,23 +361,21 @@ def encoded(docs: DataFrame, path: str, keep: list[str], ids: bool = True) -> Da
     token ids, as binary. Null and empty texts have no tokens and the digests of the
     empty string; repeated rows are encoded each; the row count never changes.
     """
-    kinds = dict(docs.dtypes)
-    schema = "".join(f"`{c}` {kinds[c]}, " for c in keep)
-    schema += "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make() -> Work:
         own = encoder(path)
-        for rows in batches:
-            out = []
-            for found in own.encode(rows["_text"]):
-                values = [
-                    len(found),
-                    hashlib.sha256(own.listed(found)).hexdigest(),
-                    hashlib.sha256(own.decode(found)).hexdigest(),
-                ]
-                out.append((*values, found.tobytes()) if ids else values)
-            names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if ids else [])]
-            made = pd.DataFrame(out, columns=names, index=rows.index)
-            yield pd.concat([rows.drop(columns="_text"), made], axis=1)
-
-    return docs.select(*keep, F.col("text").alias("_text")).mapInPandas(run, schema)
+
+        def work(texts: list) -> list:
+            out: list[list] = [[], [], [], []]
+            for found in own.encode(texts):
+                out[0].append(len(found))
+                out[1].append(hashlib.sha256(own.listed(found)).hexdigest())
+                out[2].append(hashlib.sha256(own.decode(found)).hexdigest())
+                if ids:
+                    out[3].append(found.tobytes())
+            return out if ids else out[:3]
+
+        return work
+
+    fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids
+    return added(docs, F.col("text"), fields, make, keep)

@@ -8,8 +8,10 @@ is marked again and again, never over marked words; what is left of a match that
 partly marked returns to the queue with its shorter length. The share of an item's
 words that tiles cover does not depend on the order of its passages.
 
-The benchmark is taken in blocks of at most ``BLOCK_WORDS`` words, so the broadcast is
-bounded; a larger benchmark means more passes over the documents, nothing else.
+The benchmark is taken in blocks of at most ``BLOCK_WORDS`` words (or one longer item), so
+the broadcast is bounded. With several blocks each pass over the documents is written
+before the next block is read, so one block is alive at a time; a larger benchmark means
+more passes, nothing else.
 """
 
 from __future__ import annotations
@@ -20,11 +22,13 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossia.llm.batches import Work, added
+from glossia.llm.durable import saved, unused
+
 #: Shortest tile, in words; items with fewer words are never reported.
 LEAST = 5
 #: Share of an item's words that a document must cover.
@@ -34,6 +38,8 @@ BLOCK_WORDS = 500_000
 _WORD = re.compile(r"\w+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = 1 << 20
+#: Pairs of equal windows that are looked at together.
+_PAIRS = 1 << 20
 
 
 def words(text: str | None) -> list[str]:
@@ -52,26 +58,51 @@ def window_hashes(ids: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def tiles(pattern: np.ndarray, text: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
-    """Greedy tiles ``(pattern start, text start, length)``, longest first, ties from the left.
+def _runs(pattern: np.ndarray, text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal matches of at least ``least`` words: pattern start, text start, length in words.
 
-    Negative ids match nothing.
+    Equal windows are paired for some of the text's at a time, ``_PAIRS`` pairs or those
+    of one window, and joined along their diagonals at once; runs go on over the cuts.
     """
     mine, theirs = window_hashes(pattern, least), window_hashes(text, least)
     order = np.argsort(mine, kind="stable")
     low, high = np.searchsorted(mine[order], theirs, "left"), np.searchsorted(mine[order], theirs, "right")
     count = high - low
-    at = np.repeat(np.arange(len(theirs)), count)
-    start = order[np.repeat(low, count) + np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)]
-    real = np.ones(len(at), np.bool_)
-    for j in range(least):  # hashes may collide
-        real &= (pattern[start + j] == text[at + j]) & (text[at + j] >= 0)
-    start, at = start[real], at[real]
+    upto = np.cumsum(count)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    a = 0
+    while a < len(theirs):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + _PAIRS, "right")))
+        own = count[a:b]
+        at = np.repeat(np.arange(a, b), own)
+        start = order[np.repeat(low[a:b], own) + np.arange(len(at)) - np.repeat(np.cumsum(own) - own, own)]
+        real = np.ones(len(at), np.bool_)
+        for j in range(least):  # hashes may collide
+            real &= (pattern[start + j] == text[at + j]) & (text[at + j] >= 0)
+        found.append(_along(start[real], at[real], np.ones(int(real.sum()), np.int64)))
+        a = b
+    start, at, windows = _along(*(np.concatenate(x) for x in zip(*found, strict=True))) if found else (np.empty(0, np.int64),) * 3
+    return start, at, windows + least - 1
+
+
+def _along(start: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs that continue one another on a diagonal, joined."""
     by = np.lexsort((start, at - start))
-    start, at = start[by], at[by]
-    first = np.flatnonzero((np.diff(at - start, prepend=np.iinfo(np.int64).min) != 0) | (np.diff(start, prepend=-2) != 1))
-    length = np.diff(np.append(first, len(start))) + least - 1
-    queue = [(-int(n), int(p), int(t)) for n, p, t in zip(length, start[first], at[first], strict=True)]
+    start, at, size = start[by], at[by], size[by]
+    if not len(start):
+        return start, at, size
+    ends = start + size
+    first = np.flatnonzero(np.concatenate(([True], (np.diff(at - start) != 0) | (start[1:] != ends[:-1]))))
+    return start[first], at[first], np.add.reduceat(size, first)
+
+
+def tiles(pattern: np.ndarray, text: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
+    """Greedy tiles ``(pattern start, text start, length)``, longest first, ties from the left.
+
+    Negative ids match nothing.
+    """
+    start, at, length = _runs(pattern, text, least)
+    queue = [(-int(n), int(p), int(t)) for n, p, t in zip(length, start, at, strict=True)]
     heapq.heapify(queue)
     in_pattern, in_text = np.zeros(len(pattern), np.bool_), np.zeros(len(text), np.bool_)
     out = []
@@ -143,20 +174,34 @@ class Block:
             yield item, self.known[key]
 
 
-def blocks(benchmark: DataFrame, least: int, block_words: int) -> Iterator[Broadcast]:
-    """The benchmark's items, read a block at a time and broadcast."""
+def blocks(benchmark: DataFrame, least: int, block_words: int) -> Iterator[tuple[Block, bool]]:
+    """The benchmark's items, read a block at a time; whether it is the last."""
     held, size = [], 0
-    sc = benchmark.sparkSession.sparkContext
     for row in benchmark.select("item_id", "text").toLocalIterator():
         own = words(row["text"])
         if len(own) < least:
             continue
         if held and size + len(own) > block_words:
-            yield sc.broadcast(Block(held, least))
+            yield Block(held, least), False
             held, size = [], 0
         held.append((row["item_id"], own))
         size += len(own)
-    yield sc.broadcast(Block(held, least))
+    yield Block(held, least), True
+
+
+def _leaks(shared: Broadcast, min_coverage: float) -> Callable[[], Work]:
+    """For each text the items of the block that it leaks: name, covered words, words."""
+
+    def make() -> Work:
+        block = shared.value
+        least = [min_coverage * len(x) for x in block.ids]
+        name = lambda i, n: {"item_id": block.names[i], "covered": n, "words": len(block.ids[i])}
+        return lambda texts: [[[name(i, n) for i, n in block.covered(t) if n >= least[i]] for t in texts]]
+
+    return make
+
+
+_FOUND = "array<struct<item_id: bigint, covered: bigint, words: bigint>>"
 
 
 def overlaps(
@@ -172,27 +217,16 @@ def overlaps(
     empty texts, on either side, leak nothing; equal items, and repeated documents,
     give a row each; other columns are ignored.
     """
-    kind = dict(docs.dtypes)["doc_id"]
-
-    def search(shared: Broadcast) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            block = shared.value
-            for rows in batches:
-                out = [
-                    (doc, block.names[i], n, len(block.ids[i]), n / len(block.ids[i]))
-                    for doc, text in zip(rows["doc_id"], rows["text"], strict=True)
-                    for i, n in block.covered(text)
-                    if n >= min_coverage * len(block.ids[i])
-                ]
-                made = pd.DataFrame(out, columns=["doc_id", "item_id", "covered_words", "item_words", "coverage"])
-                yield made.astype({"item_id": "Int64", "covered_words": "int64", "item_words": "int64", "coverage": "float64"})
-
-        return run
-
-    schema = f"doc_id {kind}, item_id long, covered_words long, item_words long, coverage double"
-    rows = docs.select("doc_id", "text")
-    found = [rows.mapInPandas(search(b), schema) for b in blocks(benchmark, least, block_words)]
-    return reduce(DataFrame.unionByName, found)
+    found = []
+    for block, last in blocks(benchmark, least, block_words):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        rows = added(docs, F.col("text"), f"found {_FOUND}", _leaks(shared, min_coverage), ["doc_id"]).select("doc_id", F.inline("found"))
+        if not last or found:
+            rows = saved(rows, "leaks")
+            shared.destroy()
+        found.append(rows)
+    coverage = (F.col("covered") / F.col("words")).alias("coverage")
+    return reduce(DataFrame.unionByName, found).select("doc_id", "item_id", F.col("covered").alias("covered_words"), F.col("words").alias("item_words"), coverage)
 
 
 def keep_clean(
@@ -203,20 +237,14 @@ def keep_clean(
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """Rows of ``docs``, all columns, that leak no item; filtered where they lie, no shuffle."""
-
-    def keep(shared: Broadcast) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            block = shared.value
-            for rows in batches:
-                clean = [
-                    not any(n >= min_coverage * len(block.ids[i]) for i, n in block.covered(text)) for text in rows["text"]
-                ]
-                yield rows[np.array(clean, np.bool_)]
-
-        return run
-
-    for block in blocks(benchmark, least, block_words):
-        docs = docs.mapInPandas(keep(block), docs.schema)
+    mark, several = unused(docs, "_found"), False
+    for block, last in blocks(benchmark, least, block_words):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        docs = added(docs, F.col("text"), f"`{mark}` {_FOUND}", _leaks(shared, min_coverage)).where(F.size(mark) == 0).drop(mark)
+        several |= not last
+        if several:
+            docs = saved(docs, "clean")
+            shared.destroy()
     return docs
 
 

@@ -9,7 +9,7 @@ them up by text, in numpy.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -17,6 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossia.llm.batches import Work, added
+from glossia.llm.durable import unused
+
 BUCKETS = 1 << 15
 #: Languages that a model may have; more is an error, as the matrix is broadcast.
 MAX_LANGUAGES = 500
@@ -27,6 +30,7 @@ UNKNOWN = "und"
 MIN_SCORE = 0.5
 
 _BATCH_CHARS = 1 << 19
+_BATCH_TEXTS = 1000
 
 
 @lru_cache(maxsize=1)
@@ -171,30 +175,30 @@ def fit(docs: DataFrame, max_docs: int = MAX_TRAINING_DOCS) -> Model:
     return Model(languages, np.log(totals / totals.sum()), weights)
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+def predict(docs: DataFrame, model: Model, keep: Sequence[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``keep`` columns of every row plus the language and its posterior, called ``names``.
 
     Only the text is looked at. A null text, one without any letter, or a model
     without languages gives ``und`` with score 0; the row count never changes.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.priors, model.weights))
-    kinds = dict(docs.dtypes)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make() -> Work:
         languages, priors, weights = shared.value
         labels = np.array([*languages, UNKNOWN], object)
-        for rows in batches:
-            texts = [t or "" for t in rows.iloc[:, -1]]
-            rows = rows.iloc[:, :-1]
-            if languages:
-                best, posterior, found = score(texts, weights, priors)
-                made = (labels[np.where(found, best, len(languages))], np.where(found, posterior, 0.0))
-            else:
-                made = (UNKNOWN, 0.0)
-            yield rows.assign(**dict(zip(names, made, strict=True)))
 
-    schema = "".join(f"`{c}` {kinds[c]}, " for c in keep) + f"`{names[0]}` string, `{names[1]}` double"
-    return docs.select(*keep, F.col("text").alias("_scored_text")).mapInPandas(run, schema)
+        def work(texts: list) -> list:
+            if not languages:
+                return [[UNKNOWN] * len(texts), np.zeros(len(texts))]
+            out = []
+            for at in range(0, len(texts), _BATCH_TEXTS):
+                best, posterior, found = score([t or "" for t in texts[at : at + _BATCH_TEXTS]], weights, priors)
+                out.append((labels[np.where(found, best, len(languages))], np.where(found, posterior, 0.0)))
+            return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [[], []]
+
+        return work
+
+    return added(docs, F.col("text"), f"`{names[0]}` string, `{names[1]}` double", make, keep)
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -205,6 +209,6 @@ def identified(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """Rows whose language is known with at least even odds, all columns as they were."""
-    lang, odds = (f"_{'_'.join(docs.columns)}_{x}" for x in ("lang", "score"))  # clash with no column
-    out = predict(docs, fit(docs), keep=docs.columns, names=(lang, odds))
-    return out.where((F.col(lang) != UNKNOWN) & (F.col(odds) >= MIN_SCORE)).select(*docs.columns)
+    lang, odds = unused(docs, "_lang"), unused(docs, "_score")
+    out = predict(docs, fit(docs), keep=["*"], names=(lang, odds))
+    return out.where((F.col(lang) != UNKNOWN) & (F.col(odds) >= MIN_SCORE)).drop(lang, odds)

@@ -19,12 +19,13 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossia.llm.batches import frame
 from glossia.llm.durable import new_dir, saved
 
 LENGTH = 2048
@@ -125,10 +126,10 @@ def _tokenizer(path: str, fallback: str):
     def encode(text: str) -> np.ndarray:
         try:
             return np.array(known.encode_ordinary(text), np.int64)
-        except BaseException as e:  # its pattern engine gives up on some very long runs
-            if isinstance(e, (KeyboardInterrupt, SystemExit)):
+        except BaseException as e:  # its pattern engine panics on some very long runs
+            if type(e).__name__ != "PanicException":
                 raise
-            return next(encoder(fallback).encode([text])).astype(np.int64)
+            return next(encoder(fallback).encode([text], special=False)).astype(np.int64)
 
     return encode
 
@@ -140,7 +141,7 @@ def write_packed(docs: DataFrame, folder: str, ranks: str, vocabulary: str, leng
     long. Rows may repeat and ids may be null; other columns are ignored.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _tokenizer(ranks, vocabulary)
         store, root = _store(folder)
         store.create_dir(root, recursive=True)
@@ -148,20 +149,19 @@ def write_packed(docs: DataFrame, folder: str, ranks: str, vocabulary: str, leng
         task = TaskContext.get().partitionId()
         number = 0
 
-        def finish(held: list, names: list) -> pd.DataFrame:
+        def finish(held: list, names: list) -> pa.RecordBatch:
             arrays = pack(held, length)
-            names = pd.array(names, "Int64")
             buffer = io.BytesIO()
-            np.savez(buffer, **arrays, doc_id=names.fillna(0).to_numpy(np.int64), no_id=np.asarray(names.isna()))
+            np.savez(buffer, **arrays, doc_id=np.array([n or 0 for n in names], np.int64), no_id=np.array([n is None for n in names]))
             file = f"{uuid.uuid4().hex}.npz"
             with store.open_output_stream(f"{root}/{file}", compression=None) as out:
                 out.write(buffer.getvalue())
             row = (f"{task:06d}-{number:06d}", f"{folder}/{file}", len(held), len(arrays["ids"]), int(sum(map(len, held))))
-            return pd.DataFrame([row], columns=[x.split()[0] for x in _MANIFEST.split(", ")])
+            return frame([row], _MANIFEST)
 
         held, names, size = [], [], 0
         for rows in batches:
-            for doc, text in zip(rows["doc_id"].astype("Int64"), rows["text"], strict=True):
+            for doc, text in zip(rows["doc_id"].to_pylist(), rows["text"].to_pylist(), strict=True):
                 held.append(np.concatenate((encode(text or ""), end)))
                 names.append(doc)
                 size += len(held[-1])
@@ -171,7 +171,7 @@ def write_packed(docs: DataFrame, folder: str, ranks: str, vocabulary: str, leng
         if held:
             yield finish(held, names)
 
-    return saved(docs.select("doc_id", "text").mapInPandas(run, _MANIFEST), "packed")
+    return saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _MANIFEST), "packed")
 
 
 def read_packed(manifest: DataFrame) -> DataFrame:
@@ -183,9 +183,9 @@ def read_packed(manifest: DataFrame) -> DataFrame:
     """
     schema = "doc_id long, matrix string, row int, position int, doc_start long, length int, ids_sha256 string"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for matrix, path, documents, tokens in zip(batch["matrix"], batch["path"], batch["documents"], batch["tokens"], strict=True):
+            for matrix, path, documents, tokens in zip(*(batch[c].to_pylist() for c in ("matrix", "path", "documents", "tokens")), strict=True):
                 store, inside = _store(path)
                 with store.open_input_stream(inside, compression=None) as f:
                     a = np.load(io.BytesIO(f.read()))
@@ -197,13 +197,13 @@ def read_packed(manifest: DataFrame) -> DataFrame:
                     raise ValueError(f"{path} does not hold what its manifest row or its resets say")
                 rows = np.repeat(np.arange(len(ids)), np.diff(splits) - 1)
                 digests = [hashlib.sha256(ids[r, s:e].astype("<u4").tobytes()).hexdigest() for r, s, e in zip(rows, starts, ends, strict=True)]
-                made = pd.DataFrame({"matrix": matrix, "row": rows.astype(np.int32), "position": starts, "doc_start": segments[:, 1], "length": ends - starts, "ids_sha256": digests})
-                made.insert(0, "doc_id", pd.array(names[segments[:, 0]], "Int64"))
-                made.loc[unknown[segments[:, 0]], "doc_id"] = pd.NA
-                yield made
+                owner = segments[:, 0]
+                ids_of = pa.array(names[owner], pa.int64(), mask=unknown[owner])
+                columns = [ids_of, pa.array([matrix] * len(rows)), rows.astype(np.int32), starts.astype(np.int32), segments[:, 1], (ends - starts).astype(np.int32), pa.array(digests, pa.string())]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [x.split()[0] for x in schema.split(", ")])
 
     files = manifest.select("matrix", "path", "documents", "tokens")
-    return files.repartition(max(1, files.count())).mapInPandas(run, schema)
+    return files.repartition(max(1, files.count())).mapInArrow(run, schema)
 
 
 def packed(spark: SparkSession, docs: DataFrame) -> DataFrame:

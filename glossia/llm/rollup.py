@@ -17,22 +17,31 @@ from urllib.parse import quote
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossia.llm.batches import added
+from glossia.llm.bpe import encoder
 from glossia.llm.durable import new_dir
 
 KEYS = ("source", "lang", "tokenizer")
 SCHEMA = "source string, lang string, tokenizer string, documents long, tokens long"
-#: Tokenizer versions that need no model: white-space words, and words and single marks.
+#: Tokenizer versions that need no vocabulary: white-space words, and words and single marks.
 PATTERNS = {
     "words@1": r"[^\x20\x09-\x0D]+",
     "words@2": r"[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]",
 }
 
 
-def counted(docs: DataFrame, versions: tuple[str, ...] = tuple(PATTERNS)) -> DataFrame:
-    """``doc_id, source, lang`` and one count column for each version; null texts count 0."""
+def counted(docs: DataFrame, versions: tuple[str, ...] = tuple(PATTERNS), vocabularies: dict[str, str] | None = None) -> DataFrame:
+    """``doc_id, source, lang`` and one count column for each version; null texts count 0.
+
+    ``vocabularies``: more versions by the path of a tokenizer's JSON file on each
+    machine, counted by the encoder of ``bpe``.
+    """
     text = F.coalesce("text", F.lit(""))
-    counts = [F.regexp_count(text, F.lit(PATTERNS[v])).cast("long").alias(v) for v in versions]
-    return docs.select("doc_id", "source", "lang", *counts)
+    columns = ["doc_id", "source", "lang", *[F.regexp_count(text, F.lit(PATTERNS[v])).cast("long").alias(v) for v in versions]]
+    for version, path in (vocabularies or {}).items():
+        docs = added(docs, F.col("text"), f"`{version}` long", lambda path=path: lambda texts: [list(map(len, encoder(path).encode(texts)))])
+        columns.append(F.col(f"`{version}`"))
+    return docs.select(*columns)
 
 
 def changes(counts: DataFrame, version: str, sign: int) -> DataFrame:
@@ -61,11 +70,25 @@ def _commit(df: DataFrame, root: str, kind: str, name: str) -> bool:
     staged = f"{root}/staged/{new_dir(spark, name).rpartition('/')[2]}"
     df.write.parquet(staged)
     store.mkdirs(target.getParent())
-    if not store.rename(_path(spark, staged)[0], target):
-        if not store.exists(target):
-            raise OSError(f"{staged} could not be renamed to {target}")
+    return _renamed(spark, staged, f"{root}/{kind}/{name}")
+
+
+def _renamed(spark: SparkSession, staged: str, target: str) -> bool:
+    """Give a written folder its name; False if another one has it.
+
+    A folder that gets the name in between takes the staged one inside it, which then
+    is taken out again; readers list no folders below a batch.
+    """
+    (source, store), (to, _) = _path(spark, staged), _path(spark, target)
+    if store.rename(source, to):
+        inside, _ = _path(spark, f"{target}/{staged.rpartition('/')[2]}")
+        if not store.exists(inside):
+            return True
+        store.delete(inside, True)
         return False
-    return True
+    if not store.exists(to):
+        raise OSError(f"{staged} could not be renamed to {target}")
+    return False
 
 
 def _base(spark: SparkSession, root: str) -> tuple[DataFrame | None, set[str]]:
@@ -116,5 +139,5 @@ def compact(spark: SparkSession, root: str) -> None:
     spark.createDataFrame([(n,) for n in names], "name string").write.parquet(f"{staged}/batches")
     target, store = _path(spark, f"{root}/base/{number}")
     store.mkdirs(target.getParent())
-    if store.exists(target) or not store.rename(_path(spark, staged)[0], target):
+    if store.exists(target) or not _renamed(spark, staged, f"{root}/base/{number}"):
         raise OSError(f"another compaction made {target}")

@@ -15,9 +15,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossia.llm.batches import Work, added, frame
+
 K = 128
 SHINGLE_WORDS = 5
 MAX_RANGES = 20_000
@@ -139,7 +142,7 @@ def group_sketches(docs: DataFrame, by: str, k: int = K, salts: int = 64) -> Dat
     """
     kind = dict(docs.dtypes)[by]
 
-    def frame(held: dict) -> pd.DataFrame:
+    def table(held: dict) -> pd.DataFrame:
         return pd.DataFrame({"g": list(held), "sketch": [packed(v) for v in held.values()]}, dtype=object)
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,10 +152,10 @@ def group_sketches(docs: DataFrame, by: str, k: int = K, salts: int = 64) -> Dat
                 group = None if pd.isna(group) else group
                 held[group] = merged(held.get(group, _EMPTY), sketch(text, k), k)
             if len(held) > 1000:  # bounded memory for many groups
-                yield frame(held)
+                yield table(held)
                 held = {}
         if held:
-            yield frame(held)
+            yield table(held)
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         out = _EMPTY
@@ -171,57 +174,64 @@ def group_sketches(docs: DataFrame, by: str, k: int = K, salts: int = 64) -> Dat
 
 
 def _in_order(docs: DataFrame, size: int) -> DataFrame:
-    """Rows dealt by ranges of doc_id, sorted inside, each range followed by the next one's first row.
-
-    Range bounds come from the ids alone: at most ``MAX_RANGES`` numbers, as are the
-    first ids of the ranges. The first row of a range is sent twice, the second time
-    to the range before it (the very first to the last), so texts are shuffled once
-    and no task needs all rows. ``extra`` marks the second copies.
+    """Rows dealt by ranges of (doc_id, MD5 of the text), sorted inside, each range followed by the next one's first row.
+
+    Range bounds come from the ids: at most ``MAX_RANGES`` numbers (beyond that ranges
+    just grow), as are the first rows of the ranges. An id of many rows, and the null
+    ids, which come first, are dealt over several ranges by the MD5. The first row of a
+    range is sent twice, the second time to the range before it (the very first to the
+    last), so texts are shuffled once and no task needs all rows. ``extra`` marks the
+    second copies.
     """
-    ids = docs.select("doc_id")
-    ranges = max(1, min(MAX_RANGES, ids.count() // size))
-    step = [i / ranges for i in range(1, ranges)]
-    bounds = np.unique(np.array(ids.approxQuantile("doc_id", step, 0.2 / ranges) if step else [], np.float64))
-
-    @F.pandas_udf("int")
-    def part_of(found: pd.Series) -> pd.Series:  # null ids come first
-        known = found.fillna(0).to_numpy(np.float64)
-        return pd.Series(np.where(found.isna(), 0, np.searchsorted(bounds, known, "right")))
-
+    spark = docs.sparkSession
     known = F.col("doc_id").isNotNull()
-    narrow = ids.withColumn("part", part_of("doc_id"))
-    heads = narrow.groupBy("part").agg(F.min(F.struct(known.alias("known"), "doc_id")).alias("head"))
-    found = sorted((r["part"], r["head"]["doc_id"]) for r in heads.collect())
-    sent = {part: (found[i - 1][0], head) for i, (part, head) in enumerate(found)}
-
-    @F.pandas_udf("int")
-    def copy_to(ids: pd.Series, parts: pd.Series) -> pd.Series:  # the range that needs this row too, or -1
-        heads = parts.map({p: np.nan if h is None else h for p, (_, h) in sent.items()})
-        first = (ids == heads) | (ids.isna() & heads.isna())
-        return parts.map({p: to for p, (to, _) in sent.items()}).where(first, -1).astype("int32")
-
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("part", part_of("doc_id"))
-    rows = rows.withColumn("to", copy_to("doc_id", "part"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("known", known).withColumn("tkey", F.md5("text"))
+    total, ids = rows.agg(F.count("*"), F.count("doc_id")).first()
+    first = min(MAX_RANGES // 2, (total - ids) // size)  # ranges of null ids but one
+    ranges = max(1, min(MAX_RANGES, ids // size))
+    step = [i / ranges for i in range(1, ranges)]
+    bounds = np.sort(np.array(rows.where(known).approxQuantile("doc_id", step, 0.2 / ranges) if step else [], np.float64))
+
+    def part_of() -> Work:  # floats of ids keep their order
+        def work(found: list) -> list:
+            ids = np.array([x["id"] or 0 for x in found], np.float64)
+            chance = np.array([x["chance"] for x in found])
+            low, high = np.searchsorted(bounds, ids, "left"), np.searchsorted(bounds, ids, "right")
+            own = first + low + (chance * (high - low + 1)).astype(np.int64)
+            return [np.where([x["id"] is None for x in found], (chance * (first + 1)).astype(np.int64), own).astype(np.int32)]
+
+        return work
+
+    chance = F.conv(F.substring("tkey", 1, 8), 16, 10).cast("long") / float(1 << 32)
+    place = F.struct(F.col("doc_id").alias("id"), chance.alias("chance"))
+    heads = added(rows, place, "part int", part_of, ["known", "doc_id", "tkey"]).groupBy("part").agg(F.min(F.struct("known", "doc_id", "tkey")).alias("head"))
+    found = sorted((r["part"], *r["head"]) for r in heads.collect())
+    sent = pa.table({
+        "part": pa.array([x[0] for x in found], pa.int32()), "h_id": pa.array([x[2] for x in found], pa.int64()),
+        "h_key": pa.array([x[3] for x in found], pa.string()), "to": pa.array([found[i - 1][0] for i in range(len(found))], pa.int32()),
+    })
+    dealt = added(rows, place, "part int", part_of, ["doc_id", "text", "known", "tkey"]).join(F.broadcast(spark.createDataFrame(sent)), "part", "left")
+    head = F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("tkey") == F.col("h_key"))
     own = F.struct("part", F.lit(False).alias("extra"))
     copy = F.struct(F.col("to").alias("part"), F.lit(True).alias("extra"))
-    rows = rows.withColumn("copy", F.explode(F.when(F.col("to") < 0, F.array(own)).otherwise(F.array(own, copy))))
-    rows = rows.select("doc_id", "text", "copy.part", "copy.extra")
-    dealt = rows.repartitionById(len(bounds) + 1, "part")
-    return dealt.sortWithinPartitions("part", "extra", known, "doc_id", F.md5("text"))
+    dealt = dealt.withColumn("copy", F.explode(F.when(F.coalesce(head, F.lit(False)), F.array(own, copy)).otherwise(F.array(own))))
+    dealt = dealt.select("doc_id", "text", "known", "tkey", "copy.part", "copy.extra")
+    dealt = dealt.repartitionById(len(bounds) + first + 1, "part")
+    return dealt.sortWithinPartitions("part", "extra", "known", "doc_id", "tkey").select("doc_id", "text", "part", "extra")
 
 
 def edited(docs: DataFrame, size: int = 1024, k: int = K) -> DataFrame:
     """Each document's sketch, and how near an edit and the next document are to it.
 
     ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next``. The edit replaces the last quarter of the code points by as many of
+    near_next, distinct_shingles, containment_next`` (how much of it the next has). The edit replaces the last quarter of the code points by as many of
     the next document's first ones, or all it has. Next is by ascending doc_id (null
     first; rows that share an id by their text's MD5), and the first after the last;
     a lone document is its own next. Null texts are empty. ``size``: rows a range.
     """
-    kind = dict(docs.dtypes)["doc_id"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, part, out = None, None, []
 
         def done(row, after) -> None:
@@ -230,13 +240,11 @@ def edited(docs: DataFrame, size: int = 1024, k: int = K) -> DataFrame:
             cut = len(text) // 4
             made = text[: len(text) - cut] + following[:cut]
             changed = sketch(made, k)
-            out.append((doc, len(text), hashlib.sha256(made.encode()).hexdigest(), packed(own), packed(changed), resemblance(own, changed, k), resemblance(own, other, k)))
+            digest = hashlib.sha256(made.encode("utf-8", "surrogatepass")).hexdigest()
+            out.append((doc, len(text), digest, packed(own), packed(changed), resemblance(own, changed, k), resemblance(own, other, k), distinct(own, k), containment(own, other, k)))
 
-        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-        frame = lambda: pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
-        for rows in batches:
-            ids = rows["doc_id"].astype("Int64")
-            for doc, text, where, extra in zip(ids, rows["text"], rows["part"], rows["extra"], strict=True):
+        for batch in batches:
+            for doc, text, where, extra in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held is not None and where == part:
                     own = sketch(text, k)
                     done(held, (text, own))
@@ -244,10 +252,13 @@ def edited(docs: DataFrame, size: int = 1024, k: int = K) -> DataFrame:
                 elif not extra:
                     held, part = (doc, text, sketch(text, k)), where
                 if len(out) >= 2000:
-                    yield frame()
+                    yield frame(out, schema)
                     out = []
         if out:
-            yield frame()
+            yield frame(out, schema)
 
-    schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return _in_order(docs, size).mapInPandas(run, schema)
+    schema = (
+        "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+        "near_edited double, near_next double, distinct_shingles double, containment_next double"
+    )
+    return _in_order(docs, size).mapInArrow(run, schema)

@@ -9,17 +9,20 @@ by the largest record.
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import math
 import struct
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossia.llm.batches import frame
 from glossia.llm.durable import new_dir, saved
 
 #: Magic numbers of the frame formats, little-endian on disk.
@@ -131,16 +134,11 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2000-01-01T00:00:
         "page_id", "url", "html", "digest", F.expr("case when page_id <=> first then null else first end").alias("refers_to")
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[bytes]:
             for batch in batches:
-                batch["page_id"] = batch["page_id"].astype("Int64")
-                batch["refers_to"] = batch["refers_to"].astype("Int64")
-                for page, url, text, digest, first_id in batch.itertuples(index=False):
-                    yield record(
-                        None if page is pd.NA else int(page), url, text.encode(), digest,
-                        None if first_id is pd.NA else int(first_id), date,
-                    )
+                for page, url, text, digest, first_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    yield record(page, url, text.encode("utf-8", "surrogatepass"), digest, first_id, date)
 
         rest = records()
         while True:
@@ -150,12 +148,12 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2000-01-01T00:00:
                 size += len(one)
             if not sample:
                 return
-            yield pd.DataFrame([_archive(folder, sample, rest, most)], columns=["path", "records", "bytes"])
+            yield frame([_archive(folder, sample, rest, most)], _MANIFEST)
 
-    return saved(rows.mapInPandas(run, _MANIFEST), "manifest")
+    return saved(rows.mapInArrow(run, _MANIFEST), "manifest")
 
 
-def _frames(stream, most: int) -> Iterator[bytes]:
+def _frames(stream, most: float) -> Iterator[bytes]:
     """Every record of an archive, decoded; raises where the framing is broken."""
     data = stream.read(_READ)
     known = None
@@ -239,65 +237,66 @@ def parse(data: bytes) -> dict:
     lines = http.split(b"\r\n")
     if not gap or not lines[0].startswith(b"HTTP/"):
         raise ArchiveError("the block has no HTTP head")
-    size = _number(_headers(lines[1:]).get("content-length"), "the HTTP Content-Length")
-    digest = fields.get("warc-payload-digest", "")
-    if not digest.startswith("sha256:") or len(digest) != 71:
-        raise ArchiveError(f"unknown payload digest {digest[:40]!r}")
-    digest = digest[7:]
+    given = _headers(lines[1:]).get("content-length")
+    size = len(payload) if given is None else _number(given, "the HTTP Content-Length")
+    name, _, value = fields.get("warc-payload-digest", "").partition(":")
     if kind == "revisit":
         if payload or not out["refers_to"]:
             raise ArchiveError("a revisit has a payload, or refers to nothing")
-    elif len(payload) != size or hashlib.sha256(payload).hexdigest() != digest:
+        return out | {"bytes": size, "digest": value if name == "sha256" else None, "payload": payload}
+    if name and not _same(name.lower(), value, payload) or len(payload) != size:
         raise ArchiveError("the payload's length or digest differs from its headers")
-    return out | {"bytes": size, "digest": digest, "payload": payload}
+    return out | {"bytes": size, "digest": hashlib.sha256(payload).hexdigest(), "payload": payload}
 
 
-def _page(field: str | None) -> int | None:
-    if field is None:
-        return None
-    if not field.startswith(f"<{_ID}") or not field.endswith(">"):
-        raise ArchiveError(f"unknown record id {field[:60]!r}")
-    number = field[len(_ID) + 1 : -1]
-    return int(number) if number else None
+def _same(name: str, value: str, payload: bytes) -> bool:
+    """Whether a digest, in hexadecimal or base 32, is the payload's; unknown kinds are not held against it."""
+    if name not in ("sha256", "sha1", "md5"):
+        return True
+    digest = hashlib.new(name, payload)
+    return value.lower() == digest.hexdigest() or value.upper() == base64.b32encode(digest.digest()).decode()
 
 
-def read_archives(manifest: DataFrame, payload: bool = False, most: int = 1 << 30) -> DataFrame:
-    """Every record of the manifest's archives, one archive a task.
+def _bare(field: str | None) -> str | None:
+    """An id without its angle brackets."""
+    return None if field is None else field.removeprefix("<").removesuffix(">")
 
-    ``page_id, url, payload_bytes, payload_digest, record_type, refers_to`` and, if
-    asked for, ``payload``. A broken archive, a record over ``most`` bytes, or an
-    archive with another count of records than its manifest row fails the job.
-    """
-    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    names = [x.split()[0] for x in schema.split(", ")] + ["payload"] * payload
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def frame(rows: list) -> pd.DataFrame:
-            made = pd.DataFrame(rows, columns=names)
-            return made.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
+def read_archives(manifest: DataFrame, payload: bool = False, most: int | None = None) -> DataFrame:
+    """Every record of the manifest's archives, whoever wrote them, one archive a task.
+
+    ``record_id, url, payload_bytes, payload_digest, record_type, refers_to`` and, if
+    asked for, ``payload``; the digest is SHA-256. A broken archive, a record over
+    ``most`` bytes (none: any size), or an archive with another count of records than
+    its manifest row fails the job.
+    """
+    schema = "record_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string" + ", payload binary" * payload
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, count in zip(batch["path"], batch["records"], strict=True):
+            for path, count in zip(batch["path"].to_pylist(), batch["records"].to_pylist(), strict=True):
                 store, inside = _local(path)
                 rows, held, seen = [], 0, 0
                 with store.open_input_stream(inside, compression=None) as stream:
-                    for data in _frames(stream, most):
+                    for data in _frames(stream, math.inf if most is None else most):
                         seen += 1
                         r = parse(data)
-                        rows.append([_page(r["id"]), r["url"], r["bytes"], r["digest"], r["type"], _page(r["refers_to"]), *([r["payload"]] if payload else [])])
+                        rows.append((_bare(r["id"]), r["url"], r["bytes"], r["digest"], r["type"], _bare(r["refers_to"]), *([r["payload"]] if payload else [])))
                         held += len(data) if payload else 300
                         if held > 1 << 23:
-                            yield frame(rows)
+                            yield frame(rows, schema)
                             rows, held = [], 0
                 if seen != count:
                     raise ArchiveError(f"{path} has {seen} records, its manifest row says {count}")
                 if rows:
-                    yield frame(rows)
+                    yield frame(rows, schema)
 
     files = manifest.select("path", "records")
-    return files.repartition(max(1, files.count())).mapInPandas(run, schema + ", payload binary" * payload)
+    return files.repartition(max(1, files.count())).mapInArrow(run, schema)
 
 
 def archived(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Write ``pages`` to archives in the shared folder and read them back."""
-    return read_archives(write_archives(pages, new_dir(spark, "warc")))
+    """Write ``pages`` to archives in the shared folder and read them back, ids as page_id."""
+    back = read_archives(write_archives(pages, new_dir(spark, "warc")))
+    page = lambda c: F.nullif(F.substring(c, len(_ID) + 1, 20), F.lit("")).cast("long")
+    return back.select(page("record_id").alias("page_id"), "url", "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
