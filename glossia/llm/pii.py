@@ -9,12 +9,12 @@ never occurs without the entity. Terms whose ratio reaches ``GENERALISE`` are re
 by a class, those that reach ``REMOVE`` are removed.
 
 How likely the entity comes with the term is taken at its lower 95 % bound. Evidence are
-the contexts of the entity that a text has, each different one once, as far as the term
-occurs as often in that text; copies of a text are no evidence. A bound below
+the contexts of the entity, each different one once in the corpus, as far as the term
+occurs as often in its text; copies of a text or of a passage are no evidence. A bound below
 ``CERTAIN`` marks nothing, whatever the size of the corpus: so a name that stands once
 beside an address is left. Entities that occur in exactly the same texts are one, as
-nothing in the corpus tells them apart. For entities of fewer than ``SUPPORT`` contexts
-what a term tells of their class (an e-mail address's domain, else the kind) counts too.
+nothing in the corpus tells them apart. For e-mail addresses of fewer than ``SUPPORT``
+contexts what a term tells of their domain counts too.
 Terms of the whole text are counted, and marked wherever they stand in it.
 
 Everything is DataFrame and SQL functions. ``split`` and ``regexp_extract_all`` walk the
@@ -28,6 +28,8 @@ linear and long runs don't overflow the stack.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,17 +157,28 @@ def terms_of(texts: DataFrame) -> DataFrame:
     return saved(placed.select("tkey", F.lower("m").alias("term"), "s", "e"), "entity_terms")
 
 
-def held_by(texts: DataFrame, spans: DataFrame) -> DataFrame:
-    """``tkey, copies, name, class, k``: entities of each text, and in how many different contexts.
+def entities(spans: DataFrame) -> DataFrame:
+    """``tkey, name, class, near`` of base spans.
 
-    What counts as the same entity: letter case and separators don't matter. Its class
-    is an e-mail address's domain, else its kind.
+    What counts as the same entity: letter case and separators don't matter. The class
+    of an e-mail address is its domain. Others have none: that a text has some number
+    gives no number away.
     """
     name = "if(kind = 'email', lower(v), concat(kind, ':', regexp_replace(v, '[^0-9.]', '')))"
-    group = "if(kind = 'email', lower(substring_index(v, '@', -1)), kind)"
-    each = spans.select("tkey", F.expr(name).alias("name"), F.expr(group).alias("class"), "near")
-    counted = each.groupBy("tkey", "name", "class").agg(F.count_distinct("near").alias("k"))
-    return saved(counted.join(texts.select("tkey", "copies"), "tkey"), "held")
+    group = "if(kind = 'email', lower(substring_index(v, '@', -1)), null)"
+    return spans.select("tkey", F.expr(name).alias("name"), F.expr(group).alias("class"), "near")
+
+
+def held_by(texts: DataFrame, each: DataFrame, level: str) -> DataFrame:
+    """``tkey, copies, name, k``, saved: what of the level (``name`` or ``class``) each text holds.
+
+    k counts contexts that no text of a smaller key has, so a passage that many texts
+    share is evidence once.
+    """
+    each = each.where(F.col(level).isNotNull())
+    first = each.groupBy(level, "near").agg(F.min("tkey").alias("tkey")).groupBy("tkey", level).agg(F.count("*").alias("k"))
+    held = each.select("tkey", level).distinct().join(texts.select("tkey", "copies"), "tkey").join(first, ["tkey", level], "left")
+    return saved(held.select("tkey", "copies", F.col(level).alias("name"), F.coalesce("k", F.lit(0)).alias("k")), "held")
 
 
 def bounded(seen: Column, outside: Column) -> Column:
@@ -193,23 +206,22 @@ def evidence(teams: DataFrame, words: DataFrame) -> DataFrame:
     seen: contexts that hold the term, inside: documents that hold both.
     """
     whole = teams.groupBy("team").agg(F.sum("copies").alias("n_held"), F.sum("k").alias("contexts"))
-    least = lambda n: F.pow(F.lit(0.05), 1 / F.col(n)) >= CERTAIN
-    some = teams.join(whole.where(least("contexts")).select("team", "n_held"), "team")
+    least = math.log(0.05) / math.log(CERTAIN)
+    some = teams.join(whole.where(F.col("contexts") >= least).select("team", "n_held"), "team")
     pairs = some.join(words, "tkey").groupBy("team", "term", "n_held").agg(F.sum(F.least("k", "c")).alias("seen"), F.sum("copies").alias("inside"))
-    return pairs.where(least("seen"))
+    return pairs.where(F.col("seen") >= least)
 
 
 def disclosing(rows: DataFrame, texts: DataFrame, spans: DataFrame, terms: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
     """``tkey, term, ratio`` of the terms that reveal an entity of their text, from counts over all documents."""
-    held = held_by(texts, spans)
+    each = entities(spans)
     words = saved(terms.groupBy("tkey", "term").agg(F.count("*").alias("c")), "words")
-    own, own_names = _grouped(held.select("tkey", "copies", "name", "k"))
-    by_class = held.groupBy("tkey", F.col("class").alias("name")).agg(F.first("copies").alias("copies"), F.sum("k").alias("k"))
-    classes, class_names = _grouped(by_class)
+    held = held_by(texts, each, "name")
+    own, _ = _grouped(held)
+    classes, class_names = _grouped(held_by(texts, each, "class"))
     pairs = saved(evidence(own, words).withColumn("own", F.lit(True)).unionByName(evidence(classes, words).withColumn("own", F.lit(False))), "evidence")
-    listed = F.expr(f"array_distinct(regexp_extract_all(text, {_quoted(_TERM)}, 0))")
-    every = rows.select(F.monotonically_increasing_id().alias("row"), F.explode(listed).alias("term")).select("row", F.lower("term").alias("term"))
-    counts = every.join(pairs.select("term").distinct(), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+    listed = F.expr(f"array_distinct(transform(regexp_extract_all(text, {_quoted(_TERM)}, 0), x -> lower(x)))")
+    counts = rows.select(F.explode(listed).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))  # summed before it is moved
     total = rows.count()
     told = pairs.join(counts, "term").where(F.col("n_held") < total)
     bound = bounded(F.col("seen"), F.greatest(F.col("n_term") - F.col("inside"), F.lit(0)))
@@ -218,7 +230,7 @@ def disclosing(rows: DataFrame, texts: DataFrame, spans: DataFrame, terms: DataF
     told = saved(told.select("team", "term", "own", ratio.alias("ratio")).where(F.col("ratio") >= threshold), "disclosing")
     hits = own.select("tkey", "team").join(told.where("own"), "team")
     rare = held.groupBy("name").agg(F.sum("k").alias("contexts")).where(F.col("contexts") < support)
-    rare = held.join(rare.select("name"), "name", "left_semi").select("tkey", F.col("class").alias("name")).distinct()
+    rare = each.join(rare.select("name"), "name", "left_semi").select("tkey", F.col("class").alias("name")).distinct()
     rare = class_names.join(rare, ["tkey", "name"], "left_semi").select("tkey", "team").distinct()
     hits = hits.unionByName(rare.join(told.where("not own"), "team"))
     return hits.groupBy("tkey", "term").agg(F.max("ratio").alias("ratio"))
