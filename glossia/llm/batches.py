@@ -6,6 +6,8 @@ beside nulls, timestamps and nested values come out as they went in.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -19,6 +21,13 @@ from glossia.llm.durable import unused
 Work = Callable[[list], Sequence]
 
 
+def give_back() -> None:
+    """What a task has freed goes back to the system; workers stay for the next tasks, and an executor has several."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def added(df: DataFrame, text: Column, fields: str, make: Callable[[], Work], keep: Sequence[str | Column] = ("*",)) -> DataFrame:
     """The columns ``keep`` of ``df``, and new ones of the schema ``fields`` worked out from ``text``.
 
@@ -35,6 +44,8 @@ def added(df: DataFrame, text: Column, fields: str, make: Callable[[], Work], ke
             made = work(batch.column(batch.num_columns - 1).to_pylist())
             arrays = [pa.array(values, kind) for values, kind in zip(made, types, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names)
+            del batch, made, arrays
+        give_back()
 
     return df.select(*keep, text.alias(unused(kept, "_text"))).mapInArrow(run, schema)
 

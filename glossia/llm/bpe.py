@@ -40,7 +40,7 @@ _REMEMBER_CHARS = 6_000_000
 #: Longer pieces seldom come again and are not remembered.
 _LONG_PIECE = 64
 #: Pieces, or eight characters for one, of the texts that are worked on together.
-_PENDING = 250_000
+_PENDING = 150_000
 _CHUNK = 1 << 18
 
 
