@@ -28,9 +28,19 @@ def ordered_collect(order: Column, value: Column) -> Column:
     return F.transform(pairs, lambda x: x["v"])
 
 
-def fixed_size_sample(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
-    """A uniform sample of k rows that only the seed decides: the k smallest hashes."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(k)
+#: Fewer rows than this make no sample.
+LEAST_SAMPLE = 7
+
+
+def fixed_size_sample(df: DataFrame, line: str, key: str, k: int, seed: int) -> DataFrame:
+    """A uniform sample of k rows with a ``line`` that isn't blank, which only the seed decides: the k smallest hashes.
+
+    Fewer than seven such rows are an error.
+    """
+    full = df.where(F.trim(line) != "")
+    if full.limit(LEAST_SAMPLE).count() < LEAST_SAMPLE:
+        raise ValueError(f"a sample needs at least {LEAST_SAMPLE} rows that aren't blank")
+    return full.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key))), F.col(key)).limit(k)
 
 
 def dealt(df: DataFrame, order: list[str]) -> DataFrame:

@@ -154,10 +154,9 @@ def unpack_entry_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_entry_id(spark, sf_dir).select(rec.alias("rec"), local.alias("local"))
 
 
-@query("SELECT p_partkey + 1 AS rec, 'not an entry' AS reason FROM part WHERE p_partkey % 50 = 49")
+@query("SELECT p_partkey + 1 AS rec, CASE p_partkey % 50 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in derived.FAULTS.items()) + " END AS reason FROM part WHERE p_partkey % 50 >= 40 AND p_partkey % 50 <> 48")
 def quarantine_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = derived.nodes(spark, sf_dir)
-    return extract.failures(n, derived.records(spark, sf_dir), extract.panels(n), DICT)
+    return layout(spark, sf_dir).failed
 
 
 _LINE = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
@@ -178,44 +177,40 @@ def sample_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Markup ----------------------------------------------------------------------------
 
 _PANELS = """
-    o AS (SELECT p.*, p_partkey + 1 AS rec, 'Part' || CASE WHEN p_partkey % 11 = 0 THEN '''s' ELSE '' END || ' ' || p_partkey AS h FROM part p WHERE p_partkey % 50 NOT IN (48, 49)),
+    o AS (SELECT p.*, p_partkey + 1 AS rec, 'Ware' || CASE WHEN p_partkey % 11 = 0 THEN chr(39) || 's' ELSE '' END || ' ' || p_partkey AS h FROM part p WHERE p_partkey % 50 < 40),
     w AS (SELECT *, unnest(range(0, 1 + p_size % 3)) AS j FROM o), v AS (SELECT *, 3 * p_partkey + j AS v, j + 1 AS local FROM w),
     ph AS (SELECT *, 2 + p_size % 3 AS local FROM o WHERE p_partkey % 10 = 9)
 """
 _WITH = f"WITH {_PANELS} "
 
 
-class Parsed:
-    """The rendered records and what several queries take from them."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.records = derived.records(spark, sf_dir)
-        self.nodes = derived.nodes(spark, sf_dir)
-        self.heads = extract.headwords(self.nodes, self.records)
-        self.panels = saved(extract.panels(self.nodes), "panels")
-        self.local = extract.number_entries(self.panels).select("rec", "panel", F.col("local").cast("long").alias("local"))
-
-    def senses(self) -> DataFrame:
-        return saved(extract.senses(self.nodes, self.heads), "senses")
+def layout(spark: SparkSession, sf_dir: str) -> extract.Layout:
+    """The rendered records; what several operators need of them is worked out when it is asked for."""
+    return extract.Layout(derived.nodes(spark, sf_dir), derived.records(spark, sf_dir), DICT)
 
 
 def parsed(sql: str | None) -> Callable:
     """Register a query over the parsed records."""
 
-    def put(f: Callable[[Parsed], DataFrame]) -> Callable:
-        query(sql, f.__name__)(lambda spark, sf_dir: f(Parsed(spark, sf_dir)))
+    def put(f: Callable[[extract.Layout], DataFrame]) -> Callable:
+        query(sql, f.__name__)(lambda spark, sf_dir: f(layout(spark, sf_dir)))
         return f
 
     return put
 
 
+def _local(p: extract.Layout) -> DataFrame:
+    """Panels of sound records with their local numbers."""
+    return p.local.join(p.failed, "rec", "left_anti")
+
+
 @query("SELECT rec, tag, count(*) AS n FROM (SELECT page_id + 1 AS rec, unnest(regexp_extract_all(regexp_replace(html, '<!--.*?-->|<script>.*?</script>', '', 'gs'), '<(a|h1|p)[ >]', 1)) AS tag FROM pages) GROUP BY ALL")
 def markup_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = markup.markup_nodes(files.page_records(spark, sf_dir), markup.PAGE_PROFILE)
     return n.where(F.col("tag").isin("a", "h1", "p")).groupBy("rec", "tag").agg(F.count("*").alias("n"))
 
 
-@query(_WITH + "SELECT rec, CAST(sum(1 + CAST(v % 4 = 0 AS INT) + CAST(v % 2 = 0 AS INT)) AS BIGINT) AS raw, CAST(sum(1 + CAST(v % 4 = 0 AS INT)) AS BIGINT) AS kept FROM v GROUP BY rec")
+@query(_WITH + "SELECT rec, CAST(sum(1 + CAST(v % 4 = 0 AS INT) + CAST(v % 2 = 0 AS INT)) AS BIGINT) AS raw, CAST(sum(1 + CAST(v % 4 = 0 AS INT)) AS BIGINT) AS kept FROM v GROUP BY rec UNION ALL SELECT p_partkey + 1, 1, 1 FROM part WHERE p_partkey % 50 = 41")
 def prune_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = markup.markup_nodes(derived.records(spark, sf_dir))
     links = lambda d, name: d.where(markup.href(text.WORD_AUDIO).isNotNull()).groupBy("rec").agg(F.count("*").alias(name))
@@ -223,89 +218,100 @@ def prune_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @parsed(_WITH + "SELECT rec, local, p_type AS pos, FALSE AS is_phrase FROM v UNION ALL SELECT rec, local, 'idiom', TRUE FROM ph")
-def classify_panels(p: Parsed) -> DataFrame:
-    return p.panels.join(p.local, ["rec", "panel"]).select("rec", "local", "pos", "is_phrase")
+def classify_panels(p: extract.Layout) -> DataFrame:
+    return p.panels.join(_local(p), ["rec", "panel"]).select("rec", "local", "pos", "is_phrase")
 
 
 @parsed(_WITH + "SELECT rec, local, (rec << 10) | local AS entry_id FROM v UNION ALL SELECT rec, local, (rec << 10) | local FROM ph")
-def number_entries(p: Parsed) -> DataFrame:
-    return p.local.select("rec", "local", text.pack_entry_id(F.col("rec"), F.col("local")).alias("entry_id"))
+def number_entries(p: extract.Layout) -> DataFrame:
+    return _local(p).select("rec", "local", text.pack_entry_id(F.col("rec"), F.col("local")).alias("entry_id"))
 
 
 @parsed(_WITH + "SELECT rec, h AS headword FROM o")
-def extract_headword(p: Parsed) -> DataFrame:
-    return p.heads
+def extract_headword(p: extract.Layout) -> DataFrame:
+    return p.heads.join(_local(p).select("rec").distinct(), "rec", "left_semi")
 
 
 @parsed(_WITH + "SELECT rec, local, CASE WHEN p_partkey % 10 = 9 THEN 'phrase' ELSE 'word' END AS entry_type FROM v UNION ALL SELECT rec, local, 'phrase' FROM ph")
-def extract_entry_type(p: Parsed) -> DataFrame:
+def extract_entry_type(p: extract.Layout) -> DataFrame:
     kinds = extract.record_kinds(p.nodes, DICT)
     kind = F.when(F.col("is_phrase") | F.col("is_phrase_record"), "phrase").otherwise("word")
-    return p.panels.join(p.local, ["rec", "panel"]).join(kinds, "rec").select("rec", "local", kind.alias("entry_type"))
+    return p.panels.join(_local(p), ["rec", "panel"]).join(kinds, "rec").select("rec", "local", kind.alias("entry_type"))
 
 
 _SETS = """
     s AS (
-        SELECT rec, local, v, 0 AS src, 'UK' AS region, '/p' || v || '/' AS notation, '/audio/dict/p' || v || '__gb%201.mp3' AS audio_url FROM v
-        UNION ALL SELECT rec, local, v, 1, 'US', '/p' || v || '-us/', NULL FROM v
+        SELECT rec, local, v, 0 AS src, 'UK' AS region, '/w' || v || '/' AS notation, '/audio/dict/w' || v || '__gb%201.mp3' AS audio_url FROM v
+        UNION ALL SELECT rec, local, v, 1, 'US', '/w' || v || '-us/', NULL FROM v
     ), rt AS (SELECT rec, local, v, 2 AS src, 'UK' AS region, '/r' || v || '/' AS notation, CAST(NULL AS VARCHAR) AS audio_url FROM v WHERE v % 5 = 1)
 """
 
 
 @parsed(f"WITH {_PANELS}, {_SETS} SELECT rec, region, notation, audio_url FROM s UNION ALL SELECT rec, region, notation, audio_url FROM rt UNION ALL SELECT rec, 'other', '/d' || v || '/', NULL FROM v WHERE v % 4 = 3")
-def extract_pronunciations(p: Parsed) -> DataFrame:
+def extract_pronunciations(p: extract.Layout) -> DataFrame:
     c = extract.chunks(p.nodes).withColumn("owner", F.coalesce("pron_set", "child_above", "panel"))
     c = windows.dedupe_first(c, ["rec", "owner", "region", "notation", "file"], ["chunk"])
     return c.select("rec", "region", "notation", text.media_url(DICT, F.col("file")).alias("audio_url"))
 
 
 @parsed(f"WITH {_PANELS}, {_SETS} SELECT rec, CAST(local - 1 AS VARCHAR) AS number, region, notation FROM s")
-def panel_pronunciation_sets(p: Parsed) -> DataFrame:
+def panel_pronunciation_sets(p: extract.Layout) -> DataFrame:
     s = extract.set_sounds(p.nodes)
     return windows.dedupe_first(s, ["rec", "number", "region", "notation", "file"], ["ord"]).select("rec", "number", "region", "notation")
 
 
 @parsed(f"WITH {_PANELS}, {_SETS} SELECT rec, local, region, notation FROM rt")
-def root_panel_pronunciations(p: Parsed) -> DataFrame:
-    return extract.root_sounds(p.nodes).join(p.local, ["rec", "panel"]).select("rec", "local", "region", "notation")
+def root_panel_pronunciations(p: extract.Layout) -> DataFrame:
+    return extract.root_sounds(p.nodes).join(_local(p), ["rec", "panel"]).select("rec", "local", "region", "notation")
 
 
 @parsed(f"WITH {_PANELS}, {_SETS}, b AS (SELECT * FROM s UNION ALL SELECT * FROM rt) SELECT rec, local, CAST(row_number() OVER (PARTITION BY rec, local ORDER BY src) - 1 AS INT) AS at, region, notation, audio_url FROM b")
-def merge_pronunciations(p: Parsed) -> DataFrame:
-    m = extract.panel_pronunciations(p.nodes, p.panels, DICT).join(p.local, ["rec", "panel"])
+def merge_pronunciations(p: extract.Layout) -> DataFrame:
+    m = extract.panel_pronunciations(p.nodes, p.panels, DICT).join(_local(p), ["rec", "panel"])
     return m.select("rec", "local", F.posexplode("pronunciation").alias("at", "x")).select("rec", "local", "at", "x.*")
 
 
-_AUDIO = "a AS (SELECT rec, 'p' || v || '__gb 1.mp3' AS name FROM v UNION ALL SELECT rec, 'box' || v || '.mp3' FROM v WHERE v % 2 = 0)"
+_AUDIO = "a AS (SELECT rec, 'w' || v || '__gb 1.mp3' AS name FROM v UNION ALL SELECT rec, 'aside' || v || '.mp3' FROM v WHERE v % 2 = 0)"
 
 
-@parsed(f"WITH {_PANELS}, {_AUDIO} SELECT rec, name FROM a")
-def extract_audio_refs(p: Parsed) -> DataFrame:
+@parsed(f"WITH {_PANELS}, {_AUDIO} SELECT rec, name FROM a UNION ALL SELECT p_partkey + 1, '../up.mp3' FROM part WHERE p_partkey % 50 = 41")
+def extract_audio_refs(p: extract.Layout) -> DataFrame:
     return extract.audio_references(p.nodes)
 
 
-_EXAMPLES = "x AS (SELECT rec, v, 0 AS at, 'An example ' || v || '.' AS en, '例' || v AS zh FROM v UNION ALL SELECT rec, v, 1, 'Second ' || v || '.', CASE WHEN v % 7 = 0 THEN '' ELSE '二' || v END FROM v)"
+#: Items of lists that senses have: of the main sense, and of the one that is read as a phrasal verb and as an idiom.
+_EXAMPLES = """
+    x AS (
+        SELECT rec, v, 0 AS nth, 'Lot ' || v || ' is here.' AS en, '批' || v AS zh FROM v
+        UNION ALL SELECT rec, v, 1, 'It left as ' || v || '.', CASE WHEN v % 7 = 0 THEN '' ELSE '走' || v END FROM v
+        UNION ALL SELECT rec, v, 2, '', '单' || v FROM v WHERE v % 9 = 0
+        UNION ALL SELECT rec, v, 3, 'Sent ' || v || '.', '发' || v FROM v WHERE v % 12 = 10
+    )
+"""
 
 
-@parsed(f"WITH {_PANELS}, {_EXAMPLES} SELECT rec, en, zh FROM x WHERE zh <> ''")
-def extract_examples(p: Parsed) -> DataFrame:
-    return extract.examples(p.nodes).where("en <> '' and zh <> ''").select("rec", "en", "zh")
+@parsed(f"WITH {_PANELS}, {_EXAMPLES} SELECT rec, en, zh FROM x WHERE zh <> '' AND en <> ''")
+def extract_examples(p: extract.Layout) -> DataFrame:
+    read = extract.examples(p.nodes).join(p.times, ["rec", "sense"], "left_semi")
+    return read.where("en <> '' and zh <> ''").select("rec", "en", "zh")
 
 
-@parsed(f"WITH {_PANELS}, {_EXAMPLES} SELECT rec, en FROM x UNION ALL SELECT rec, 'Boxed ' || v || '.' FROM v WHERE v % 2 = 0 AND FALSE")
-def example_text(p: Parsed) -> DataFrame:
+@parsed(f"WITH {_PANELS}, {_EXAMPLES} SELECT rec, en FROM x UNION ALL SELECT rec, 'Gathered.' FROM o WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey + 1, 'Gathered.' FROM part WHERE p_partkey % 50 = 40")
+def example_text(p: extract.Layout) -> DataFrame:
     return extract.examples(p.nodes).select("rec", "en")
 
 
-@parsed(_WITH + "SELECT rec, CAST(sum(CAST(v % 2 = 0 AS INT)) AS BIGINT) + CAST(any_value(p_partkey) % 3 = 0 AS INT) AS excluded, 2 * count(*) AS included FROM v GROUP BY rec")
-def classify_excluded_examples(p: Parsed) -> DataFrame:
+@parsed(f"""WITH {_PANELS}, {_EXAMPLES}, e AS (SELECT rec, count(*) AS n FROM x GROUP BY rec)
+    SELECT rec, CAST(sum(CAST(v % 2 = 0 AS INT)) AS BIGINT) + CAST(any_value(p_partkey) % 3 = 0 AS INT) AS excluded, any_value(e.n) + CAST(sum(CAST(v % 13 = 0 AS INT)) AS BIGINT) AS included FROM v JOIN e USING (rec) GROUP BY rec
+    UNION ALL SELECT p_partkey + 1, CAST(p_partkey % 50 = 40 AS BIGINT), CAST(p_partkey % 50 = 48 AS BIGINT) FROM part WHERE p_partkey % 50 IN (40, 48)""")
+def classify_excluded_examples(p: extract.Layout) -> DataFrame:
     n = F.sum(F.when(F.col("excluded"), 1).otherwise(0))
     return extract.example_items(p.nodes).groupBy("rec").agg(n.alias("excluded"), (F.count("*") - n).alias("included"))
 
 
-@parsed(_WITH + "SELECT rec, local, unnest(['grammar', 'register', 'region', 'note']) AS bucket, unnest([p_brand, 'reg' || (v % 5), 'BrE', 'note ' || (v % 3)]) AS label FROM v")
-def extract_labels(p: Parsed) -> DataFrame:
-    found = extract.labels(p.nodes).join(p.senses().select("rec", "sense", "panel"), ["rec", "sense"]).join(p.local, ["rec", "panel"])
+@parsed(_WITH + "SELECT rec, local, unnest(['grammar', 'register', 'region', 'note']) AS bucket, unnest([p_brand, 'shelf' || (v % 5), 'BrE', 'rack ' || (v % 3)]) AS label FROM v")
+def extract_labels(p: extract.Layout) -> DataFrame:
+    found = extract.labels(p.nodes).join(p.senses.select("rec", "sense", "panel", "direct"), ["rec", "sense"]).where("direct").join(_local(p), ["rec", "panel"])
     each = F.array(*[F.struct(F.lit(b).alias("bucket"), F.col(f"labels.{b}").alias("all")) for b in extract.BUCKETS])
     return found.select("rec", "local", F.explode(each).alias("b")).select("rec", "local", "b.bucket", F.explode("b.all").alias("label"))
 
@@ -318,122 +324,125 @@ def extract_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LINKS = """
     l AS (
-        SELECT rec, 'Part ' || (p_partkey + 1) AS target, 'PART ' || (p_partkey + 1) AS display, CASE WHEN v % 2 = 1 THEN 'see' END AS relation FROM v
-        UNION ALL SELECT rec, 'der' || v, 'der' || v, NULL FROM v WHERE v % 4 = 3
-        UNION ALL SELECT rec, 'more ' || v, 'more', NULL FROM v WHERE v % 6 = 5
+        SELECT rec, 'ware ' || (p_partkey + 1) AS target, 'Ware ' || (p_partkey + 1) AS display, CASE WHEN v % 2 = 1 THEN 'cf.' END AS relation FROM v
+        UNION ALL SELECT rec, 'whole' || v, 'whole' || v, NULL FROM v WHERE v % 4 = 3
+        UNION ALL SELECT rec, 'shelf ' || v, 'shelf', NULL FROM v WHERE v % 6 = 5
     )
 """
 
 
 @parsed(f"WITH {_PANELS}, {_LINKS} SELECT rec, target, display, relation FROM l")
-def entry_references(p: Parsed) -> DataFrame:
-    links = extract.references(p.nodes).withColumn("owner", F.coalesce("sense", "child", "panel"))
+def entry_references(p: extract.Layout) -> DataFrame:
+    links = extract.references(p.nodes).where("panel is not null").withColumn("owner", F.coalesce("sense", "child", "panel"))
     return extract.distinct_references(links, ["rec", "owner"]).select("rec", "target", "display", "relation")
 
 
-@parsed(_WITH + "SELECT rec, local, 'more ' || v AS target, 'more' AS display FROM v WHERE v % 6 = 5")
-def panel_references(p: Parsed) -> DataFrame:
-    return extract.panel_references(p.nodes).join(p.local, ["rec", "panel"]).select("rec", "local", "target", "display")
+@parsed(_WITH + "SELECT rec, local, 'shelf ' || v AS target, 'shelf' AS display FROM v WHERE v % 6 = 5")
+def panel_references(p: extract.Layout) -> DataFrame:
+    return extract.panel_references(p.nodes).join(_local(p), ["rec", "panel"]).select("rec", "local", "target", "display")
 
 
+#: Senses that are read; ``n`` is how often.
 _SENSES = """
     t AS (
-        SELECT rec, '1' AS index, p_name || ' sense' AS en, CASE WHEN v % 5 = 0 THEN '' ELSE '义' || v END AS zh, 2 - CAST(v % 7 = 0 AS INT) AS examples,
-            1 + CAST(v % 5 = 0 AND p_partkey % 11 = 0 AS INT) AS links FROM v
-        UNION ALL SELECT rec, '2', 'grouped ' || v, '分' || v, 0, 0 FROM v WHERE v % 3 = 0
-        UNION ALL SELECT rec, NULL, 'idiom ' || v, '习' || v, 0, 0 FROM v WHERE v % 4 = 1
-        UNION ALL SELECT rec, NULL, 'idiom ' || v, '习' || v, 0, 0 FROM v WHERE v % 8 = 1
-        UNION ALL SELECT rec, NULL, 'phrasal ' || v, '短' || v, 0, 0 FROM v WHERE v % 4 = 2
-        UNION ALL SELECT rec, NULL, 'a phrase', '短语', 0, 0 FROM ph
+        SELECT rec, '1' AS index, p_name || ' in lot' AS en, CASE WHEN v % 5 = 0 THEN '' ELSE '货' || v END AS zh, 2 - CAST(v % 7 = 0 AS INT) AS examples,
+            1 + CAST(v % 5 = 0 AND p_partkey % 11 = 0 AS INT) AS links, 1 AS n FROM v
+        UNION ALL SELECT rec, NULL, '', '空' || v, 0, 0, 1 FROM v WHERE v % 17 = 0
+        UNION ALL SELECT rec, '2', 'sort ' || v, '分' || v, 0, 0, 1 FROM v WHERE v % 3 = 0
+        UNION ALL SELECT rec, NULL, 'all of ' || v, '全' || v, 0, 0, 1 FROM v WHERE v % 4 = 1
+        UNION ALL SELECT rec, NULL, 'all of ' || v, '全' || v, 0, 0, 1 FROM v WHERE v % 8 = 1
+        UNION ALL SELECT rec, NULL, 'mail ' || v, '寄' || v, CAST(v % 12 = 10 AS INT), 0, 1 + CAST(v % 12 = 10 AS INT) FROM v WHERE v % 4 = 2
+        UNION ALL SELECT rec, NULL, 'what is said', '俗', 0, 0, 1 FROM ph
     )
 """
 
 
-@parsed(f"WITH {_PANELS}, {_SENSES} SELECT rec, index, en, zh, examples, links FROM t")
-def extract_senses(p: Parsed) -> DataFrame:
-    return p.senses().select("rec", "index", "en", "zh", F.size("examples").alias("examples"), F.size("cross_references").alias("links"))
+@parsed(f"WITH {_PANELS}, {_SENSES} SELECT rec, index, en, zh, examples, links, CAST(n AS BIGINT) AS times FROM t")
+def extract_senses(p: extract.Layout) -> DataFrame:
+    read = p.senses.join(p.times, ["rec", "sense"]).join(p.failed, "rec", "left_anti")
+    return read.select("rec", "index", "en", "zh", F.size("examples").alias("examples"), F.size("cross_references").alias("links"), "times")
 
 
-@parsed(f"WITH {_PANELS}, {_SENSES} SELECT rec, count(*) AS kept FROM t GROUP BY rec")
-def drop_empty_senses(p: Parsed) -> DataFrame:
-    return extract.drop_empty_senses(p.senses()).groupBy("rec").agg(F.count("*").alias("kept"))
+@parsed(f"WITH {_PANELS}, {_SENSES} SELECT rec, count(*) AS kept FROM t WHERE index IS NOT NULL OR en <> '' GROUP BY rec")
+def drop_empty_senses(p: extract.Layout) -> DataFrame:
+    read = p.senses.join(p.times, ["rec", "sense"], "left_semi").join(p.failed, "rec", "left_anti")
+    return extract.drop_empty_senses(read).groupBy("rec").agg(F.count("*").alias("kept"))
 
 
-@parsed(_WITH + "SELECT rec, local, p_name || ' sense' AS target, 'short form of' AS relation FROM v WHERE v % 5 = 0 AND p_partkey % 11 = 0")
-def contraction_to_reference(p: Parsed) -> DataFrame:
-    s = p.senses().where("short_form").join(p.local, ["rec", "panel"])
+@parsed(_WITH + "SELECT rec, local, p_name || ' in lot' AS target, 'short form of' AS relation FROM v WHERE v % 5 = 0 AND p_partkey % 11 = 0")
+def contraction_to_reference(p: extract.Layout) -> DataFrame:
+    s = p.senses.where("short_form").join(_local(p), ["rec", "panel"])
     return s.select("rec", "local", F.col("cross_references")[0]["target"].alias("target"), F.col("cross_references")[0]["relation"].alias("relation"))
 
 
-@parsed(_WITH + "SELECT rec, local, 'GROUP ' || v AS en, '组' AS zh, 1 AS senses FROM v WHERE v % 3 = 0")
-def group_senses(p: Parsed) -> DataFrame:
-    r = extract.root_senses(p.senses(), extract.groups(p.nodes)).join(p.local, ["rec", "panel"])
-    g = r.select("rec", "local", F.explode("sense").alias("s")).where("s.kind = 'group'")
+def _roots(p: extract.Layout) -> DataFrame:
+    return extract.root_senses(p.senses, extract.groups(p.nodes)).join(_local(p), ["rec", "panel"])
+
+
+@parsed(_WITH + "SELECT rec, local, 'kind of ' || v AS en, '类' || v AS zh, 1 AS senses FROM v WHERE v % 3 = 0")
+def group_senses(p: extract.Layout) -> DataFrame:
+    g = _roots(p).select("rec", "local", F.explode("sense").alias("s")).where("s.kind = 'group'")
     return g.select("rec", "local", "s.title.en", "s.title.zh", F.size("s.senses").alias("senses"))
 
 
 @parsed(_WITH + "SELECT rec, local, unnest(CASE WHEN v % 3 = 0 THEN [0, 1] ELSE [0] END) AS at, unnest(CASE WHEN v % 3 = 0 THEN ['sense', 'group'] ELSE ['sense'] END) AS kind FROM v")
-def ordered_children(p: Parsed) -> DataFrame:
-    r = extract.root_senses(p.senses(), extract.groups(p.nodes)).join(p.local, ["rec", "panel"])
-    return r.select("rec", "local", F.posexplode("sense").alias("at", "s")).select("rec", "local", "at", "s.kind")
+def ordered_children(p: extract.Layout) -> DataFrame:
+    return _roots(p).select("rec", "local", F.posexplode("sense").alias("at", "s")).select("rec", "local", "at", "s.kind")
 
 
 _CHILDREN = """
     k AS (
-        SELECT rec, local, 'o-idiom' AS role, 'make ' || v AS headword, CAST(NULL AS VARCHAR) AS pos, 1 AS senses FROM v WHERE v % 4 = 1
-        UNION ALL SELECT rec, local, 'o-phrasal', 'put ' || v, NULL, 1 FROM v WHERE v % 4 = 2
-        UNION ALL SELECT rec, local, 'o-relation-item', 'der' || v, 'adv', 0 FROM v WHERE v % 4 = 3
-        UNION ALL SELECT rec, local, 'o-idiom', 'phr ' || p_partkey, NULL, 1 FROM ph
+        SELECT rec, local, 'o-idiom' AS role, 'as one ' || v AS headword, CAST(NULL AS VARCHAR) AS pos, 1 AS senses FROM v WHERE v % 4 = 1
+        UNION ALL SELECT rec, local, 'o-phrasal', 'send ' || v, NULL, 1 FROM v WHERE v % 4 = 2
+        UNION ALL SELECT rec, local, 'o-idiom', 'send ' || v, NULL, 1 FROM v WHERE v % 12 = 10
+        UNION ALL SELECT rec, local, 'o-relation-item', 'whole' || v, 'adverb', 0 FROM v WHERE v % 4 = 3
+        UNION ALL SELECT rec, local, 'o-idiom', 'saying ' || p_partkey, NULL, 1 FROM ph
     )
 """
 
 
-def _children(p: Parsed) -> DataFrame:
-    c = extract.children(p.nodes, p.senses(), DICT).join(p.local, ["rec", "panel"])
+def _children(p: extract.Layout) -> DataFrame:
+    c = extract.children(p.rows).join(_local(p), ["rec", "panel"])
     return c.select("rec", "local", "role", "entry.headword", "entry.pos", F.size("entry.sense").alias("senses"))
 
 
 @parsed(f"WITH {_PANELS}, {_CHILDREN} SELECT * FROM k WHERE role <> 'o-relation-item'")
-def extract_children(p: Parsed) -> DataFrame:
+def extract_children(p: extract.Layout) -> DataFrame:
     return _children(p).where("role <> 'o-relation-item'")
 
 
 @parsed(f"WITH {_PANELS}, {_CHILDREN} SELECT * FROM k WHERE role = 'o-relation-item'")
-def extract_derivatives(p: Parsed) -> DataFrame:
+def extract_derivatives(p: extract.Layout) -> DataFrame:
     return _children(p).where("role = 'o-relation-item'")
 
 
-@query("SELECT p_partkey + 1 AS rec, ((p_partkey + 1) << 10) | 1 AS entry_id, 'Sup ' || p_partkey AS headword, 'proper noun' AS pos, 2 AS sounds, p_name AS en, '名' || p_partkey AS zh FROM part WHERE p_partkey % 50 = 48")
-def extract_supplemental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = Parsed(spark, sf_dir)
-    s = extract.supplemental(p.nodes, p.records, DICT)
-    return s.select("rec", "entry_id", "headword", "pos", F.size("pronunciation").alias("sounds"), "definition.en", "definition.zh")
+@parsed("SELECT p_partkey + 1 AS rec, 'Place ' || p_partkey AS headword, 2 AS sounds, unnest([p_name, 'only one side']) AS en, unnest(['名' || p_partkey, '']) AS zh, unnest(['near ' || p_partkey, 'far ' || p_partkey]) AS target FROM part WHERE p_partkey % 50 = 48")
+def extract_supplemental(p: extract.Layout) -> DataFrame:
+    s = p.supplements.join(p.failed, "rec", "left_anti")
+    return s.select("rec", "headword", F.size("pronunciation").alias("sounds"), "en", "zh", F.col("cross_references")[0]["target"].alias("target"))
 
 
 _ENTRIES = """
     n AS (
         SELECT (rec << 10) | local AS entry_id, h AS headword, p_type AS pos, CASE WHEN p_partkey % 10 = 9 THEN 'phrase' ELSE 'word' END AS entry_type,
             2 + CAST(v % 5 = 1 AS INT) AS sounds,
-            1 + CAST(v % 3 = 0 AS INT) AS senses, CAST(v % 4 = 1 AS INT) AS idioms, CAST(v % 4 = 2 AS INT) AS verbs, CAST(v % 4 = 3 AS INT) AS derivatives,
-            CAST(v % 6 = 5 AS INT) AS links FROM v
-        UNION ALL SELECT (rec << 10) | local, 'phr ' || p_partkey, 'idiom', 'phrase', 0, 1, 0, 0, 0, 0 FROM ph
+            1 + CAST(v % 3 = 0 AS INT) AS senses, CAST(v % 4 = 1 OR v % 12 = 10 AS INT) AS idioms, CAST(v % 4 = 2 AS INT) AS verbs, CAST(v % 4 = 3 AS INT) AS derivatives,
+            CAST(v % 6 = 5 AS INT) AS links, 'dict' AS page FROM v
+        UNION ALL SELECT (rec << 10) | local, 'saying ' || p_partkey, 'idiom', 'phrase', 0, 1, 0, 0, 0, 0, 'dict' FROM ph
+        UNION ALL SELECT ((p_partkey + 1) << 10) | 1, 'Place ' || p_partkey, 'proper noun', 'word', 2, 1, 0, 0, 0, 0, 'dict' FROM part WHERE p_partkey % 50 = 48
     )
 """
 
 
-def _entries(p: Parsed) -> DataFrame:
-    return extract.assemble(p.nodes, p.records, DICT)
-
-
 @parsed(f"WITH {_PANELS}, {_ENTRIES} SELECT * FROM n")
-def assemble_entries(p: Parsed) -> DataFrame:
+def assemble_entries(p: extract.Layout) -> DataFrame:
     sizes = {"sounds": "pronunciation", "senses": "sense", "idioms": "child_idioms", "verbs": "child_phrasal_verbs", "derivatives": "child_derivatives", "links": "cross_references"}
-    return _entries(p).select("entry_id", "headword", "pos", "entry_type", *[F.size(c).alias(n) for n, c in sizes.items()])
+    return extract.assemble(p).select("entry_id", "headword", "pos", "entry_type", *[F.size(c).alias(n) for n, c in sizes.items()], "page")
 
 
-@parsed(_WITH + "SELECT (rec << 10) | local AS entry_id, 'phr ' || p_partkey AS headword, 'a phrase' AS en FROM ph")
-def promote_phrase_panels(p: Parsed) -> DataFrame:
-    return _entries(p).where("pos = 'idiom'").select("entry_id", "headword", F.col("sense")[0]["definition"]["en"].alias("en"))
+@parsed(_WITH + "SELECT (rec << 10) | local AS entry_id, 'saying ' || p_partkey AS headword, 'what is said' AS en FROM ph")
+def promote_phrase_panels(p: extract.Layout) -> DataFrame:
+    return extract.assemble(p).where("pos = 'idiom'").select("entry_id", "headword", F.col("sense")[0]["definition"]["en"].alias("en"))
 
 
 # Redirects -------------------------------------------------------------------------
@@ -528,16 +537,18 @@ def lookup_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.lookup_entries(ids, derived.entries(spark, sf_dir).select("entry_id", "headword")).select("id", "status", "headword")
 
 
-@query(f"WITH {_CANDIDATES} SELECT entry_id, headword, anchor FROM i WHERE entry_id - 1 NOT IN (SELECT l_partkey FROM lineitem)")
+@query(f"WITH {_CANDIDATES} SELECT entry_id, headword, anchor FROM i WHERE entry_id - 1 NOT IN (SELECT l_partkey FROM lineitem WHERE l_partkey % 50 <> 7)")
 def dangling_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sold = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") + 1).alias("entry_id")).distinct()
+    """Index rows of parts that were not sold, one part in fifty among them."""
+    sold = table(spark, sf_dir, "lineitem").where("l_partkey % 50 <> 7").select((F.col("l_partkey") + 1).alias("entry_id")).distinct()
     return index.dangling(_index(spark, sf_dir), sold).select("entry_id", "headword", "anchor")
 
 
-@query("SELECT p_partkey + 1 AS entry_id FROM part WHERE FALSE")
+@query("SELECT p_partkey + 1 AS entry_id FROM part WHERE p_partkey % 50 = 11")
 def roundtrip_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One part in fifty has lost its index rows."""
     e = derived.entries(spark, sf_dir)
-    return index.roundtrip_failures(_index(spark, sf_dir), e.select("entry_id", F.to_json(F.struct("*")).alias("json")))
+    return index.roundtrip_failures(_index(spark, sf_dir).where("entry_id % 50 <> 12"), e.select("entry_id", F.to_json(F.struct("*")).alias("json")))
 
 
 # Media -----------------------------------------------------------------------------
@@ -545,16 +556,16 @@ def roundtrip_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 _REFERENCES = "f AS (SELECT DISTINCT 'DOC_' || doc_id || '.mp3' AS name FROM labels UNION SELECT DISTINCT 'gone_' || doc_id || '.mp3' FROM labels WHERE quality = 0), a AS (SELECT source AS archive, doc_id AS position, doc_id // 64 AS block_no, 'doc_' || doc_id || '.mp3' AS name, octet_length(encode(coalesce(text, ''))) + CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 0 END AS n FROM documents)"
 
 
-@query(f"WITH {_PANELS}, {_AUDIO} SELECT DISTINCT name FROM a UNION SELECT 'p' || v || '__gb 1.mp3' FROM v")
+@query(f"WITH {_PANELS}, {_AUDIO} SELECT DISTINCT name FROM a UNION SELECT '../up.mp3' FROM part WHERE p_partkey % 50 = 41")
 def union_media_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = derived.nodes(spark, sf_dir)
     said = extract.chunks(n).select(F.col("file").alias("name")).where("name is not null")
     return extract.audio_references(n).select("name").union(said).distinct()
 
 
-@query(f"WITH {_PANELS}, {_AUDIO} SELECT count(DISTINCT name) AS references FROM a")
-def unique_media_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.audio_references(derived.nodes(spark, sf_dir)).agg(F.count_distinct("name").alias("references"))
+@parsed(f"WITH {_PANELS}, {_AUDIO} SELECT count(DISTINCT name) AS references FROM a")
+def unique_media_refs(p: extract.Layout) -> DataFrame:
+    return extract.audio_references(p.nodes).join(p.failed, "rec", "left_anti").agg(F.count_distinct("name").alias("references"))
 
 
 @query(f"WITH {_REFERENCES} SELECT archive, position, name FROM a WHERE name IN (SELECT lower(name) FROM f)")
@@ -573,6 +584,12 @@ def duplicate_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.duplicates(s, ["s_suppkey"])[1]
 
 
+@query("SELECT 'src_' || s_nationkey || '.mp3' AS name, min(s_suppkey) AS s_suppkey FROM supplier GROUP BY s_nationkey")
+def keep_first_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("src_"), "s_nationkey", F.lit(".mp3")).alias("name"), F.col("s_name").cast("binary").alias("content"), "s_suppkey")
+    return media.duplicates(s, ["s_suppkey"])[0].select("name", "s_suppkey")
+
+
 def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Records with their offsets in an archive's unpacked bytes, and the blocks of 64 ids."""
     m = derived.media(spark, sf_dir).withColumn("n", F.octet_length("content").cast("long"))
@@ -605,6 +622,24 @@ def locate_packed_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("archive", "position", "block_no", F.col("inner").alias("inner_"))
 
 
+@query(f"WITH {_REFERENCES} SELECT archive, position, md5(CASE WHEN position % 3 = 0 THEN 'ID3' ELSE '' END || coalesce(d.text, '')) AS digest FROM a JOIN documents d ON d.doc_id = a.position WHERE archive IS NOT NULL")
+def slice_packed_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents cut out of the blocks that they were packed into."""
+    at, blocks = _packed(spark, sf_dir)
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", F.col("content").cast("string").alias("t")))), lambda x: x["t"]), "")
+    packed = derived.media(spark, sf_dir).groupBy("archive", "block_no").agg(whole.cast("binary").alias("content"))
+    found = media.locate(at.select("archive", "position", "offset", (F.col("offset") + F.col("n")).alias("end")), media.block_layout(blocks))
+    return media.sliced(found, packed).select("archive", "position", F.md5("content").alias("digest"))
+
+
+@query("SELECT source AS archive, count(*) + 1 AS declared, count(*) AS packed_total FROM documents WHERE source IS NOT NULL GROUP BY source HAVING count(*) % 2 = 1")
+def layout_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives with an odd count declare one too many."""
+    blocks = _packed(spark, sf_dir)[1].where("archive is not null")
+    declared = blocks.groupBy("archive").agg(F.sum("packed_size").alias("n")).select("archive", (F.col("n") + F.col("n") % 2).alias("declared"))
+    return media.layout_errors(blocks, declared)
+
+
 @query(f"WITH {_REFERENCES}, n AS (SELECT DISTINCT CASE WHEN doc_id % 5 = 0 THEN '../' ELSE '' END || 'doc_' || (doc_id * 2) || '.mp3' AS name FROM labels) SELECT n.name, CASE WHEN n.name LIKE '%/%' THEN 'unsafe' WHEN a.n IS NULL THEN 'missing' ELSE 'ok' END AS status, a.n AS length FROM n LEFT JOIN a ON n.name = a.name")
 def lookup_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.col("doc_id")
@@ -637,59 +672,89 @@ def check_media_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Audit -----------------------------------------------------------------------------
 
+#: Counters of every sound record; the second layout has few.
 _METRICS = f"""
-    WITH {_PANELS}, {_EXAMPLES}, {_SENSES},
-    e AS (SELECT rec, CAST(sum(CAST(zh = '' AS INT)) AS BIGINT) AS missing_chinese, count(*) AS retained, count(DISTINCT v) AS lists FROM x GROUP BY rec),
-    b AS (SELECT rec, CAST(sum(CAST(v % 2 = 0 AS INT)) AS BIGINT) + CAST(any_value(p_partkey) % 3 = 0 AS INT) AS excluded FROM v GROUP BY rec),
-    s AS (SELECT rec, CAST(sum(CAST(zh <> '' AS INT)) AS BIGINT) AS pairs FROM t GROUP BY rec),
-    m AS (SELECT rec, retained + excluded AS raw_examples, excluded AS excluded_examples, retained AS retained_examples, lists AS retained_lists, missing_chinese, pairs AS definition_pairs
-        FROM e JOIN b USING (rec) JOIN s USING (rec))
+    {_PANELS}, {_EXAMPLES}, {_SENSES}, {_LINKS},
+    e AS (SELECT rec, count(*) AS retained_examples, count(DISTINCT (v, nth = 3)) AS retained_example_lists, CAST(sum(CAST(en = '' AS INT)) AS BIGINT) AS missing_english_examples,
+        CAST(sum(CAST(zh = '' AS INT)) AS BIGINT) AS missing_chinese_examples, CAST(sum(CAST(nth = 3 AS INT)) AS BIGINT) AS duplicate_example_imports FROM x GROUP BY rec),
+    b AS (SELECT rec, CAST(sum(CAST(v % 2 = 0 AS INT)) AS BIGINT) + CAST(any_value(p_partkey) % 3 = 0 AS INT) AS excluded_examples, CAST(sum(CAST(v % 13 = 0 AS INT)) AS BIGINT) AS orphan_examples,
+        CAST(sum(CAST(v % 5 = 0 AND p_partkey % 11 = 0 AS INT)) AS BIGINT) AS short_forms FROM v GROUP BY rec),
+    s AS (SELECT rec, CAST(sum(CASE WHEN en <> '' AND zh <> '' THEN n ELSE 0 END) AS BIGINT) AS definition_pairs, CAST(sum(CASE WHEN en <> '' AND zh = '' THEN n ELSE 0 END) AS BIGINT) AS english_only,
+        CAST(sum(CASE WHEN en = '' THEN n ELSE 0 END) AS BIGINT) AS chinese_only_definitions FROM t GROUP BY rec),
+    k AS (SELECT rec, count(*) AS links FROM l GROUP BY rec),
+    m AS (
+        SELECT rec, definition_pairs, english_only - short_forms AS english_only_definitions, chinese_only_definitions, links + short_forms AS cross_references,
+            retained_examples + excluded_examples + orphan_examples AS raw_examples, retained_examples, retained_example_lists, excluded_examples,
+            missing_english_examples, missing_chinese_examples, orphan_examples, duplicate_example_imports
+        FROM e JOIN b USING (rec) JOIN s USING (rec) JOIN k USING (rec)
+        UNION ALL SELECT p_partkey + 1, 1, 1, 0, 2, 1, 0, 0, 0, 0, 0, 0, 0 FROM part WHERE p_partkey % 50 = 48
+    )
+"""
+#: Redirects to the records, and those that lead nowhere: ``t`` is the record that is reached.
+_BUILD = """
+    q AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 97 = 1 THEN 'self' WHEN p_partkey % 89 = 3 THEN 'nowhere' WHEN p_partkey % 4 = 0 THEN 'ware' WHEN p_partkey % 4 = 3 THEN 'also' END AS kind FROM part),
+    g AS (SELECT q.k, q.kind, CASE WHEN q.kind = 'ware' THEN q.k WHEN q.kind = 'also' AND u.kind = 'ware' THEN u.k END AS t FROM q LEFT JOIN q u ON u.k = q.k + 1 WHERE q.kind IS NOT NULL),
+    ok AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 50 < 40 OR p_partkey % 50 = 48),
+    lost AS (SELECT g.* FROM g LEFT JOIN ok ON g.t = ok.k WHERE ok.k IS NULL)
 """
 
 
-def _metrics(p: Parsed) -> DataFrame:
-    bad = extract.failures(p.nodes, p.records, p.panels, DICT)
-    m = extract.record_metrics(p.nodes, p.senses(), bad).where("raw_examples > 0")
-    return m.select("rec", "raw_examples", "excluded_examples", "retained_examples", "retained_lists", "missing_chinese", "definition_pairs")
+@parsed(f"WITH {_METRICS} SELECT * FROM m")
+def record_metrics(p: extract.Layout) -> DataFrame:
+    return extract.record_metrics(p)
 
 
-@parsed(_METRICS + "SELECT * FROM m")
-def record_metrics(p: Parsed) -> DataFrame:
-    return _metrics(p)
+def _built(spark: SparkSession, sf_dir: str) -> audit.Build:
+    """One build over the markup records and the redirects to them."""
+    p = layout(spark, sf_dir)
+    entries = saved(extract.assemble(p), "entries")
+    return audit.Build(p, entries, records.split_redirects(derived.build_redirects(spark, sf_dir))[0])
 
 
-def _totals(p: Parsed) -> DataFrame:
-    m = _metrics(p)
-    return m.agg(*[F.sum(c).alias(c) for c in m.columns if c != "rec"], F.max("rec").alias("last_record"))
+_TOTALS = f"""
+    {_METRICS}, {_ENTRIES}, {_AUDIO}, {_BUILD},
+    totals AS (SELECT {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in extract.METRICS)} FROM m),
+    whole AS (
+        SELECT greatest((SELECT max(p_partkey) + 1 FROM part), (SELECT max(k) + 10000000 FROM g)) AS mdx_records, (SELECT count(*) FROM g) AS redirects, (SELECT count(*) FROM n) AS entries,
+            (SELECT count(*) FROM n WHERE pos = 'idiom') AS missing_uk_pronunciation, (SELECT count(*) FROM n WHERE pos = 'idiom') AS missing_us_pronunciation,
+            (SELECT count(DISTINCT name) FROM a) AS unique_audio_references, totals.* FROM totals
+    ),
+    lists AS (SELECT unnest(['parse_failures', 'id_collisions', 'redirect_cycles', 'unresolved_redirects']) AS name,
+        unnest([(SELECT count(*) FROM part WHERE p_partkey % 50 >= 40 AND p_partkey % 50 <> 48), 0, (SELECT count(*) FROM q WHERE kind = 'self'), (SELECT count(*) FROM lost)]) AS value)
+"""
 
 
-@parsed(_METRICS + "SELECT CAST(sum(raw_examples) AS BIGINT) AS raw_examples, CAST(sum(excluded_examples) AS BIGINT) AS excluded_examples, CAST(sum(retained_examples) AS BIGINT) AS retained_examples, CAST(sum(retained_lists) AS BIGINT) AS retained_lists, CAST(sum(missing_chinese) AS BIGINT) AS missing_chinese, CAST(sum(definition_pairs) AS BIGINT) AS definition_pairs, max(rec) AS last_record FROM m")
-def audit_totals(p: Parsed) -> DataFrame:
-    return _totals(p)
+@query(f"WITH {_TOTALS} SELECT * FROM whole")
+def audit_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _built(spark, sf_dir).totals()
 
 
-@parsed("SELECT p_partkey AS rec FROM part WHERE FALSE")
-def orphan_examples(p: Parsed) -> DataFrame:
-    return extract.orphan_examples(p.nodes).select("rec")
+@parsed(_WITH + "SELECT rec, count(*) AS orphans FROM v WHERE v % 13 = 0 GROUP BY rec")
+def orphan_examples(p: extract.Layout) -> DataFrame:
+    return extract.orphan_examples(p).groupBy("rec").agg(F.count("*").alias("orphans"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS missing_uk, CAST(sum(CAST(p_size % 2 <> 0 AS INT)) AS BIGINT) AS missing_us FROM part")
+@query("SELECT CAST(sum(CAST(p_size % 7 = 0 AS INT)) AS BIGINT) AS missing_uk, CAST(sum(CAST(p_size % 2 <> 0 AS INT)) AS BIGINT) AS missing_us FROM part")
 def missing_region_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.missing_regions(derived.entries(spark, sf_dir))
 
 
-@query("""
-    WITH g AS (SELECT unnest(['documents', 'labels', 'toxic', 'absent']) AS name, unnest([(SELECT count(*) FROM documents), (SELECT count(*) FROM labels), (SELECT CAST(sum(toxic) AS BIGINT) FROM labels), NULL]) AS value),
-    x AS (SELECT unnest(['documents', 'labels', 'absent']) AS name, unnest([(SELECT count(DISTINCT doc_id) FROM documents), CAST(1 AS BIGINT), CAST(5 AS BIGINT)]) AS expected)
-    SELECT name, 'expected ' || expected || ', got ' || coalesce(CAST(value AS VARCHAR), 'none') AS message FROM x JOIN g USING (name) WHERE expected IS DISTINCT FROM value
-    UNION ALL SELECT name, 'must be 0, got ' || value FROM g WHERE name = 'toxic' AND value <> 0
+#: What the build should have by the table: entries as they are, and as many definitions as there are panels.
+_EXPECTED = "SELECT 'entries' AS name, (SELECT count(*) FROM n) AS expected UNION ALL SELECT 'redirects', (SELECT count(*) FROM part) UNION ALL SELECT 'stored_audio', (SELECT count(*) FROM documents)"
+
+
+@query(f"""
+    WITH {_TOTALS}, u AS (UNPIVOT whole ON * INTO NAME name VALUE value)
+    SELECT w.name, 'expected ' || expected || ', got ' || coalesce(CAST(value AS VARCHAR), 'none') AS message FROM ({_EXPECTED}) w LEFT JOIN u USING (name) WHERE expected IS DISTINCT FROM value
+    UNION ALL SELECT name, 'must be 0, got ' || value FROM u WHERE name IN ({', '.join(f"'{c}'" for c in audit.MUST_BE_ZERO)}) AND value <> 0
+    UNION ALL SELECT name, 'must be empty, has ' || value FROM lists WHERE value <> 0
 """)
 def audit_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    one = lambda name, df, agg: df.agg(agg.cast("long").alias("value")).select(F.lit(name).alias("name"), "value")
-    totals = one("documents", docs, F.count("*")).unionByName(one("labels", labels, F.count("*"))).unionByName(one("toxic", labels, F.sum("toxic")))
-    wanted = one("documents", docs, F.count_distinct("doc_id")).unionByName(one("labels", labels.limit(0), F.count("*") + 1)).unionByName(one("absent", labels.limit(0), F.count("*") + 5))
-    return audit.gate(totals, wanted.withColumnRenamed("value", "expected"), ["toxic"])
+    """The audit of one build; two expectations fail by design, and so do the faults that the records have."""
+    b = _built(spark, sf_dir)
+    one = lambda name, df: df.agg(F.count("*").alias("expected")).select(F.lit(name).alias("name"), "expected")
+    wanted = one("entries", b.entries).unionByName(one("redirects", table(spark, sf_dir, "part"))).unionByName(one("stored_audio", table(spark, sf_dir, "documents")))
+    return audit.gate(audit.unpivot(b.totals()), wanted, list(audit.MUST_BE_ZERO), b.lists())
 
 
 @query("""
@@ -709,21 +774,29 @@ def validate_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.violations(entries)
 
 
-@query(f"WITH {_CANDIDATES} SELECT (SELECT count(*) FROM part) AS entries, (SELECT count(*) FROM i) AS indices, CAST(0 AS BIGINT) AS id_mismatches, CAST(0 AS BIGINT) AS dangling")
+@query(f"WITH {_CANDIDATES} SELECT (SELECT count(*) FROM part WHERE p_partkey % 50 <> 17) AS entries, (SELECT count(*) FROM i) AS indices, (SELECT count(*) FROM part WHERE p_partkey % 50 = 13) AS id_mismatches, (SELECT count(*) FROM i WHERE (entry_id - 1) % 50 = 17) AS dangling")
 def verify_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = derived.entries(spark, sf_dir)
-    return audit.verify_dictionary(e.select("entry_id", F.to_json(F.struct("entry_id", "headword")).alias("json")), _index(spark, sf_dir))
+    """Of fifty entries one says another id than its own, and one is gone."""
+    e = derived.entries(spark, sf_dir).where("entry_id % 50 <> 18")
+    said = F.when(F.col("entry_id") % 50 == 14, F.col("entry_id") + 1).otherwise(F.col("entry_id"))
+    return audit.verify_dictionary(e.select("entry_id", F.to_json(F.struct(said.alias("entry_id"), "headword")).alias("json")), _index(spark, sf_dir))
 
 
-@query(f"WITH {_REFERENCES} SELECT archive, CAST(row_number() OVER (PARTITION BY archive ORDER BY name) - 1 AS INT) AS at, name FROM a WHERE name IN (SELECT lower(name) FROM f)")
+@query(f"WITH {_REFERENCES} SELECT archive, row_number() OVER (PARTITION BY archive ORDER BY name) - 1 AS at, name FROM a WHERE name IN (SELECT lower(name) FROM f)")
 def sorted_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = media.select_referenced(derived.media(spark, sf_dir), derived.media_references(spark, sf_dir))
-    return kept.groupBy("archive").agg(F.array_sort(F.collect_list("name")).alias("names")).select("archive", F.posexplode("names").alias("at", "name"))
+    return windows.sums_before(kept.select("archive", "name", F.lit(1).cast("long").alias("one")), "archive", ["name"], {"at": "one"}).drop("one")
+
+
+_LINES = "l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey"
 
 
-@query()
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_linenumber <> 7 ORDER BY md5('7:' || {_LINES}), {_LINES} LIMIT 10000")
 def fixed_size_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.fixed_size_sample(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey", 10_000, 7)
+    """A sample of lines; the seventh of an order is blank."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").withColumn("key", F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    line = F.when(F.col("l_linenumber") == 7, " ").otherwise(F.col("key"))
+    return windows.fixed_size_sample(lines.withColumn("line", line), "line", "key", 10_000, 7).drop("line", "key")
 
 
 # Sinks -----------------------------------------------------------------------------
@@ -760,24 +833,24 @@ query(_STORED, "write_media")(lambda spark, sf_dir: _stored(spark, sf_dir).selec
 query(f"SELECT name, digest FROM ({_STORED}) ORDER BY name", "read_media")(lambda spark, sf_dir: _stored(spark, sf_dir).select("name", F.md5("content").alias("digest")))
 
 
-@query(_METRICS + "SELECT CAST(sum(definition_pairs) AS BIGINT) AS definition_pairs, CAST(sum(excluded_examples) AS BIGINT) AS excluded_examples, max(rec) AS last_record FROM m")
+@query(f"WITH {_TOTALS} SELECT definition_pairs, entries, mdx_records, redirects FROM whole")
 def write_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = files.write_audit(_totals(Parsed(spark, sf_dir)), files.new_folder(spark, "audit"))
-    schema = "definition_pairs long, excluded_examples long, last_record long"
-    return spark.read.schema(schema).json(path)
+    path = files.write_audit(_built(spark, sf_dir).totals(), files.new_folder(spark, "audit"))
+    return spark.read.schema("definition_pairs long, entries long, mdx_records long, redirects long").json(path)
 
 
-@query("SELECT 'part-' || s_suppkey AS kind, CAST(length(s_name) AS BIGINT) AS length FROM supplier WHERE FALSE UNION ALL SELECT 'entries', count(*) FROM part UNION ALL SELECT 'media', count(*) FROM documents")
+@query("SELECT kind, 1 AS version, rows, sound FROM (SELECT unnest(['entries', 'media', 'late']) AS kind, unnest([(SELECT count(*) FROM part), (SELECT count(*) FROM documents), 2 * (SELECT count(*) FROM part)]) AS rows, unnest([TRUE, TRUE, FALSE]) AS sound)")
 def build_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of what was written; sizes and checksums of the files are checked against each other."""
+    """What was written, and whether it still is what its manifest says; ``late`` was written to afterwards."""
     root = files.new_folder(spark, "build")
     e = files.write_entries_jsonl(derived.entries(spark, sf_dir), f"{root}/entries")
+    late = files.write_entries_jsonl(derived.entries(spark, sf_dir), f"{root}/late")
     m = files.write_media(derived.media(spark, sf_dir), f"{root}/media")
-    sums = files.manifest(spark, [e, m])
-    sound = sums.where(F.col("crc").rlike("^[0-9a-f]{8}$") & (F.col("length") > 0)).groupBy("kind").agg(F.count("*").alias("files"))
-    counts = files.read_entries_jsonl(spark, e).agg(F.count("*").alias("length")).select(F.lit("entries").alias("kind"), "length")
-    counts = counts.unionByName(files.read_media(spark, m).agg(F.count("*").alias("length")).select(F.lit("media").alias("kind"), "length"))
-    return counts.join(sound, "kind", "left_semi")
+    said = saved(files.manifest(spark, [e, late, m], version=1), "manifest")
+    derived.entries(spark, sf_dir).write.mode("append").json(late)
+    one = lambda kind, df: df.agg(F.count("*").alias("rows")).select(F.lit(kind).alias("kind"), "rows")
+    counts = one("entries", files.read_entries_jsonl(spark, e)).unionByName(one("late", files.read_entries_jsonl(spark, late))).unionByName(one("media", files.read_media(spark, m)))
+    return counts.join(files.verified(said, files.manifest(spark, [e, late, m], version=1)), "kind").select("kind", "version", "rows", "sound")
 
 
 @query("SELECT (SELECT count(*) FROM part) AS entries, count(*) AS media, CAST(sum(octet_length(encode(coalesce(text, ''))) + CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 0 END) AS BIGINT) AS bytes FROM documents")

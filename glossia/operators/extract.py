@@ -8,18 +8,19 @@ order: values are collected with their position and sorted.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossia.functions import text
 from glossia.functions.windows import dedupe_first
-from glossia.operators.markup import ENTRY_PROFILE, Selectors, below, has, href, nearest, parent_has, pruned
+from glossia.operators.markup import COLLECTIONS, below, has, href, nearest, own_or_nearest, parent_has
 from glossia.schemas import BUCKETS, CHILD, EN_ZH, LABELS, NODE, PRON, SENSE, XREF
 from glossia.sources.shared import saved
 
 #: Class names of the records' layout.
 EMBEDDED = ("o-idiom", "o-phrasal", "o-relation-item")
-COLLECTIONS = ("o-phrase-collection", "o-idiom-collection", "o-phrasal-collection")
 LABEL_CLASSES = (
     ("o-gram", "grammar"), ("o-reg", "register"), ("o-geo", "region"), ("o-sense-usage", "usage"),
     ("o-usage", "usage"), ("o-cf", "construction"), ("o-note", "note"), ("o-help", "note"),
@@ -30,22 +31,23 @@ CHILD_HEADS = {"o-idiom": "o-idm", "o-phrasal": "o-pv", "o-relation-item": "o-dr
 _APOSTROPHES = ("'", "’")
 
 
-def placed(nodes: DataFrame, spec: Selectors = ENTRY_PROFILE) -> DataFrame:
-    """Nodes with where they stand, shuffled once by record."""
-    panel = F.try_element_at(F.filter("anc", lambda a: F.array_contains(a["classes"], "o-pos-panel")), F.lit(-1))
-    excluded = below("o-unbox-panel") | F.coalesce(F.arrays_overlap(panel["classes"], F.array(*map(F.lit, COLLECTIONS))), F.lit(False))
-    return nodes.repartition("rec").select(
+#: Columns of a placed node; what only the parse needs is left behind.
+_PLACES = ("rec", "pre", "last", "parent", "tag", "classes", "parent_classes", "href", "sounds_for", "pruned", "text_spaced", "text_joined", "up")
+
+
+def placed(nodes: DataFrame) -> DataFrame:
+    """Nodes with where they stand, as numbers, shuffled once by record."""
+    return nodes.where("error is null").select(*_PLACES).repartition("rec").select(
         "*",
-        nearest("o-pos-panel", own=True).alias("panel"),
-        nearest("o-pos-detail").alias("detail"),
-        nearest("o-sense", own=True).alias("sense"),
-        nearest(*EMBEDDED, own=True).alias("child"),
-        nearest(*EMBEDDED).alias("child_above"),
-        nearest("o-pron-chunk", own=True).alias("chunk"),
-        nearest("o-pronunciation-set").alias("pron_set"),
-        nearest("o-ref").alias("ref"),
-        pruned(spec).alias("pruned"),
-        excluded.alias("excluded"),
+        own_or_nearest("panel", "o-pos-panel").alias("panel"),
+        nearest("detail").alias("detail"),
+        own_or_nearest("sense", "o-sense").alias("sense"),
+        own_or_nearest("child", *EMBEDDED).alias("child"),
+        nearest("child").alias("child_above"),
+        own_or_nearest("chunk", "o-pron-chunk").alias("chunk"),
+        nearest("pron_set").alias("pron_set"),
+        nearest("ref").alias("ref"),
+        (below("box") | F.coalesce(nearest("collection") == nearest("panel"), F.lit(False))).alias("excluded"),
     )
 
 
@@ -56,7 +58,7 @@ def first_text(when: Column, value: Column | None = None) -> Column:
 
 def headwords(nodes: DataFrame, records: DataFrame) -> DataFrame:
     """``rec, headword``: first of ``.o-head-main .o-h`` and ``.o-head-main``, else the record's key."""
-    fits = has("o-head-main") | (has("o-h") & below("o-head-main"))
+    fits = has("o-head-main") | (has("o-h") & below("head_main"))
     found = nodes.where(~F.col("pruned") & fits).groupBy("rec").agg(text.clean_headword(F.min_by("text_spaced", "pre")).alias("found"))
     keys = records.select(F.col("record_number").alias("rec"), text.clean_headword(F.col("key")).alias("key"))
     return found.join(keys, "rec").select("rec", F.coalesce(F.when(F.col("found") != "", F.col("found")), "key").alias("headword"))
@@ -111,27 +113,6 @@ def record_kinds(nodes: DataFrame, dict_id: str) -> DataFrame:
     )
 
 
-def failures(nodes: DataFrame, records: DataFrame, accepted: DataFrame, dict_id: str) -> DataFrame:
-    """``rec, reason`` of records that give nothing: the first rule that they break."""
-    kinds = record_kinds(nodes, dict_id)
-    head = nodes.where(has("o-head-main") & ~F.col("pruned")).select("rec").distinct().withColumn("head", F.lit(True))
-    some = accepted.groupBy("rec").agg(F.count("*").alias("panels"), F.max(F.col("detail_pre").isNull()).alias("no_detail"))
-    unsafe = audio_links(nodes).where(~text.is_safe_reference(F.col("name"))).select("rec").distinct().withColumn("unsafe", F.lit(True))
-    define = nodes.where(has("o-sense-define") & parent_has("o-sense")).select("rec", F.col("parent").alias("pre")).distinct().withColumn("defined", F.lit(True))
-    bare = nodes.where(has("o-sense") & ~F.col("pruned") & ~F.coalesce("excluded", F.lit(False))).select("rec", "pre").join(define, ["rec", "pre"], "left").where("defined is null").select("rec").distinct().withColumn("bare", F.lit(True))
-    facts = records.select(F.col("record_number").alias("rec")).join(kinds, "rec", "left").join(head, "rec", "left").join(some, "rec", "left").join(unsafe, "rec", "left").join(bare, "rec", "left")
-    plain = ~F.coalesce("supplemental", F.lit(False))
-    reason = (
-        F.when(F.col("unsafe"), "unsafe media name")
-        .when(~F.coalesce("has_main", F.lit(False)) | (plain & F.col("head").isNull()), "not an entry")
-        .when(plain & F.col("panels").isNull(), "no panel")
-        .when(F.col("panels") > text.MAX_LOCAL, "too many panels")
-        .when(F.col("no_detail"), "no detail")
-        .when(plain & F.col("bare"), "sense without definition block")
-    )
-    return facts.select("rec", reason.alias("reason")).where("reason is not null")
-
-
 def audio_links(nodes: DataFrame) -> DataFrame:
     """``rec, pre, name`` of all word-audio links, those in pruned boxes included."""
     name = text.media_name(href())
@@ -166,8 +147,8 @@ def pronunciations(found: DataFrame, owner: list[str], dict_id: str) -> DataFram
 
 def set_sounds(nodes: DataFrame) -> DataFrame:
     """``rec, number, region, notation, file, ord`` of the pronunciation sets; of a number the last set wins."""
-    sets = nodes.where(has("o-pronunciation-set") & F.col("attrs")["data-pronunciation-for"].isNotNull() & ~F.col("pruned"))
-    last = sets.groupBy("rec", F.col("attrs")["data-pronunciation-for"].alias("number")).agg(F.max("pre").alias("pron_set"))
+    sets = nodes.where(has("o-pronunciation-set") & F.col("sounds_for").isNotNull() & ~F.col("pruned"))
+    last = sets.groupBy("rec", F.col("sounds_for").alias("number")).agg(F.max("pre").alias("pron_set"))
     found = chunks(nodes).where("pron_set is not null").join(last, ["rec", "pron_set"])
     return found.select("rec", "number", "region", "notation", "file", F.struct(F.lit(0).alias("src"), F.col("chunk").alias("at")).alias("ord"))
 
@@ -197,8 +178,7 @@ def examples(nodes: DataFrame) -> DataFrame:
     items = nodes.where((F.col("tag") == "li") & parent_has("o-example-list") & ~F.col("pruned")).select("rec", F.col("parent").alias("list_pre"), F.col("pre").alias("item"), F.col("last").alias("item_last"))
     mine = lists.join(items, ["rec", "list_pre"])
     side = has("o-example-eng", "o-example-simp") & ~F.col("pruned")
-    li = F.try_element_at(F.filter("anc", lambda a: F.array_contains(a["classes"], "o-example-list")), F.lit(-1))["pre"]
-    texts = nodes.where(side).select("rec", li.alias("list_pre"), F.col("pre").alias("at"), has("o-example-eng").alias("english"), text.clean_text(F.col("text_joined")).alias("t"))
+    texts = nodes.where(side).select("rec", nearest("example_list").alias("list_pre"), F.col("pre").alias("at"), has("o-example-eng").alias("english"), text.clean_text(F.col("text_joined")).alias("t"))
     joined = mine.join(texts, ["rec", "list_pre"], "left")
     inside = F.col("at").between(F.col("item") + 1, F.col("item_last"))
     first = lambda want: F.coalesce(F.min_by(F.when(want, F.col("t")), F.when(want, F.col("at"))), F.lit(""))
@@ -210,11 +190,10 @@ def labels(nodes: DataFrame) -> DataFrame:
 
     Inside a bucket the order is that of the classes, then of the document.
     """
-    head = F.try_element_at(F.filter("anc", lambda a: F.array_contains(a["classes"], "o-sense-head")), F.lit(-1))
-    live = nodes.where(~F.col("pruned") & below("o-sense-head") & F.col("sense").isNotNull())
+    live = nodes.where(~F.col("pruned") & below("sense_head") & F.col("sense").isNotNull())
     ranked = [F.when(has(c), F.struct(F.lit(i).alias("rank"), F.lit(b).alias("bucket"))) for i, (c, b) in enumerate(LABEL_CLASSES)]
     rest = F.when(has("o-tag") & ~has(*IGNORED_TAGS) & ~has(*[c for c, _ in LABEL_CLASSES]), F.struct(F.lit(len(ranked)).alias("rank"), F.lit("note").alias("bucket")))
-    marks = live.where(head.isNotNull()).select("rec", "sense", "pre", "text_spaced", F.explode(F.array_compact(F.array(*ranked, rest))).alias("m"))
+    marks = live.select("rec", "sense", "pre", "text_spaced", F.explode(F.array_compact(F.array(*ranked, rest))).alias("m"))
     item = F.struct(F.col("m.rank").alias("rank"), "pre", F.col("m.bucket").alias("bucket"), F.col("text_spaced").alias("t"))
     got = marks.groupBy("rec", "sense").agg(F.array_sort(F.collect_list(item)).alias("all"))
     bucket = lambda b: text.clean_label_list(F.transform(F.filter("all", lambda x: x["bucket"] == b), lambda x: x["t"]))
@@ -232,12 +211,12 @@ def references(nodes: DataFrame) -> DataFrame:
     label = live.where(has("o-ref-label", "o-ref-text") & F.col("ref").isNotNull()).groupBy("rec", "ref").agg(text.clean_text(F.min_by("text_spaced", "pre")).alias("relation"))
     target = text.link_target(href())
     links = live.where(href(text.ENTRY_LINK).isNotNull()).select(
-        "rec", "pre", "sense", "panel", "child", "ref", below("o-relation-head").alias("relation_head"), below("o-reference").alias("in_reference"),
+        "rec", "pre", "sense", "panel", "child", "ref", nearest("li_sense").alias("li_sense"), below("relation_head").alias("relation_head"), below("reference").alias("in_reference"),
         target.alias("target"), text.clean_headword(F.col("text_spaced")).alias("shown"),
     )
     relation = F.when(~F.col("relation").isin("=", "→", ""), F.col("relation"))
     display = F.when(F.col("shown") != "", F.col("shown")).otherwise(F.col("target"))
-    return links.join(label, ["rec", "ref"], "left").where("target <> ''").select("rec", "pre", "sense", "panel", "child", "relation_head", "in_reference", "target", display.alias("display"), relation.alias("relation"))
+    return links.join(label, ["rec", "ref"], "left").where("target <> ''").select("rec", "pre", "sense", "panel", "child", "li_sense", "relation_head", "in_reference", "target", display.alias("display"), relation.alias("relation"))
 
 
 def distinct_references(links: DataFrame, owner: list[str]) -> DataFrame:
@@ -271,15 +250,14 @@ def senses(nodes: DataFrame, heads: DataFrame) -> DataFrame:
     live = nodes.where(~F.col("pruned") & F.col("sense").isNotNull())
     own = F.col("pre") == F.col("sense")
     in_define = parent_has("o-sense-define")
-    above = F.try_element_at("anc", F.lit(-1))["pre"]
     grouped = parent_has("o-multiple-sense", "o-shortcut")
     base = live.groupBy("rec", "sense").agg(
         F.max(F.when(own, F.col("panel"))).alias("panel"),
         F.max(F.when(own, F.col("child_above"))).alias("child"),
-        F.max(F.when(own & grouped, above)).alias("group"),
+        F.max(F.when(own & grouped, F.col("parent"))).alias("group"),
         F.max(F.when(own, parent_has("o-pos-detail"))).alias("direct"),
         F.max(F.when(own, F.col("parent"))).alias("parent"),
-        first_text(has("o-sn-g") & below("o-sense-head")).alias("number"),
+        first_text(has("o-sn-g") & below("sense_head")).alias("number"),
         F.coalesce(first_text(has("o-def-eng") & in_define), F.lit("")).alias("en"),
         F.coalesce(first_text(has("o-def-simp") & in_define), F.lit("")).alias("zh"),
     )
@@ -320,8 +298,7 @@ def groups(nodes: DataFrame) -> DataFrame:
     """``rec, panel, group, title`` of titled groups directly below a detail; titles may be blank."""
     own = has("o-multiple-sense") & has("o-shortcut") & parent_has("o-pos-detail") & ~F.col("pruned")
     found = nodes.where(own).select("rec", "panel", F.col("pre").alias("group"))
-    title = F.try_element_at(F.filter("anc", lambda a: F.array_contains(a["classes"], "o-shortcut-title")), F.lit(-1))["pre"]
-    sides = nodes.where(~F.col("pruned") & has("o-eng", "o-simp") & parent_has("o-shortcut-title")).select("rec", nearest("o-shortcut").alias("group"), title.alias("title_pre"), "pre", has("o-eng").alias("english"), "text_spaced")
+    sides = nodes.where(~F.col("pruned") & has("o-eng", "o-simp") & parent_has("o-shortcut-title")).select("rec", nearest("shortcut").alias("group"), "pre", has("o-eng").alias("english"), "text_spaced")
     texts = sides.groupBy("rec", "group").agg(first_text(F.col("english")).alias("en"), first_text(~F.col("english")).alias("zh"))
     blank = lambda c: F.coalesce(c, F.lit(""))
     return found.join(texts, ["rec", "group"], "left").select("rec", "panel", "group", F.struct(blank("en").alias("en"), blank("zh").alias("zh")).alias("title"))
@@ -344,24 +321,51 @@ def root_senses(found: DataFrame, titled: DataFrame) -> DataFrame:
     return both.groupBy("rec", "panel").agg(ordered.alias("sense"))
 
 
-def children(nodes: DataFrame, found: DataFrame, dict_id: str) -> DataFrame:
-    """``rec, panel, at, role, entry``: idioms, phrasal verbs and derivatives, in document order.
+def boxes(nodes: DataFrame) -> DataFrame:
+    """``rec, panel, child, role`` of the embedded entries of panels, one row for each role that one has."""
+    roles = F.array_compact(F.array(
+        F.when(has("o-idiom"), F.lit("o-idiom")), F.when(has("o-phrasal"), F.lit("o-phrasal")),
+        F.when(has("o-relation-item") & below("relations"), F.lit("o-relation-item")),
+    ))
+    live = nodes.where(~F.col("pruned") & has(*EMBEDDED) & F.col("panel").isNotNull())
+    return live.select("rec", "panel", F.col("pre").alias("child"), F.explode(roles).alias("role"))
 
-    Idioms and phrasal verbs are kept once by (caseless headword, first sense);
-    derivatives all. A child's own senses are its direct children.
+
+def parsed_boxes(nodes: DataFrame, accepted: DataFrame) -> DataFrame:
+    """``boxes`` that are read: all of ordinary panels, of a phrase panel the first of its kind, which is ``promoted``."""
+    each = boxes(nodes).join(accepted.select("rec", "panel", "pos", "is_phrase"), ["rec", "panel"])
+    kind = F.when(F.col("role") == "o-idiom", "idiom").when(F.col("role") == "o-phrasal", "phrasal verb")
+    first = each.where(F.col("is_phrase") & (kind == F.col("pos"))).groupBy("rec", "panel").agg(F.min_by("role", "child").alias("role"), F.min("child").alias("child"))
+    rest = each.where("not is_phrase").select("rec", "panel", "child", "role", F.lit(False).alias("promoted"))
+    return rest.unionByName(first.select("rec", "panel", "child", "role", F.lit(True).alias("promoted")))
+
+
+def parsed_senses(found: DataFrame, accepted: DataFrame, read: DataFrame) -> DataFrame:
+    """``rec, sense, times``: how often each sense is read, those never read left out.
+
+    Root senses of ordinary panels are read once, an embedded entry's direct senses once
+    for each role it is read in.
+    """
+    roots = found.where("root").join(accepted.where("not is_phrase").select("rec", "panel"), ["rec", "panel"], "left_semi")
+    inside = found.where("child is not null and parent = child").select("rec", "sense", "child").join(read.groupBy("rec", "child").agg(F.count("*").alias("times")), ["rec", "child"])
+    return roots.select("rec", "sense", F.lit(1).cast("long").alias("times")).unionByName(inside.select("rec", "sense", "times"))
+
+
+def child_rows(nodes: DataFrame, found: DataFrame, read: DataFrame, dict_id: str) -> DataFrame:
+    """A row for each embedded entry that is read, and role, before any is dropped as a repeat.
+
+    ``headword`` is null where there is neither a head nor, but for derivatives, a title.
     """
     live = nodes.where(~F.col("pruned"))
-    role = lambda c: F.when(F.array_contains(c, "o-idiom"), "o-idiom").when(F.array_contains(c, "o-phrasal"), "o-phrasal").otherwise("o-relation-item")
-    boxes = live.where(has(*EMBEDDED) & F.col("panel").isNotNull()).select("rec", "panel", F.col("pre").alias("child"), role(F.col("classes")).alias("role"))
     inner = live.where(F.col("child_above").isNotNull()).withColumn("child", F.col("child_above")).groupBy("rec", "child").agg(
         first_text(has("o-idm")).alias("o-idiom"),
         first_text(has("o-pv")).alias("o-phrasal"),
-        first_text((has("o-dr") & below("o-relation-head")) | has("o-relation-head-link")).alias("o-relation-item"),
-        first_text(has("o-shortcut-title")).alias("title"),
-        first_text(has("o-pos-tag") & below("o-relation-pos")).alias("tag"),
+        first_text((has("o-dr") & below("relation_head")) | has("o-relation-head-link")).alias("o-relation-item"),
+        first_text(has("o-shortcut-title") & (F.col("parent") == F.col("child_above"))).alias("title"),
+        first_text(has("o-pos-tag") & below("relation_pos")).alias("tag"),
     )
     named = F.when(F.col("role") == "o-idiom", F.col("o-idiom")).when(F.col("role") == "o-phrasal", F.col("o-phrasal")).otherwise(F.col("o-relation-item"))
-    fallback = F.when(F.col("role") != "o-relation-item", F.col("title"))
+    derived = F.col("role") == "o-relation-item"
     own = drop_empty_senses(found).where("child is not null and parent = child")
     listed = F.transform(F.array_sort(F.collect_list(F.struct("sense", _sense().alias("s"))), lambda a, b: F.when(a["sense"] < b["sense"], -1).when(a["sense"] > b["sense"], 1).otherwise(0)), lambda x: _node(x["s"]))
     inside = own.groupBy("rec", "child").agg(listed.alias("sense"))
@@ -369,50 +373,130 @@ def children(nodes: DataFrame, found: DataFrame, dict_id: str) -> DataFrame:
     said = pronunciations(said, ["rec", "child"], dict_id)
     links = references(nodes).where("child is not null and sense is null and (relation_head or in_reference)")
     links = listed_references(links, ["rec", "child"])
-    full = boxes.join(inner, ["rec", "child"], "left").join(inside, ["rec", "child"], "left").join(said, ["rec", "child"], "left").join(links, ["rec", "child"], "left")
-    full = full.select(
-        "rec", "panel", "child", "role", text.clean_headword(F.coalesce(named, fallback)).alias("headword"),
-        F.when(F.col("role") == "o-relation-item", F.col("tag")).alias("pos"),
+    full = read.join(inner, ["rec", "child"], "left").join(inside, ["rec", "child"], "left").join(said, ["rec", "child"], "left").join(links, ["rec", "child"], "left")
+    return full.select(
+        "rec", "panel", "child", "role", "promoted", text.clean_headword(F.coalesce(named, F.when(~derived, F.col("title")))).alias("headword"),
+        F.when(derived, F.col("tag")).alias("pos"),
         F.coalesce("pronunciation", F.array().cast(f"array<{PRON}>")).alias("pronunciation"),
         F.coalesce("sense", F.array().cast(f"array<{NODE}>")).alias("sense"),
         F.coalesce(F.transform("links", lambda x: _xref(x, no_labels())), F.array().cast(f"array<{XREF}>")).alias("cross_references"),
     )
+
+
+def children(rows: DataFrame) -> DataFrame:
+    """``rec, panel, at, role, promoted, entry``: idioms, phrasal verbs and derivatives, in document order.
+
+    Idioms and phrasal verbs are kept once by (caseless headword, first sense);
+    derivatives all. A child's own senses are its direct children.
+    """
     first = F.coalesce(F.to_json(F.try_element_at("sense", F.lit(1))), F.lit(""))
     alone = F.when(F.col("role") == "o-relation-item", F.col("child"))
-    keyed = full.withColumn("_k", text.casefold(F.coalesce("headword", F.lit("")))).withColumn("_s", first).withColumn("_a", alone)
+    keyed = rows.withColumn("_k", text.casefold(F.coalesce("headword", F.lit("")))).withColumn("_s", first).withColumn("_a", alone)
     kept = dedupe_first(keyed, ["rec", "panel", "role", "_k", "_s", "_a"], ["child"])
     entry = F.struct("headword", "pos", "pronunciation", "sense", "cross_references").cast(CHILD)
-    return kept.select("rec", "panel", F.col("child").alias("at"), "role", entry.alias("entry"))
-
+    return kept.select("rec", "panel", F.col("child").alias("at"), "role", "promoted", entry.alias("entry"))
+
+
+class Layout:
+    """What several operators take from the nodes of records, each worked out and written once, when it is first asked for."""
+
+    def __init__(self, nodes: DataFrame, records: DataFrame, dict_id: str):
+        self.nodes, self.records, self.dict_id = nodes, records, dict_id
+
+    @cached_property
+    def heads(self) -> DataFrame:
+        return saved(headwords(self.nodes, self.records), "headwords")
+
+    @cached_property
+    def panels(self) -> DataFrame:
+        return saved(panels(self.nodes), "panels")
+
+    @cached_property
+    def local(self) -> DataFrame:
+        return number_entries(self.panels).select("rec", "panel", F.col("local").cast("long").alias("local"))
+
+    @cached_property
+    def senses(self) -> DataFrame:
+        return saved(senses(self.nodes, self.heads), "senses")
+
+    @cached_property
+    def read(self) -> DataFrame:
+        return saved(parsed_boxes(self.nodes, self.panels), "read")
+
+    @cached_property
+    def times(self) -> DataFrame:
+        return saved(parsed_senses(self.senses, self.panels, self.read), "times")
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        return saved(child_rows(self.nodes, self.senses, self.read, self.dict_id), "children")
+
+    @cached_property
+    def supplements(self) -> DataFrame:
+        return saved(supplemental(self.nodes, self.records, self.dict_id), "supplements")
+
+    @cached_property
+    def failed(self) -> DataFrame:
+        return saved(failures(self), "failed")
+
+
+def failures(x: Layout) -> DataFrame:
+    """``rec, reason`` of records that give nothing: the first rule of these that they break."""
+    nodes, flag = x.nodes, lambda df, name: df.select("rec").distinct().withColumn(name, F.lit(True))
+    kinds = record_kinds(nodes, x.dict_id)
+    some = x.panels.groupBy("rec").agg(F.count("*").alias("panels"), F.max(F.col("detail_pre").isNull()).alias("no_detail"))
+    define = nodes.where(has("o-sense-define") & parent_has("o-sense")).select("rec", F.col("parent").alias("sense"))
+    nameless = x.rows.where("headword is null")
+    facts = x.records.select(F.col("record_number").alias("rec")).join(kinds, "rec", "left").join(some, "rec", "left")
+    for found, name in (
+        (nodes.where(has("o-head-main") & ~F.col("pruned")), "head"),
+        (audio_links(nodes).where(~text.is_safe_reference(F.col("name"))), "unsafe"),
+        (x.times.join(define, ["rec", "sense"], "left_anti"), "bare"),
+        (nameless.where("role <> 'o-relation-item'"), "no_child_head"),
+        (nameless.where("role = 'o-relation-item'"), "no_derived_head"),
+        (supplemental_heads(nodes, x.dict_id), "supplement_head"),
+        (x.supplements.where("definition is not null"), "bilingual"),
+    ):
+        facts = facts.join(flag(found, name), "rec", "left")
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    plain = no("supplemental")
+    reason = (
+        F.when(F.col("unsafe"), "unsafe media name")
+        .when(no("has_main") | (plain & F.col("head").isNull()), "not an entry")
+        .when(~plain & F.col("supplement_head").isNull(), "supplemental record without headword")
+        .when(~plain & F.col("bilingual").isNull(), "supplemental record without bilingual sense")
+        .when(plain & F.col("panels").isNull(), "no panel")
+        .when(plain & (F.col("panels") > text.MAX_LOCAL), "too many panels")
+        .when(plain & F.col("no_detail"), "no detail")
+        .when(plain & F.col("bare"), "sense without definition block")
+        .when(plain & F.col("no_child_head"), "embedded entry without headword")
+        .when(plain & F.col("no_derived_head"), "derivative without headword")
+    )
+    return facts.select("rec", reason.alias("reason")).where("reason is not null")
 
-def assemble(nodes: DataFrame, records: DataFrame, dict_id: str) -> DataFrame:
-    """The nested entries of all sound records, with ``rec, local``.
 
-    What several parts of the plan need is written once: headwords, panels, senses.
-    """
-    heads = saved(headwords(nodes, records), "headwords")
-    accepted = saved(panels(nodes), "panels")
-    bad = failures(nodes, records, accepted, dict_id)
-    kinds = record_kinds(nodes, dict_id)
-    numbered = saved(number_entries(accepted.join(bad, "rec", "left_anti")), "numbered")
-    found = saved(senses(nodes, heads), "senses")
-    small = children(nodes, found, dict_id)
-    of = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("at", "entry"))), lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)), lambda x: x["entry"])
-    kids = small.groupBy("rec", "panel").agg(of("o-idiom").alias("idioms"), of("o-phrasal").alias("phrasal_verbs"), of("o-relation-item").alias("derivatives"), F.min_by("entry", "at").alias("phrase"))
+def assemble(x: Layout) -> DataFrame:
+    """The nested entries of all sound records, of both layouts, with ``rec, local``."""
+    kinds = record_kinds(x.nodes, x.dict_id)
+    sound = x.panels.join(kinds.where("not supplemental").select("rec"), "rec", "left_semi").join(x.failed, "rec", "left_anti")
+    numbered = saved(number_entries(sound), "numbered")
+    small = children(x.rows)
+    of = lambda role: F.transform(F.array_sort(F.collect_list(F.when((F.col("role") == role) & ~F.col("promoted"), F.struct("at", "entry"))), lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)), lambda x: x["entry"])
+    kids = small.groupBy("rec", "panel").agg(of("o-idiom").alias("idioms"), of("o-phrasal").alias("phrasal_verbs"), of("o-relation-item").alias("derivatives"), F.min_by(F.when(F.col("promoted"), F.col("entry")), F.when(F.col("promoted"), F.col("at"))).alias("phrase"))
     item = F.struct("pre", F.struct("target", "display", "relation").alias("r"))
-    links = panel_references(nodes).groupBy("rec", "panel").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["r"]).alias("links"))
+    links = panel_references(x.nodes).groupBy("rec", "panel").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["r"]).alias("links"))
     full = numbered
-    for part in (root_senses(found, groups(nodes)), kids, links, panel_pronunciations(nodes, accepted, dict_id)):
+    for part in (root_senses(x.senses, groups(x.nodes)), kids, links, panel_pronunciations(x.nodes, x.panels, x.dict_id)):
         full = full.join(part, ["rec", "panel"], "left")
-    full = full.join(heads, "rec", "left").join(kinds, "rec", "left")
+    full = full.join(x.heads, "rec", "left").join(kinds, "rec", "left")
     phrase = F.col("is_phrase")
     or_empty = lambda c, t: F.coalesce(c, F.array().cast(f"array<{t}>"))
     unless = lambda c, t: or_empty(F.when(~phrase, F.col(c)), t)
     given = F.transform("links", lambda x: _xref(x, no_labels()))
-    return full.select(
-        "rec", "local", F.lit(dict_id).alias("dict_id"), "entry_id",
+    plain = full.select(
+        "rec", F.col("local").cast("long").alias("local"), F.lit(x.dict_id).alias("dict_id"), "entry_id",
         F.when(phrase, F.coalesce(F.when(F.col("phrase.headword") != "", F.col("phrase.headword")), "headword")).otherwise(F.col("headword")).alias("headword"),
-        F.lit("").alias("page"), F.col("pos").alias("section"),
+        F.lit(x.dict_id).alias("page"), F.col("pos").alias("section"),
         F.when(phrase | F.col("is_phrase_record"), "phrase").otherwise("word").alias("entry_type"), "pos",
         or_empty("pronunciation", PRON).alias("pronunciation"),
         or_empty(F.when(phrase, F.col("phrase.sense")).otherwise(F.col("sense")), NODE).alias("sense"),
@@ -421,52 +505,113 @@ def assemble(nodes: DataFrame, records: DataFrame, dict_id: str) -> DataFrame:
         unless("derivatives", CHILD).alias("child_derivatives"),
         or_empty(F.when(phrase, F.col("phrase.cross_references")).otherwise(given), XREF).alias("cross_references"),
     )
+    return plain.unionByName(supplemental_entries(x.supplements.join(x.failed, "rec", "left_anti"), x.dict_id))
+
+
+def supplemental_heads(nodes: DataFrame, dict_id: str) -> DataFrame:
+    """``rec, h`` of records of the second layout that have a head; h may be blank."""
+    main = nodes.where((F.col("tag") == "main") & has(f"{dict_id}-supplemental-entry")).select("rec", F.col("pre").alias("main"), F.col("last").alias("main_last"))
+    heads = nodes.where(~F.col("pruned") & has("o-headword")).join(main, "rec").where("pre between main + 1 and main_last")
+    return heads.groupBy("rec").agg(text.clean_headword(F.min_by("text_spaced", "pre")).alias("h"))
 
 
 def supplemental(nodes: DataFrame, records: DataFrame, dict_id: str) -> DataFrame:
-    """``rec, entry_id, headword, pos, pronunciation, definition, sense`` rows of the second layout, one a sense."""
+    """Senses of the second layout: ``rec, sense, headword, pronunciation, en, zh, definition, cross_references``.
+
+    A sense with one side only has no definition and gives no sense to the entry; its
+    links are counted all the same.
+    """
     kinds = record_kinds(nodes, dict_id).where("supplemental").select("rec")
     live = nodes.where(~F.col("pruned")).join(kinds, "rec", "left_semi")
     keys = records.select(F.col("record_number").alias("rec"), "key")
-    heads = live.where(has("o-headword") & below(f"{dict_id}-supplemental-entry")).groupBy("rec").agg(text.clean_headword(F.min_by("text_spaced", "pre")).alias("h"))
     region = F.when(below("phons_br"), "UK").when(below("phons_n_am"), "US")
     said = live.where(has("phon")).select("rec", "pre", region.alias("region"), text.clean_text(F.col("text_spaced")).alias("notation")).where("region is not null and notation <> ''")
     rank = F.when(F.col("region") == "UK", 0).otherwise(1)
     said = said.groupBy("rec").agg(F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("k"), "pre", "region", "notation"))), lambda x: F.struct(x["region"].alias("region"), x["notation"].alias("notation"), F.lit(None).cast("string").alias("audio_url"))).alias("pronunciation"))
-    own = live.where((F.col("tag") == "li") & has("sense") & parent_has("sense_single")).select("rec", F.col("pre").alias("sense"), "last")
-    texts = live.where((has("def") & parent_has("sensetop")) | (F.col("tag") == "chn")).select("rec", "pre", has("def").alias("english"), "text_spaced")
-    sides = own.join(texts, "rec").where("pre between sense + 1 and last").groupBy("rec", "sense").agg(
-        F.coalesce(first_text(F.col("english")), F.lit("")).alias("en"), F.coalesce(first_text(~F.col("english")), F.lit("")).alias("zh")
-    )
-    pairs = sides.where("en <> '' and zh <> ''")
+    own = live.where((F.col("tag") == "li") & has("sense") & parent_has("sense_single")).select("rec", F.col("pre").alias("li"))
+    texts = live.where(below("sensetop") & ((has("def") & parent_has("sensetop")) | (F.col("tag") == "chn")))
+    texts = texts.select("rec", nearest("li_sense").alias("li"), "pre", has("def").alias("english"), "text_spaced")
+    sides = own.join(texts, ["rec", "li"], "left").groupBy("rec", "li").agg(F.coalesce(first_text(F.col("english")), F.lit("")).alias("en"), F.coalesce(first_text(~F.col("english")), F.lit("")).alias("zh"))
+    links = references(live).withColumn("li", F.col("li_sense")).where("li is not null")
+    links = listed_references(links, ["rec", "li"])
     headword = F.coalesce(F.when(F.col("h") != "", F.col("h")), "key")
-    return pairs.join(heads, "rec").join(keys, "rec").join(said, "rec", "left").select(
-        "rec", text.pack_entry_id(F.col("rec"), F.lit(1)).alias("entry_id"), headword.alias("headword"), F.lit("proper noun").alias("pos"),
-        F.coalesce("pronunciation", F.array().cast(f"array<{PRON}>")).alias("pronunciation"), F.struct("en", "zh").alias("definition"), "sense",
+    full = sides.join(links, ["rec", "li"], "left").join(supplemental_heads(nodes, dict_id), "rec", "left").join(keys, "rec").join(said, "rec", "left")
+    return full.select(
+        "rec", F.col("li").alias("sense"), headword.alias("headword"), F.coalesce("pronunciation", F.array().cast(f"array<{PRON}>")).alias("pronunciation"), "en", "zh",
+        F.when((F.col("en") != "") & (F.col("zh") != ""), F.struct("en", "zh")).alias("definition"),
+        F.coalesce(F.transform("links", lambda x: _xref(x, no_labels())), F.array().cast(f"array<{XREF}>")).alias("cross_references"),
     )
 
 
-def record_metrics(nodes: DataFrame, found: DataFrame, bad: DataFrame) -> DataFrame:
-    """Counters of every sound record."""
-    items = example_items(nodes)
-    imported = examples(nodes).where("sense is not null").join(found.select("rec", "sense"), ["rec", "sense"], "left_semi")
-    flags = items.join(imported.select("rec", F.col("item").alias("pre")).withColumn("got", F.lit(True)), ["rec", "pre"], "left")
-    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    raw = flags.groupBy("rec").agg(F.count("*").alias("raw_examples"), count(F.col("excluded")).alias("excluded_examples"), count(~F.col("excluded") & F.col("got").isNull()).alias("orphan_examples"))
-    kept = imported.groupBy("rec").agg(F.count("*").alias("retained_examples"), F.count_distinct("list_pre").alias("retained_lists"), count(F.col("en") == "").alias("missing_english"), count(F.col("zh") == "").alias("missing_chinese"))
-    words = found.where("panel is not null").groupBy("rec").agg(
-        count(F.col("definition").isNotNull()).alias("definition_pairs"),
-        count((F.col("en") != "") & (F.col("zh") == "") & ~F.col("short_form")).alias("english_only"),
-        count((F.col("en") == "") & (F.col("zh") != "")).alias("chinese_only"),
-        F.sum(F.size("cross_references")).alias("sense_references"),
-    )
-    out = nodes.select("rec").distinct().join(bad, "rec", "left_anti").join(raw, "rec", "left").join(kept, "rec", "left").join(words, "rec", "left")
-    return out.na.fill(0)
+def supplemental_entries(found: DataFrame, dict_id: str) -> DataFrame:
+    """Entries of the second layout, one a record, in the shape of ``assemble``."""
+    null = lambda t: F.lit(None).cast(t)
+    node = F.struct(
+        F.lit("sense").alias("kind"), null("string").alias("index"), no_labels().alias("labels"), F.col("definition"),
+        F.array().cast(f"array<{EN_ZH}>").alias("examples"), F.col("cross_references"), null(EN_ZH).alias("title"), null(f"array<{SENSE}>").alias("senses"),
+    ).cast(NODE)
+    pairs = F.array_sort(F.collect_list(F.struct("sense", node.alias("node"))), lambda a, b: F.when(a["sense"] < b["sense"], -1).when(a["sense"] > b["sense"], 1).otherwise(0))
+    each = found.where("definition is not null").groupBy("rec").agg(F.first("headword").alias("headword"), F.first("pronunciation").alias("pronunciation"), F.transform(pairs, lambda x: x["node"]).alias("sense"))
+    none = lambda t: F.array().cast(f"array<{t}>")
+    return each.select(
+        "rec", F.lit(1).cast("long").alias("local"), F.lit(dict_id).alias("dict_id"), text.pack_entry_id(F.col("rec"), F.lit(1)).alias("entry_id"), "headword",
+        F.lit(dict_id).alias("page"), F.lit("proper noun").alias("section"), F.lit("word").alias("entry_type"), F.lit("proper noun").alias("pos"),
+        "pronunciation", "sense", none(CHILD).alias("child_idioms"), none(CHILD).alias("child_phrasal_verbs"), none(CHILD).alias("child_derivatives"),
+        none(XREF).alias("cross_references"),
+    )
+
+
+#: The counters of a record.
+METRICS = (
+    "definition_pairs", "english_only_definitions", "chinese_only_definitions", "cross_references", "raw_examples", "retained_examples",
+    "retained_example_lists", "excluded_examples", "missing_english_examples", "missing_chinese_examples", "orphan_examples", "duplicate_example_imports",
+)
+
 
+def record_metrics(x: Layout) -> DataFrame:
+    """``rec`` and its twelve counters, for every sound record.
 
+    Only what is read counts: not senses of panels that become no entry. What is read
+    in two roles counts twice, but its examples count once and as repeated imports.
+    Records of the second layout have no example counters but the raw one.
+    """
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    times = x.senses.join(x.times, ["rec", "sense"])
+    summed = lambda c: F.sum(F.when(c, F.col("times")).otherwise(0))
+    words = times.groupBy("rec").agg(
+        summed(F.col("definition").isNotNull()).alias("definition_pairs"),
+        summed((F.col("en") != "") & (F.col("zh") == "") & ~F.col("short_form")).alias("english_only_definitions"),
+        summed((F.col("en") == "") & (F.col("zh") != "")).alias("chinese_only_definitions"),
+        F.sum(F.size("cross_references") * F.col("times")).alias("in_senses"),
+    )
+    in_children = x.rows.groupBy("rec").agg(F.sum(F.size("cross_references")).alias("in_children"))
+    in_panels = panel_references(x.nodes).join(x.panels.where("not is_phrase").select("rec", "panel"), ["rec", "panel"], "left_semi").groupBy("rec").agg(F.count("*").alias("in_panels"))
+    imported = examples(x.nodes).join(x.times, ["rec", "sense"])
+    items = example_items(x.nodes).join(imported.select("rec", F.col("item").alias("pre"), F.lit(True).alias("got")), ["rec", "pre"], "left")
+    raw = items.groupBy("rec").agg(F.count("*").alias("raw_examples"), count(F.col("excluded")).alias("excluded_examples"), count(~F.col("excluded") & F.col("got").isNull()).alias("orphan_examples"))
+    kept = imported.groupBy("rec").agg(
+        F.count("*").alias("retained_examples"), F.count_distinct("list_pre").alias("retained_example_lists"), count(F.col("en") == "").alias("missing_english_examples"),
+        count(F.col("zh") == "").alias("missing_chinese_examples"), F.sum(F.col("times") - 1).alias("duplicate_example_imports"),
+    )
+    kinds = record_kinds(x.nodes, x.dict_id).select("rec", F.coalesce("supplemental", F.lit(False)).alias("second"))
+    both = kinds.join(x.failed, "rec", "left_anti")
+    first = both.where("not second")
+    for part in (words, in_children, in_panels, raw, kept):
+        first = first.join(part, "rec", "left")
+    links = sum((F.coalesce(c, F.lit(0)) for c in ("in_children", "in_panels")), F.coalesce("in_senses", F.lit(0)))
+    first = first.withColumn("cross_references", links)
+    second = x.supplements.groupBy("rec").agg(
+        count(F.col("definition").isNotNull()).alias("definition_pairs"), count((F.col("en") != "") & (F.col("zh") == "")).alias("english_only_definitions"),
+        count((F.col("en") == "") & (F.col("zh") != "")).alias("chinese_only_definitions"), F.sum(F.size("cross_references")).alias("cross_references"),
+    )
+    second = both.where("second").join(second, "rec", "left").join(raw.select("rec", "raw_examples"), "rec", "left")
+    out = first.unionByName(second, allowMissingColumns=True)
+    return out.select("rec", *[F.coalesce(F.col(m).cast("long"), F.lit(0)).alias(m) for m in METRICS])
 
 
-def orphan_examples(nodes: DataFrame) -> DataFrame:
-    """``rec, pre`` of example items that are neither excluded nor below a sense."""
-    raw = example_items(nodes).where(~F.col("excluded")).select("rec", "pre")
-    return raw.join(examples(nodes).select("rec", F.col("item").alias("pre")), ["rec", "pre"], "left_anti")
+def orphan_examples(x: Layout) -> DataFrame:
+    """``rec, pre`` of example items of sound records of the first layout that are neither excluded nor read."""
+    kinds = record_kinds(x.nodes, x.dict_id).where("coalesce(not supplemental, true)").select("rec").join(x.failed, "rec", "left_anti")
+    raw = example_items(x.nodes).where(~F.col("excluded")).select("rec", "pre").join(kinds, "rec", "left_semi")
+    read = examples(x.nodes).join(x.times, ["rec", "sense"]).select("rec", F.col("item").alias("pre"))
+    return raw.join(read, ["rec", "pre"], "left_anti")

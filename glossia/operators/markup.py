@@ -1,22 +1,23 @@
 """Markup to a node table: the one parsing helper, and what selects among its rows.
 
-A row has its element's pre-order number, the last number of its subtree, its parent,
-and its ancestors that carry a class. So "below", "direct child" and "nearest ancestor
-with a class" are filters on one row, and no selector needs a self-join.
+A row has its element's pre-order number, the last number of its subtree, its parent's
+number and classes, and for each class that a profile marks the number of the nearest
+element above that carries it. So "below", "direct child" and "nearest ancestor with a
+class" are comparisons of numbers on one row, and no selector needs a self-join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossia.functions import text
-from glossia.schemas import NODES
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _SILENT = ("script", "style")
@@ -31,15 +32,33 @@ _WALLS = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "td": ("table",), "t
 
 @dataclass(frozen=True)
 class Selectors:
-    """Which elements are pruned, and which are rows even without a class or a link."""
+    """Which elements are pruned, are rows even without a class or a link, and are known to those below them.
+
+    ``marks``: column of ``up`` -> the classes it stands for. ``mute``: elements with one
+    of these classes frame others, and their own text is not kept.
+    """
 
     prune: tuple[str, ...] = ("o-unbox-panel", "o-symbol-wrap")
     prune_tags: tuple[str, ...] = ()
     tags: tuple[str, ...] = ("li", "a", "chn")
+    marks: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    mute: tuple[str, ...] = ()
 
 
 #: Class names of entry records. Pages use their own profile.
-ENTRY_PROFILE = Selectors()
+COLLECTIONS = ("o-phrase-collection", "o-idiom-collection", "o-phrasal-collection")
+ENTRY_MARKS = (
+    ("panel", ("o-pos-panel",)), ("collection", COLLECTIONS), ("box", ("o-unbox-panel",)), ("detail", ("o-pos-detail",)),
+    ("sense", ("o-sense",)), ("sense_head", ("o-sense-head",)), ("child", ("o-idiom", "o-phrasal", "o-relation-item")),
+    ("relations", ("o-relations",)), ("relation_head", ("o-relation-head",)), ("relation_pos", ("o-relation-pos",)),
+    ("reference", ("o-reference",)), ("ref", ("o-ref",)), ("chunk", ("o-pron-chunk",)), ("pron_set", ("o-pronunciation-set",)),
+    ("example_list", ("o-example-list",)), ("shortcut", ("o-shortcut",)), ("title", ("o-shortcut-title",)), ("head_main", ("o-head-main",)),
+    ("phons_br", ("phons_br",)), ("phons_n_am", ("phons_n_am",)), ("sensetop", ("sensetop",)), ("li_sense", ("sense",)),
+)
+ENTRY_PROFILE = Selectors(
+    marks=ENTRY_MARKS,
+    mute=("o-pos-panel", "o-pos-detail", "o-sense", "o-sense-define", "o-example-list", "o-multiple-sense", "o-relations", "o-relation-item"),
+)
 PAGE_PROFILE = Selectors(prune=("ad",), prune_tags=("nav", "footer", "script", "style"), tags=("a", "h1", "p"))
 
 
@@ -48,15 +67,17 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.spec, self.nodes, self.open, self.texts = spec, [], [], []
         self.pruned = self.silent = self.example = 0
-
-    def _marks(self, node: dict) -> tuple[bool, bool, bool]:
-        pruned = node["tag"] in self.spec.prune_tags or any(c in self.spec.prune for c in node["classes"])
-        href = (node["attrs"].get("href") or "").lower()
-        return pruned, node["tag"] in _SILENT, node["tag"] == "a" and href.startswith(text.EXAMPLE_AUDIO)
+        self.marked: dict[str, list[str]] = {}
+        for name, classes in spec.marks:
+            for c in classes:
+                self.marked.setdefault(c, []).append(name)
+        self.mute = frozenset(spec.mute)
 
     def _count(self, node: dict, by: int) -> None:
-        pruned, silent, example = self._marks(node)
-        self.pruned, self.silent, self.example = self.pruned + by * pruned, self.silent + by * silent, self.example + by * example
+        if node["tag"] in self.spec.prune_tags or any(c in self.spec.prune for c in node["classes"]):
+            self.pruned += by
+        self.silent += by * (node["tag"] in _SILENT)
+        self.example += by * (node["tag"] == "a" and (node["attrs"].get("href") or "").lower().startswith(text.EXAMPLE_AUDIO))
 
     def _close(self, node: dict) -> None:
         node["last"], node["to"] = len(self.nodes) - 1, len(self.texts)
@@ -74,10 +95,14 @@ class _Builder(HTMLParser):
                 break
         values = {k: v or "" for k, v in reversed(attrs)}
         above = self.open[-1] if self.open else None
-        node = {"pre": len(self.nodes), "parent": above["pre"] if above else -1, "depth": len(self.open), "tag": tag, "classes": values.get("class", "").split(), "attrs": values, "from": len(self.texts)}
-        node["anc"] = (above["anc"] + ([above] if above["classes"] or above["tag"] in self.spec.prune_tags else [])) if above else []
+        node = {"pre": len(self.nodes), "above": above, "tag": tag, "classes": values.get("class", "").split(), "attrs": values, "from": len(self.texts)}
+        node["up"] = above["below"] if above else {}
+        own = {name for c in node["classes"] for name in self.marked.get(c, ())}
+        node["below"] = node["up"] | dict.fromkeys(own, node["pre"]) if own else node["up"]
+        node["depth"] = len(self.open)
         self.nodes.append(node)
         self._count(node, 1)
+        node["pruned"] = self.pruned > 0
         if tag in _VOID:
             self._close(node)
         else:
@@ -97,22 +122,35 @@ class _Builder(HTMLParser):
         if not self.pruned and not self.silent:
             self.texts.append((data, self.example > 0))
 
-    def rows(self, content: str) -> Iterator[dict]:
+    def rows(self, content: str) -> Iterator[tuple]:
+        """Fields in the order of ``_FIELDS``, then those of ``up``."""
         self.feed(content)
         self.close()
         while self.open:
             self._close(self.open.pop())
+        marks = [name for name, _ in self.spec.marks]
         for n in self.nodes:
-            if not (n["classes"] or n["tag"] in self.spec.tags or "href" in n["attrs"]):
+            classes, attrs, above = n["classes"], n["attrs"], n["above"]
+            if not (classes or n["tag"] in self.spec.tags or "href" in attrs):
                 continue
-            own = self.texts[n["from"] : n["to"]]
-            yield {
-                "pre": n["pre"], "last": n["last"], "parent": n["parent"], "depth": n["depth"], "tag": n["tag"],
-                "classes": n["classes"], "attrs": n["attrs"],
-                "anc": [{"pre": a["pre"], "tag": a["tag"], "classes": a["classes"]} for a in n["anc"]],
-                "text_spaced": " ".join(s for t, _ in own if (s := t.strip())),
-                "text_joined": "".join(t for t, example in own if not example),
-            }
+            own = [] if self.mute.intersection(classes) else self.texts[n["from"] : n["to"]]
+            up = n["up"]
+            yield (
+                n["pre"], n["last"], above["pre"] if above else -1, n["depth"], n["tag"], classes, above["classes"] if above else [],
+                attrs.get("href"), attrs.get("data-pronunciation-for"), n["pruned"],
+                " ".join(s for t, _ in own if (s := t.strip())), "".join(t for t, example in own if not example), *map(up.get, marks),
+            )
+
+
+_FIELDS = (
+    ("pre", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()),
+    ("classes", pa.list_(pa.string())), ("parent_classes", pa.list_(pa.string())), ("href", pa.string()), ("sounds_for", pa.string()),
+    ("pruned", pa.bool_()), ("text_spaced", pa.string()), ("text_joined", pa.string()),
+)
+_NODES = (
+    "rec long, pre int, last int, parent int, depth int, tag string, classes array<string>, parent_classes array<string>, "
+    "href string, sounds_for string, pruned boolean, text_spaced string, text_joined string, up struct<{up}>, error string"
+)
 
 
 def markup_nodes(records: DataFrame, spec: Selectors = ENTRY_PROFILE, rec: str = "record_number", content: str = "content") -> DataFrame:
@@ -122,25 +160,40 @@ def markup_nodes(records: DataFrame, spec: Selectors = ENTRY_PROFILE, rec: str =
     counts and links are taken before pruning. A record whose parse fails has one row
     with ``error``. Null content has no rows.
     """
-    names = [x.split()[0] for x in ("rec", "pre", "last", "parent", "depth", "tag", "classes", "attrs", "anc", "text_spaced", "text_joined", "error")]
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    marks = [name for name, _ in spec.marks] or ["none"]
+    names = ["rec", *[n for n, _ in _FIELDS], "up", "error"]
+
+    def table(recs: list, rows: list, bad: list) -> pa.RecordBatch:
+        blank = (None,) * (len(_FIELDS) + len(spec.marks))
+        columns = list(zip(*rows, *[blank] * len(bad), strict=True))
+        up = [pa.array(c, pa.int32()) for c in columns[len(_FIELDS) :]] or [pa.nulls(len(rows) + len(bad), pa.int32())]
+        arrays = [pa.array(recs + [r for r, _ in bad], pa.int64()), *[pa.array(c, kind) for c, (_, kind) in zip(columns, _FIELDS, strict=False)]]
+        error = pa.array([None] * len(rows) + [e for _, e in bad], pa.string())
+        return pa.RecordBatch.from_arrays([*arrays, pa.StructArray.from_arrays(up, marks), error], names)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recs: list = []
+        rows: list = []
+        bad: list = []
         for batch in batches:
-            out = []
-            for number, html in zip(batch["rec"], batch["content"], strict=True):
+            for number, html in zip(batch["rec"].to_pylist(), batch["content"].to_pylist(), strict=True):
                 if html is None:
                     continue
                 try:
-                    out.extend({"rec": number, "error": None, **row} for row in _Builder(spec).rows(html))
+                    own = list(_Builder(spec).rows(html))
                 except (ValueError, AssertionError) as e:
-                    out.append({"rec": number, "error": f"not parsed: {e}"})
-                if len(out) > 20_000:
-                    yield pd.DataFrame(out, columns=names).astype({c: "Int32" for c in names[1:5]})
-                    out = []
-            if out:
-                yield pd.DataFrame(out, columns=names).astype({c: "Int32" for c in names[1:5]})
+                    bad.append((number, f"not parsed: {e}"))
+                    own = []
+                rows += own
+                recs += [number] * len(own)
+                if len(rows) > 20_000:
+                    yield table(recs, rows, bad)
+                    recs, rows, bad = [], [], []
+        if rows or bad:
+            yield table(recs, rows, bad)
 
-    return records.select(F.col(rec).alias("rec"), F.col(content).alias("content")).mapInPandas(parse, NODES)
+    schema = _NODES.format(up=", ".join(f"{m}: int" for m in marks))
+    return records.select(F.col(rec).cast("long").alias("rec"), F.col(content).alias("content")).mapInArrow(parse, schema)
 
 
 def has(*names: str) -> Column:
@@ -148,48 +201,38 @@ def has(*names: str) -> Column:
     return F.arrays_overlap("classes", F.array(*map(F.lit, names)))
 
 
-def _carries(node: Column, names: tuple[str, ...]) -> Column:
-    return F.arrays_overlap(node["classes"], F.array(*map(F.lit, names)))
+def nearest(*marks: str) -> Column:
+    """Number of the nearest element above that one of the marks stands for."""
+    above = [F.col(f"up.{m}") for m in marks]
+    return above[0] if len(above) == 1 else F.greatest(*above)
 
 
-def nearest(*names: str, own: bool = False) -> Column:
-    """Pre-order number of the nearest ancestor (or the element itself) with one of the classes."""
-    above = F.try_element_at(F.filter("anc", lambda a: _carries(a, names)), F.lit(-1))["pre"]
-    return F.when(has(*names), F.col("pre")).otherwise(above) if own else above
+def own_or_nearest(mark: str, *classes: str) -> Column:
+    """The element's own number if it carries one of the classes, else the nearest above."""
+    return F.when(has(*classes), F.col("pre")).otherwise(nearest(mark))
 
 
-def below(*names: str) -> Column:
-    return F.exists("anc", lambda a: _carries(a, names))
+def below(*marks: str) -> Column:
+    return reduce(Column.__or__, [F.col(f"up.{m}").isNotNull() for m in marks])
 
 
 def parent_has(*names: str) -> Column:
     """The parent element carries all of the classes."""
-    above = F.try_element_at("anc", F.lit(-1))
-    fits = above["pre"] == F.col("parent")
-    for name in names:
-        fits = fits & F.array_contains(above["classes"], name)
-    return F.coalesce(fits, F.lit(False))
-
-
-def pruned(spec: Selectors = ENTRY_PROFILE) -> Column:
-    """The element is in a pruned subtree, or its root."""
-    inside = has(*spec.prune) | below(*spec.prune)
-    if spec.prune_tags:
-        inside = inside | F.col("tag").isin(*spec.prune_tags) | F.exists("anc", lambda a: a["tag"].isin(*spec.prune_tags))
-    return inside
+    return reduce(Column.__and__, [F.array_contains("parent_classes", n) for n in names])
 
 
-def prune_sections(nodes: DataFrame, spec: Selectors = ENTRY_PROFILE) -> DataFrame:
-    return nodes.where(~pruned(spec))
+def prune_sections(nodes: DataFrame) -> DataFrame:
+    """Nodes outside the subtrees that the profile prunes."""
+    return nodes.where(~F.col("pruned"))
 
 
 def href(prefix: str | None = None) -> Column:
     """The link of an ``a`` element, if it starts with the prefix."""
-    value = F.when(F.col("tag") == "a", F.col("attrs")["href"])
+    value = F.when(F.col("tag") == "a", F.col("href"))
     return value if prefix is None else F.when(value.startswith(prefix), value)
 
 
 def page_links(pages: DataFrame) -> DataFrame:
     """``rec, ord, href, display`` of the links of pages; nothing is pruned."""
-    nodes = markup_nodes(pages.select(F.col("page_id").alias("record_number"), F.col("html").alias("content")), Selectors(tags=("a",)))
+    nodes = markup_nodes(pages.select(F.col("page_id").alias("record_number"), F.col("html").alias("content")), Selectors(tags=("a",), marks=()))
     return nodes.where(href().isNotNull()).select("rec", F.col("pre").alias("ord"), href().alias("href"), text.clean_text(F.col("text_spaced")).alias("display"))

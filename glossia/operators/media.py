@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -140,7 +139,7 @@ def combined_crc32(media: DataFrame) -> DataFrame:
     Files of one name stand in order of their own CRC-32.
 
     Each range of names is folded where it lies; only (name, crc, length) are moved, and
-    the partial results, one a partition, are folded in order on the driver.
+    the partial results, one row a partition, are folded in order in one task.
     """
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,10 +153,17 @@ def combined_crc32(media: DataFrame) -> DataFrame:
 
     narrow = media.select("name", F.crc32("content").alias("crc"), F.octet_length("content").cast("long").alias("length"))
     parts = narrow.repartitionByRange("name").sortWithinPartitions("name", "crc", "length").mapInPandas(fold, "name string, crc long, bytes long, files long")
-    crc = size = files = 0
-    for r in sorted(parts.collect(), key=lambda r: r["name"]):
-        crc, size, files = crc_joined(crc, r["crc"], r["bytes"]), size + r["bytes"], files + r["files"]
-    return media.sparkSession.createDataFrame([(crc if files else zlib.crc32(b""), size, files)], "crc long, bytes long, files long")
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        crc = size = files = 0
+        for rows in batches:
+            for _, own, length, count in rows.itertuples(index=False):
+                crc, size, files = crc_joined(crc, int(own), int(length)), size + int(length), files + int(count)
+        yield pd.DataFrame([(crc, size, files)], columns=["crc", "bytes", "files"])
+
+    zero = lambda c: F.lit(0).cast("long").alias(c)
+    nothing = media.sparkSession.range(1).select(F.lit("").alias("name"), zero("crc"), zero("bytes"), zero("files"))  # also of no files there is a row
+    return parts.unionByName(nothing).repartition(1).sortWithinPartitions("name").mapInPandas(join, "crc long, bytes long, files long")
 
 
 def verify(media: DataFrame) -> DataFrame:
@@ -168,7 +174,7 @@ def verify(media: DataFrame) -> DataFrame:
 
 def import_stats(references: DataFrame, archive: DataFrame) -> DataFrame:
     """``requested, stored, blocks, missing, duplicates`` of one selection."""
-    asked = references.select("name").where("name is not null").distinct().count()
+    asked = references.select("name").where("name is not null").agg(F.count_distinct("name").alias("requested"))
     kept = select_referenced(archive, references).withColumn("_k", text.casefold(F.col("key")))
     stats = kept.agg(F.count_distinct("_k").alias("stored"), F.count_distinct("archive", "block_no").alias("blocks"), (F.count("*") - F.count_distinct("_k")).alias("duplicates"))
-    return stats.select(F.lit(asked).cast("long").alias("requested"), "stored", "blocks", (F.lit(asked) - F.col("stored")).alias("missing"), "duplicates")
+    return asked.join(stats).select("requested", "stored", "blocks", (F.col("requested") - F.col("stored")).alias("missing"), "duplicates")  # one row each

@@ -25,7 +25,3 @@ ENTRY = (
 )
 INDEX = "headword STRING, headword_normalized STRING, phonetic STRING, entry_type STRING, entry_id BIGINT, anchor STRING"
 MEDIA = "name STRING, content BINARY"
-NODES = (
-    "rec BIGINT, pre INT, last INT, parent INT, depth INT, tag STRING, classes ARRAY<STRING>, attrs MAP<STRING, STRING>, "
-    "anc ARRAY<STRUCT<pre: INT, tag: STRING, classes: ARRAY<STRING>>>, text_spaced STRING, text_joined STRING, error STRING"
-)
