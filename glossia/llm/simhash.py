@@ -172,3 +172,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     The row of the smallest doc_id stays (null ids last).
     """
     return kept_rows(docs, grouped(docs).select("keeper.doc_id", "keeper.tkey"))
+
+
+def keep_similar(docs: DataFrame) -> DataFrame:
+    """One row of each group of near copies by the likeness of their 5-word sets, 0.8 or more.
+
+    Beyond the reach of the fingerprint's 3 bits; see ``resemblance``, which finds the pairs.
+    """
+    from glossia.llm import resemblance
+
+    return resemblance.keep_one(docs)
