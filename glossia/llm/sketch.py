@@ -165,12 +165,12 @@ def group_sketches(docs: DataFrame, by: str, k: int = K, salts: int = 64) -> Dat
         made = pd.DataFrame(first | {"sketch": [packed(out)], "distinct_shingles": [distinct(out, k)]}, dtype=object)
         return made[["g", "sketch", "salt", "distinct_shingles"]]
 
-    parts = docs.select(F.col(by).alias("g"), "text").mapInPandas(local, f"g {kind}, sketch string")
+    parts = docs.select(F.col(by).cast("string").alias("g"), "text").mapInPandas(local, "g string, sketch string")  # pandas has no long beside nulls
     salted = parts.withColumn("salt", F.pmod(F.xxhash64("sketch"), F.lit(salts)).cast("int"))
-    schema = f"g {kind}, sketch string, salt int, distinct_shingles double"
+    schema = "g string, sketch string, salt int, distinct_shingles double"
     once = salted.groupBy("g", "salt").applyInPandas(merge, schema)
     twice = once.drop("distinct_shingles").groupBy("g").applyInPandas(merge, schema)
-    return twice.select(F.col("g").alias(by), "sketch", "distinct_shingles")
+    return twice.select(F.col("g").cast(kind).alias(by), "sketch", "distinct_shingles")
 
 
 def _in_order(docs: DataFrame, size: int) -> DataFrame:

@@ -274,6 +274,8 @@ def test_sketches_merge(spark, monkeypatch):
     assert np.array_equal(sketch.sketch(both), whole)
     got = {r.source: r.distinct_shingles for r in sketch.group_sketches(frame(spark, ["a b c d e f", "b c d e f g", None]), "source").collect()}
     assert got == {"s": 3.0}
+    big = frame(spark, ["a b c d e f", "x", "b c d e f g"], [9007199254740993, None, 9007199254740993])
+    assert {(r.doc_id, r.distinct_shingles) for r in sketch.group_sketches(big, "doc_id").collect()} == {(9007199254740993, 3.0), (None, 1.0)}
 
 
 # Rollups
