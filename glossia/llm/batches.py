@@ -17,6 +17,8 @@ from pyspark.sql.types import StructType
 
 from glossia.llm.durable import unused
 
+#: Rows of a batch whose texts are Python strings at one time.
+_ROWS = 2000
 #: From the texts of a batch to the values of each new column.
 Work = Callable[[list], Sequence]
 
@@ -41,10 +43,13 @@ def added(df: DataFrame, text: Column, fields: str, make: Callable[[], Work], ke
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            made = work(batch.column(batch.num_columns - 1).to_pylist())
-            arrays = [pa.array(values, kind) for values, kind in zip(made, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names)
-            del batch, made, arrays
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
+                made = work(part.column(part.num_columns - 1).to_pylist())
+                arrays = [pa.array(values, kind) for values, kind in zip(made, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *arrays], names)
+                del part, made, arrays
+            del batch
         give_back()
 
     return df.select(*keep, text.alias(unused(kept, "_text"))).mapInArrow(run, schema)
