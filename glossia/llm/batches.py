@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
@@ -30,28 +31,34 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def added(df: DataFrame, text: Column, fields: str, make: Callable[[], Work], keep: Sequence[str | Column] = ("*",)) -> DataFrame:
+def added(df: DataFrame, text: Column | str, fields: str, make: Callable[[], Work], keep: Sequence[str | Column] = ("*",)) -> DataFrame:
     """The columns ``keep`` of ``df``, and new ones of the schema ``fields`` worked out from ``text``.
 
+    A text given by the name of a column that is kept goes to the tasks once.
     ``make`` is called once in each task. Rows keep their number and their order.
     """
     new = StructType.fromDDL(fields)
     kept = df.select(*keep)
     schema = StructType([*kept.schema.fields, *new.fields])
     types, names = [to_arrow_type(f.dataType) for f in new.fields], schema.names
+    width = len(kept.columns)
+    at_text = kept.columns.index(text) if isinstance(text, str) and text in kept.columns else width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
             for at in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(at, _ROWS)
-                made = work(part.column(part.num_columns - 1).to_pylist())
+                made = work(part.column(at_text).to_pylist())
                 arrays = [pa.array(values, kind) for values, kind in zip(made, types, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *arrays], names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], *arrays], names)
                 del part, made, arrays
             del batch
         give_back()
 
+    if at_text < width:
+        return kept.mapInArrow(run, schema)
+    text = F.col(text) if isinstance(text, str) else text
     return df.select(*keep, text.alias(unused(kept, "_text"))).mapInArrow(run, schema)
 
 

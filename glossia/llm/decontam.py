@@ -240,7 +240,7 @@ def keep_clean(
     mark, several = unused(docs, "_found"), False
     for block, last in blocks(benchmark, least, block_words):
         shared = docs.sparkSession.sparkContext.broadcast(block)
-        docs = added(docs, F.col("text"), f"`{mark}` {_FOUND}", _leaks(shared, min_coverage)).where(F.size(mark) == 0).drop(mark)
+        docs = added(docs, "text", f"`{mark}` {_FOUND}", _leaks(shared, min_coverage)).where(F.size(mark) == 0).drop(mark)
         several |= not last
         if several:
             docs = saved(docs, "clean")

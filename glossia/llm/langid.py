@@ -198,7 +198,7 @@ def predict(docs: DataFrame, model: Model, keep: Sequence[str], names: tuple[str
 
         return work
 
-    return added(docs, F.col("text"), f"`{names[0]}` string, `{names[1]}` double", make, keep)
+    return added(docs, "text", f"`{names[0]}` string, `{names[1]}` double", make, keep)
 
 
 def identified(docs: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ def counted(docs: DataFrame, versions: tuple[str, ...] = tuple(PATTERNS), vocabu
     text = F.coalesce("text", F.lit(""))
     columns = ["doc_id", "source", "lang", *[F.regexp_count(text, F.lit(PATTERNS[v])).cast("long").alias(v) for v in versions]]
     for version, path in (vocabularies or {}).items():
-        docs = added(docs, F.col("text"), f"`{version}` long", lambda path=path: lambda texts: [list(map(len, encoder(path).encode(texts)))])
+        docs = added(docs, "text", f"`{version}` long", lambda path=path: lambda texts: [list(map(len, encoder(path).encode(texts)))])
         columns.append(F.col(f"`{version}`"))
     return docs.select(*columns)
 
