@@ -7,7 +7,6 @@ Records, redirects, entries and media are derived from the given tables by
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
