@@ -631,11 +631,13 @@ def slice_packed_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.sliced(found, packed).select("archive", "position", F.md5("content").alias("digest"))
 
 
-@query("SELECT source AS archive, count(*) + 1 AS declared, count(*) AS packed_total FROM documents WHERE source IS NOT NULL GROUP BY source HAVING count(*) % 2 = 1")
+@query("SELECT source AS archive, count(*) + 1 AS declared, count(*) AS packed_total FROM documents WHERE source > (SELECT min(source) FROM documents) GROUP BY source")
 def layout_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archives with an odd count declare one too many."""
+    """All archives but the first declare one file too many."""
     blocks = _packed(spark, sf_dir)[1].where("archive is not null")
-    declared = blocks.groupBy("archive").agg(F.sum("packed_size").alias("n")).select("archive", (F.col("n") + F.col("n") % 2).alias("declared"))
+    sizes = blocks.groupBy("archive").agg(F.sum("packed_size").alias("n"))
+    first = sizes.agg(F.min("archive").alias("first"))
+    declared = sizes.join(first).select("archive", (F.col("n") + F.when(F.col("archive") > F.col("first"), 1).otherwise(0)).alias("declared"))
     return media.layout_errors(blocks, declared)
 
 
