@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType
 from glossia.llm.durable import unused
 
 #: Rows of a batch whose texts are Python strings at one time.
-_ROWS = 2000
+ROWS = 2000
 #: From the texts of a batch to the values of each new column.
 Work = Callable[[list], Sequence]
 
@@ -31,10 +31,11 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def added(df: DataFrame, text: Column | str, fields: str, make: Callable[[], Work], keep: Sequence[str | Column] = ("*",)) -> DataFrame:
+def added(df: DataFrame, text: Column | str, fields: str, make: Callable[[], Work], keep: Sequence[str | Column] = ("*",), rows: int = ROWS) -> DataFrame:
     """The columns ``keep`` of ``df``, and new ones of the schema ``fields`` worked out from ``text``.
 
-    A text given by the name of a column that is kept goes to the tasks once.
+    A text given by the name of a column that is kept goes to the tasks once. ``rows``
+    texts at most are worked on together.
     ``make`` is called once in each task. Rows keep their number and their order.
     """
     new = StructType.fromDDL(fields)
@@ -47,8 +48,8 @@ def added(df: DataFrame, text: Column | str, fields: str, make: Callable[[], Wor
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, _ROWS):
-                part = batch.slice(at, _ROWS)
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
                 made = work(part.column(at_text).to_pylist())
                 arrays = [pa.array(values, kind) for values, kind in zip(made, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:width], *arrays], names)

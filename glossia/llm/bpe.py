@@ -40,7 +40,7 @@ _REMEMBER_CHARS = 6_000_000
 #: Longer pieces seldom come again and are not remembered.
 _LONG_PIECE = 64
 #: Pieces, or eight characters for one, of the texts that are worked on together.
-_PENDING = 150_000
+_PENDING = 250_000
 _CHUNK = 1 << 18
 
 
@@ -219,6 +219,7 @@ class Encoder:
         gc.disable()  # the nodes hold no cycles, and scanning them all takes most of the time
         try:
             self._walk(words)
+            self.held["words"] += sum(map(len, words))
         finally:
             if collects:
                 gc.enable()
@@ -233,7 +234,7 @@ class Encoder:
                 for byte in data:
                     state = self._state(state, byte)
                     last.append(self._last(state, last))
-                self._keep("words", word, self._along(last))
+                self.words[word] = self._along(last)
                 continue
             self._insert(root, data, word)
         last = []
@@ -247,20 +248,16 @@ class Encoder:
                 for byte in node[0][depth:]:
                     state = self._state(state, byte)
                     last.append(self._last(state, last))
-                self._keep("words", node[1], self._along(last))
+                self.words[node[1]] = self._along(last)
                 continue
             for key, child in node.items():
                 if key >= 0:
                     stack.append((child, depth + 1, self._state(state, key)))
                 else:
-                    self._keep("words", child, self._along(last))
+                    self.words[child] = self._along(last)
         if len(self.stable_pairs) > _REMEMBER:
             self.stable_pairs = dict(islice(self.stable_pairs.items(), _REMEMBER // 2))
 
-    def _keep(self, memory: str, key: str, ids: bytes) -> None:
-        getattr(self, memory)[key] = ids
-        self.held[memory] += len(key)
-
     def _forget(self) -> None:
         """Cut what is remembered to its bounds; what was learnt first is what occurs most."""
         for memory, most in (("words", _REMEMBER // 4), ("pieces", _REMEMBER)):
@@ -294,7 +291,8 @@ class Encoder:
                 cut[piece] = self.find(" " + piece)
         self._learn({w for words in cut.values() for w in words}.difference(self.words))
         for piece, words in cut.items():
-            self._keep("pieces", piece, b"".join([self.words[w] for w in words]))
+            self.pieces[piece] = b"".join([self.words[w] for w in words])
+        self.held["pieces"] += sum(map(len, cut))
         for text, pieces, found in pending:
             if pieces and None in found:
                 found = list(map(self.pieces.get, pieces))
@@ -378,4 +376,4 @@ def encoded(docs: DataFrame, path: str, keep: list[str], ids: bool = True) -> Da
         return work
 
     fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids
-    return added(docs, F.col("text"), fields, make, keep)
+    return added(docs, F.col("text"), fields, make, keep, rows=10_000)  # words of many texts share their prefixes
