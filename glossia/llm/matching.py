@@ -44,8 +44,8 @@ _TOGETHER = 1 << 18
 _PART = 1 << 20
 _RANK_BITS = 44
 
-#: Punctuation that ends a word, where that is its own piece for the pre-tokenizer too.
-_TAIL = re.compile(r"(?<=[A-Za-z0-9À-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~]+)(?=[ \n]|$)")
+#: A word and the punctuation that ends it, where the pre-tokenizer parts them too.
+_TAIL = re.compile(r"(.*[A-Za-z0-9À-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~]+)\Z", re.DOTALL)
 
 
 class Encoder:
@@ -68,7 +68,7 @@ class Encoder:
         self.kind = "<u2" if max(vocabulary.values()) < 1 << 16 else "<u4"
         self.ends = np.zeros(1 + max(vocabulary.values()), np.bool_)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
+        self.known = _Known()
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.int64) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -94,23 +94,44 @@ class Encoder:
             out |= zip(some, map(self._bytes, self._ids(some)), strict=True)
         return out
 
-    def _cut(self, text: str) -> list[str] | None:
-        if any(s in text for s in self.special):
-            return None
-        return _TAIL.sub(r" \1", text).replace("\n", " ").split(" ")
+    def _taught(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words that aren't known, by those of the word and of the punctuation that ends it."""
+        ends = {w: (m[1], m[2]) for w in words if (m := _TAIL.match(w))}
+        parts = {p for pair in ends.values() for p in pair if p not in self.known} | (words - ends.keys())
+        own = self._learn(list(parts))
+        of = lambda p: own[p] if p in own else self.known[p]
+        return own | {w: of(a) + of(b) for w, (a, b) in ends.items()}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian numbers of ``kind``."""
-        cut = [self._cut(t) for t in texts]
-        seen: set[str] = set().union(*[c for c in cut if c is not None])
-        own = self._learn(list(seen - self.known.keys()))
-        if len(self.known) + len(own) > _REMEMBER:
-            own = self._learn([w for w in seen if w not in own]) | own
-            self.known = {}
-        self.known |= {w: v for w, v in own.items() if len(w) < _LONG_WORD}
-        long = {w: v for w, v in own.items() if len(w) >= _LONG_WORD}
-        table = self.known if not long else {w: self.known[w] if w in self.known else long[w] for w in seen}
-        return [self._bytes(self._ids([t])[0]) if c is None else b"".join(map(table.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
+        found: list[list[bytes | None]] = []
+        self.known.missed = missed = []
+        for text in texts:
+            if any(s in text for s in self.special):
+                found.append([self._bytes(self._ids([text])[0])])
+            else:
+                found.append(list(map(self.known.__getitem__, text.replace("\n", " ").split(" "))))
+        if missed:
+            own = self._taught(set(missed))
+            self.known.update((w, v) for w, v in own.items() if len(w) < _LONG_WORD)
+            at = iter(missed)
+            for ids in found:
+                place = -1
+                for _ in range(ids.count(None)):
+                    place = ids.index(None, place + 1)
+                    ids[place] = own[next(at)]
+        if len(self.known) > _REMEMBER:
+            self.known.clear()
+        return list(map(b"".join, found))
+
+
+class _Known(dict):
+    """Ids of words; a word that isn't there is noted, and has none yet."""
+
+    missed: list[str]
+
+    def __missing__(self, word: str) -> None:
+        self.missed.append(word)
 
 
 def _text_parts(text: str, special: set[str]) -> Iterator[str]:
