@@ -185,7 +185,8 @@ _WITH = f"WITH {_PANELS} "
 
 def layout(spark: SparkSession, sf_dir: str) -> extract.Layout:
     """The rendered records; what several operators need of them is worked out when it is asked for."""
-    return extract.Layout(derived.nodes(spark, sf_dir), derived.records(spark, sf_dir), DICT)
+    n = derived.buckets(spark, sf_dir)
+    return extract.Layout(derived.nodes(spark, sf_dir, n), derived.records(spark, sf_dir), DICT, n)
 
 
 def parsed(sql: str | None) -> Callable:
@@ -468,7 +469,7 @@ def redirect_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_CLOSURE}, k AS (SELECT src FROM c JOIN d ON c.dst = d.key) SELECT record_number, 'Key  ' || (record_number - 1) AS source, 'KEY ' || t AS target FROM r WHERE t IS NOT NULL AND 'key ' || t NOT IN (SELECT src FROM k UNION SELECT key FROM d)")
 def unresolved_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     led, direct, _ = _graph(spark, sf_dir)
-    return redirects.unresolved(led, redirects.resolve(led, direct))
+    return redirects.unresolved(led, direct)
 
 
 @query(f"{_CLOSURE} SELECT DISTINCT d.entry_id, 'Key  ' || substr(c.src, 5) AS alias FROM c JOIN d ON c.dst = d.key UNION SELECT entry_id, 'Key  ' || substr(key, 5) FROM d")
