@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossia.operators import extract, markup
-from glossia.sources.shared import saved
+from glossia.sources.shared import bucketed
 
 DICT = "dict"
 #: p_partkey % 50 -> the rule that the record breaks.
@@ -158,9 +158,19 @@ def build_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select((k + 10_000_000).alias("record_number"), F.concat(F.lit("Also "), k).alias("key"), F.concat(F.lit("@@@LINK="), target, F.lit("\n\x00")).alias("content"))
 
 
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The node table, parsed and dealt by record once: every branch of a plan reads what was written."""
-    return saved(extract.placed(markup.markup_nodes(records(spark, sf_dir))), "nodes")
+#: Records of a bucket of the node table.
+BUCKET_RECORDS = 20_000
+
+
+def buckets(spark: SparkSession, sf_dir: str) -> int:
+    """Buckets of the tables by record: as many as cores, more for many records."""
+    return max(spark.sparkContext.defaultParallelism, -(-table(spark, sf_dir, "part").count() // BUCKET_RECORDS))
+
+
+def nodes(spark: SparkSession, sf_dir: str, n: int | None = None) -> DataFrame:
+    """The node table, parsed once and written in buckets by record: no reader moves its rows."""
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")  # joins by (record, x) use the buckets too
+    return bucketed(extract.placed(markup.markup_nodes(records(spark, sf_dir))), "nodes", "rec", n or buckets(spark, sf_dir))
 
 
 def media(spark: SparkSession, sf_dir: str) -> DataFrame:

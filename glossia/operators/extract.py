@@ -1,14 +1,15 @@
 """Entries out of the node table.
 
 ``placed`` gives every row its panel, sense, embedded child and so on, as numbers.
-After one shuffle by record all grouping is by keys that contain the record, so each
-operator is an aggregate over rows that are already together. Lists keep document
-order: values are collected with their position and sorted.
+All grouping and joining is by keys that contain the record. Nodes that lie in buckets by
+record (``sources.shared.bucketed``) are not moved again by any operator; what several of
+them need is written in the same buckets. Lists keep document order: values are collected
+with their position and sorted.
 """
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from glossia.functions import text
 from glossia.functions.windows import dedupe_first
 from glossia.operators.markup import COLLECTIONS, below, has, href, nearest, own_or_nearest, parent_has
 from glossia.schemas import BUCKETS, CHILD, EN_ZH, LABELS, NODE, PRON, SENSE, XREF
-from glossia.sources.shared import saved
+from glossia.sources.shared import bucketed, saved
 
 #: Class names of the records' layout.
 EMBEDDED = ("o-idiom", "o-phrasal", "o-relation-item")
@@ -26,6 +27,7 @@ LABEL_CLASSES = (
     ("o-usage", "usage"), ("o-cf", "construction"), ("o-note", "note"), ("o-help", "note"),
 )
 IGNORED_TAGS = ("o-sn-g", "o-label-g", "o-gram-g", "o-symbol-tip")
+REFERENCE_KIND = "cross-reference"
 CHILD_HEADS = {"o-idiom": "o-idm", "o-phrasal": "o-pv", "o-relation-item": "o-dr"}
 
 _APOSTROPHES = ("'", "’")
@@ -36,8 +38,8 @@ _PLACES = ("rec", "pre", "last", "parent", "tag", "classes", "parent_classes", "
 
 
 def placed(nodes: DataFrame) -> DataFrame:
-    """Nodes with where they stand, as numbers, shuffled once by record."""
-    return nodes.where("error is null").select(*_PLACES).repartition("rec").select(
+    """Nodes with where they stand, as numbers."""
+    return nodes.where("error is null").select(*_PLACES).select(
         "*",
         own_or_nearest("panel", "o-pos-panel").alias("panel"),
         nearest("detail").alias("detail"),
@@ -71,9 +73,10 @@ def panels(nodes: DataFrame) -> DataFrame:
     panel with a direct sense is an ``entry``, and others but collections are phrases,
     if they have one. ``number`` is the N of ``o-for-pos-N``, the smallest of several.
     """
-    live = nodes.where(~F.col("pruned") & F.col("panel").isNotNull())
     own = F.col("pre") == F.col("panel")
     tag = has("o-pos-tag") & parent_has("o-pos-detail")
+    tells = own | has("o-pos-tag", "o-pos-detail", "o-sense", "o-phrasal", "o-idiom")
+    live = nodes.where(~F.col("pruned") & F.col("panel").isNotNull() & tells)
     number = F.array_min(F.transform(F.filter("classes", lambda c: c.startswith("o-for-pos-")), lambda c: F.substr(c, F.lit(11))))
     facts = live.groupBy("rec", "panel").agg(
         first_text(tag).alias("tag"),
@@ -173,16 +176,20 @@ def example_items(nodes: DataFrame) -> DataFrame:
 
 
 def examples(nodes: DataFrame) -> DataFrame:
-    """``rec, sense, list_pre, item, en, zh`` of items of lists directly below a sense; sides may be empty."""
-    lists = nodes.where(has("o-example-list") & parent_has("o-sense") & ~F.col("pruned")).select("rec", F.col("pre").alias("list_pre"), F.col("parent").alias("sense"))
-    items = nodes.where((F.col("tag") == "li") & parent_has("o-example-list") & ~F.col("pruned")).select("rec", F.col("parent").alias("list_pre"), F.col("pre").alias("item"), F.col("last").alias("item_last"))
-    mine = lists.join(items, ["rec", "list_pre"])
-    side = has("o-example-eng", "o-example-simp") & ~F.col("pruned")
-    texts = nodes.where(side).select("rec", nearest("example_list").alias("list_pre"), F.col("pre").alias("at"), has("o-example-eng").alias("english"), text.clean_text(F.col("text_joined")).alias("t"))
-    joined = mine.join(texts, ["rec", "list_pre"], "left")
-    inside = F.col("at").between(F.col("item") + 1, F.col("item_last"))
+    """``rec, sense, list_pre, item, en, zh`` of items of lists directly below a sense; sides may be empty.
+
+    An item and the texts in it know the item's number, so it is one aggregate.
+    """
+    item = (F.col("tag") == "li") & F.coalesce(nearest("sense_list") == F.col("parent"), F.lit(False))
+    side = has("o-example-eng", "o-example-simp") & (nearest("item") > nearest("example_list"))
+    english = F.when(~item, has("o-example-eng"))
+    rows = nodes.where(~F.col("pruned") & (item | side)).select(
+        "rec", F.when(item, F.col("pre")).otherwise(nearest("item")).alias("item"), F.when(item, nearest("sense")).alias("sense"), F.when(item, F.col("parent")).alias("list_pre"),
+        F.col("pre").alias("at"), english.alias("english"), F.when(~item, text.clean_text(F.col("text_joined"))).alias("t"),
+    )
     first = lambda want: F.coalesce(F.min_by(F.when(want, F.col("t")), F.when(want, F.col("at"))), F.lit(""))
-    return joined.groupBy("rec", "sense", "list_pre", "item").agg(first(inside & F.col("english")).alias("en"), first(inside & ~F.col("english")).alias("zh"))
+    found = rows.groupBy("rec", "item").agg(F.max("sense").alias("sense"), F.max("list_pre").alias("list_pre"), first(F.col("english")).alias("en"), first(~F.col("english")).alias("zh"))
+    return found.where("sense is not null").select("rec", "sense", "list_pre", "item", "en", "zh")
 
 
 def labels(nodes: DataFrame) -> DataFrame:
@@ -231,7 +238,7 @@ def listed_references(links: DataFrame, owner: list[str]) -> DataFrame:
 
 
 def _xref(x: Column, own: Column) -> Column:
-    return F.struct(F.lit("reference").alias("kind"), x["target"].alias("target"), x["display"].alias("display"), x["relation"].alias("relation"), own.alias("labels"))
+    return F.struct(F.lit(REFERENCE_KIND).alias("kind"), x["target"].alias("target"), x["display"].alias("display"), x["relation"].alias("relation"), own.alias("labels"))
 
 
 def panel_references(nodes: DataFrame) -> DataFrame:
@@ -243,35 +250,24 @@ def panel_references(nodes: DataFrame) -> DataFrame:
 def senses(nodes: DataFrame, heads: DataFrame) -> DataFrame:
     """One row per sense: where it stands, ``index, labels, definition, examples, cross_references``.
 
-    ``root`` senses are direct children of a panel's detail, or of a group that is one. In
-    a root sense of a headword with an apostrophe an English-only definition becomes
+    In a root sense of a headword with an apostrophe an English-only definition becomes
     the first reference. ``empty`` senses carry nothing and are kept for counting.
     """
-    live = nodes.where(~F.col("pruned") & F.col("sense").isNotNull())
-    own = F.col("pre") == F.col("sense")
     in_define = parent_has("o-sense-define")
-    grouped = parent_has("o-multiple-sense", "o-shortcut")
-    base = live.groupBy("rec", "sense").agg(
-        F.max(F.when(own, F.col("panel"))).alias("panel"),
-        F.max(F.when(own, F.col("child_above"))).alias("child"),
-        F.max(F.when(own & grouped, F.col("parent"))).alias("group"),
-        F.max(F.when(own, parent_has("o-pos-detail"))).alias("direct"),
-        F.max(F.when(own, F.col("parent"))).alias("parent"),
-        first_text(has("o-sn-g") & below("sense_head")).alias("number"),
-        F.coalesce(first_text(has("o-def-eng") & in_define), F.lit("")).alias("en"),
-        F.coalesce(first_text(has("o-def-simp") & in_define), F.lit("")).alias("zh"),
-    )
+    said = nodes.where(~F.col("pruned") & F.col("sense").isNotNull() & has("o-sn-g", "o-def-eng", "o-def-simp")).groupBy("rec", "sense").agg(
+        first_text(has("o-sn-g") & below("sense_head")).alias("number"), first_text(has("o-def-eng") & in_define).alias("en"), first_text(has("o-def-simp") & in_define).alias("zh"),
+    )
+    base = sense_places(nodes).join(said, ["rec", "sense"], "left").withColumn("en", F.coalesce("en", F.lit(""))).withColumn("zh", F.coalesce("zh", F.lit("")))
     pairs = examples(nodes).where("en <> '' and zh <> ''").groupBy("rec", "sense").agg(F.transform(F.array_sort(F.collect_list(F.struct("item", F.struct("en", "zh").alias("e")))), lambda x: x["e"]).alias("examples"))
     links = listed_references(references(nodes).where("sense is not null"), ["rec", "sense"])
     full = base.join(labels(nodes), ["rec", "sense"], "left").join(pairs, ["rec", "sense"], "left").join(links, ["rec", "sense"], "left").join(heads, "rec", "left")
     own_labels = F.coalesce("labels", no_labels())
     apostrophe = F.coalesce(F.col("headword").contains(_APOSTROPHES[0]) | F.col("headword").contains(_APOSTROPHES[1]), F.lit(False))
-    root = F.col("child").isNull() & (F.col("direct") | F.col("group").isNotNull())
-    short = (F.col("en") != "") & (F.col("zh") == "") & apostrophe & root
+    short = (F.col("en") != "") & (F.col("zh") == "") & apostrophe & F.col("root")
     given = F.coalesce(F.transform("links", lambda x: _xref(x, own_labels)), F.array().cast(f"array<{XREF}>"))
-    added = F.array(F.struct(F.lit("reference").alias("kind"), text.clean_headword(F.col("en")).alias("target"), F.col("en").alias("display"), F.lit("short form of").alias("relation"), own_labels.alias("labels")))
+    added = F.array(F.struct(F.lit(REFERENCE_KIND).alias("kind"), text.clean_headword(F.col("en")).alias("target"), F.col("en").alias("display"), F.lit("short form of").alias("relation"), own_labels.alias("labels")))
     out = full.select(
-        "rec", "sense", "panel", "child", "group", "direct", "parent", "en", "zh", root.alias("root"), short.alias("short_form"),
+        "rec", "sense", "panel", "child", "group", "direct", "parent", "en", "zh", "root", short.alias("short_form"),
         text.sense_index(F.col("number")).alias("index"),
         own_labels.alias("labels"),
         F.when((F.col("en") != "") & (F.col("zh") != ""), F.struct("en", "zh")).alias("definition"),
@@ -340,15 +336,29 @@ def parsed_boxes(nodes: DataFrame, accepted: DataFrame) -> DataFrame:
     return rest.unionByName(first.select("rec", "panel", "child", "role", F.lit(True).alias("promoted")))
 
 
+def sense_places(nodes: DataFrame) -> DataFrame:
+    """``rec, sense, panel, child, parent, group, direct, root``: where senses stand, and nothing of what they say.
+
+    ``root`` senses are direct children of a panel's detail, or of a group, outside embedded entries.
+    """
+    own = nodes.where(~F.col("pruned") & has("o-sense"))
+    group = F.when(parent_has("o-multiple-sense", "o-shortcut"), F.col("parent"))
+    direct = parent_has("o-pos-detail")
+    root = F.col("child_above").isNull() & (direct | group.isNotNull())
+    return own.select("rec", F.col("pre").alias("sense"), "panel", F.col("child_above").alias("child"), "parent", group.alias("group"), direct.alias("direct"), root.alias("root"))
+
+
 def parsed_senses(found: DataFrame, accepted: DataFrame, read: DataFrame) -> DataFrame:
-    """``rec, sense, times``: how often each sense is read, those never read left out.
+    """``rec, sense, times``: how often each sense of ``sense_places`` is read, those never read left out.
 
     Root senses of ordinary panels are read once, an embedded entry's direct senses once
     for each role it is read in.
     """
-    roots = found.where("root").join(accepted.where("not is_phrase").select("rec", "panel"), ["rec", "panel"], "left_semi")
-    inside = found.where("child is not null and parent = child").select("rec", "sense", "child").join(read.groupBy("rec", "child").agg(F.count("*").alias("times")), ["rec", "child"])
-    return roots.select("rec", "sense", F.lit(1).cast("long").alias("times")).unionByName(inside.select("rec", "sense", "times"))
+    ordinary = accepted.where("not is_phrase").select("rec", "panel", F.lit(1).cast("long").alias("_root"))
+    roles = read.groupBy("rec", "child").agg(F.count("*").alias("_roles"))
+    placed_ = found.join(ordinary, ["rec", "panel"], "left").join(roles, ["rec", "child"], "left")
+    times = F.when(F.col("root"), F.col("_root")).when(F.col("parent") == F.col("child"), F.col("_roles"))
+    return placed_.select("rec", "sense", times.alias("times")).where("times is not null")
 
 
 def child_rows(nodes: DataFrame, found: DataFrame, read: DataFrame, dict_id: str) -> DataFrame:
@@ -398,18 +408,24 @@ def children(rows: DataFrame) -> DataFrame:
 
 
 class Layout:
-    """What several operators take from the nodes of records, each worked out and written once, when it is first asked for."""
+    """What several operators take from the nodes of records, each worked out when it is first asked for.
 
-    def __init__(self, nodes: DataFrame, records: DataFrame, dict_id: str):
-        self.nodes, self.records, self.dict_id = nodes, records, dict_id
+    Where ``nodes`` lie in ``buckets`` by record, so does what is written here.
+    """
+
+    def __init__(self, nodes: DataFrame, records: DataFrame, dict_id: str, buckets: int | None = None):
+        self.nodes, self.records, self.dict_id, self.buckets = nodes, records, dict_id, buckets
+
+    def _kept(self, df: DataFrame, name: str) -> DataFrame:
+        return bucketed(df, name, "rec", self.buckets) if self.buckets else saved(df, name)
 
     @cached_property
     def heads(self) -> DataFrame:
-        return saved(headwords(self.nodes, self.records), "headwords")
+        return self._kept(headwords(self.nodes, self.records), "headwords")
 
     @cached_property
     def panels(self) -> DataFrame:
-        return saved(panels(self.nodes), "panels")
+        return self._kept(panels(self.nodes), "panels")
 
     @cached_property
     def local(self) -> DataFrame:
@@ -417,92 +433,107 @@ class Layout:
 
     @cached_property
     def senses(self) -> DataFrame:
-        return saved(senses(self.nodes, self.heads), "senses")
+        return self._kept(senses(self.nodes, self.heads), "senses")
 
     @cached_property
     def read(self) -> DataFrame:
-        return saved(parsed_boxes(self.nodes, self.panels), "read")
+        return self._kept(parsed_boxes(self.nodes, self.panels), "read")
 
     @cached_property
     def times(self) -> DataFrame:
-        return saved(parsed_senses(self.senses, self.panels, self.read), "times")
+        return self._kept(parsed_senses(sense_places(self.nodes), self.panels, self.read), "times")
 
     @cached_property
     def rows(self) -> DataFrame:
-        return saved(child_rows(self.nodes, self.senses, self.read, self.dict_id), "children")
+        return self._kept(child_rows(self.nodes, self.senses, self.read, self.dict_id), "children")
 
     @cached_property
     def supplements(self) -> DataFrame:
-        return saved(supplemental(self.nodes, self.records, self.dict_id), "supplements")
+        return self._kept(supplemental(self.nodes, self.records, self.dict_id), "supplements")
 
     @cached_property
     def failed(self) -> DataFrame:
-        return saved(failures(self), "failed")
+        return self._kept(failures(self), "failed")
 
 
 def failures(x: Layout) -> DataFrame:
-    """``rec, reason`` of records that give nothing: the first rule of these that they break."""
-    nodes, flag = x.nodes, lambda df, name: df.select("rec").distinct().withColumn(name, F.lit(True))
+    """``rec, reason`` of records that give nothing: the first rule of these that they break.
+
+    Each fact about a record is a row with its name, and one aggregate by record has them all.
+    """
+    nodes = x.nodes
     kinds = record_kinds(nodes, x.dict_id)
-    some = x.panels.groupBy("rec").agg(F.count("*").alias("panels"), F.max(F.col("detail_pre").isNull()).alias("no_detail"))
+    some = x.panels.groupBy("rec").agg(F.count("*").alias("n"), F.max(F.col("detail_pre").isNull()).alias("no_detail"))
     define = nodes.where(has("o-sense-define") & parent_has("o-sense")).select("rec", F.col("parent").alias("sense"))
     nameless = x.rows.where("headword is null")
-    facts = x.records.select(F.col("record_number").alias("rec")).join(kinds, "rec", "left").join(some, "rec", "left")
-    for found, name in (
-        (nodes.where(has("o-head-main") & ~F.col("pruned")), "head"),
-        (audio_links(nodes).where(~text.is_safe_reference(F.col("name"))), "unsafe"),
-        (x.times.join(define, ["rec", "sense"], "left_anti"), "bare"),
-        (nameless.where("role <> 'o-relation-item'"), "no_child_head"),
-        (nameless.where("role = 'o-relation-item'"), "no_derived_head"),
-        (supplemental_heads(nodes, x.dict_id), "supplement_head"),
-        (x.supplements.where("definition is not null"), "bilingual"),
-    ):
-        facts = facts.join(flag(found, name), "rec", "left")
-    no = lambda c: ~F.coalesce(c, F.lit(False))
-    plain = no("supplemental")
+    facts = {
+        "record": x.records.select(F.col("record_number").alias("rec")), "main": kinds.where("has_main"), "second": kinds.where("supplemental"),
+        "panels": some, "too many": some.where(F.col("n") > text.MAX_LOCAL), "no detail": some.where("no_detail"),
+        "head": nodes.where(has("o-head-main") & ~F.col("pruned")), "unsafe": audio_links(nodes).where(~text.is_safe_reference(F.col("name"))),
+        "bare": x.times.join(define, ["rec", "sense"], "left_anti"), "no child head": nameless.where("role <> 'o-relation-item'"), "no derived head": nameless.where("role = 'o-relation-item'"),
+        "second head": supplemental_heads(nodes, x.dict_id), "bilingual": x.supplements.where("definition is not null"),
+    }
+    rows = reduce(DataFrame.unionByName, [df.select("rec", F.lit(name).alias("fact")) for name, df in facts.items()])
+    got = rows.groupBy("rec").agg(F.collect_set("fact").alias("facts")).where(F.array_contains("facts", "record"))
+    is_ = lambda name: F.array_contains("facts", name)
+    plain = ~is_("second")
     reason = (
-        F.when(F.col("unsafe"), "unsafe media name")
-        .when(no("has_main") | (plain & F.col("head").isNull()), "not an entry")
-        .when(~plain & F.col("supplement_head").isNull(), "supplemental record without headword")
-        .when(~plain & F.col("bilingual").isNull(), "supplemental record without bilingual sense")
-        .when(plain & F.col("panels").isNull(), "no panel")
-        .when(plain & (F.col("panels") > text.MAX_LOCAL), "too many panels")
-        .when(plain & F.col("no_detail"), "no detail")
-        .when(plain & F.col("bare"), "sense without definition block")
-        .when(plain & F.col("no_child_head"), "embedded entry without headword")
-        .when(plain & F.col("no_derived_head"), "derivative without headword")
+        F.when(is_("unsafe"), "unsafe media name")
+        .when(~is_("main") | (plain & ~is_("head")), "not an entry")
+        .when(~plain & ~is_("second head"), "supplemental record without headword")
+        .when(~plain & ~is_("bilingual"), "supplemental record without bilingual sense")
+        .when(plain & ~is_("panels"), "no panel")
+        .when(plain & is_("too many"), "too many panels")
+        .when(plain & is_("no detail"), "no detail")
+        .when(plain & is_("bare"), "sense without definition block")
+        .when(plain & is_("no child head"), "embedded entry without headword")
+        .when(plain & is_("no derived head"), "derivative without headword")
     )
-    return facts.select("rec", reason.alias("reason")).where("reason is not null")
+    return got.select("rec", reason.alias("reason")).where("reason is not null")
 
 
 def assemble(x: Layout) -> DataFrame:
-    """The nested entries of all sound records, of both layouts, with ``rec, local``."""
-    kinds = record_kinds(x.nodes, x.dict_id)
-    sound = x.panels.join(kinds.where("not supplemental").select("rec"), "rec", "left_semi").join(x.failed, "rec", "left_anti")
-    numbered = saved(number_entries(sound), "numbered")
+    """The nested entries of all sound records, of both layouts, with ``rec, local``.
+
+    What belongs to a panel, and what to its record (panel -1), are rows of one table,
+    dealt by record; one aggregate by (record, panel) puts entries together, and windows
+    over the record add its own facts and number its entries.
+    """
     small = children(x.rows)
-    of = lambda role: F.transform(F.array_sort(F.collect_list(F.when((F.col("role") == role) & ~F.col("promoted"), F.struct("at", "entry"))), lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)), lambda x: x["entry"])
-    kids = small.groupBy("rec", "panel").agg(of("o-idiom").alias("idioms"), of("o-phrasal").alias("phrasal_verbs"), of("o-relation-item").alias("derivatives"), F.min_by(F.when(F.col("promoted"), F.col("entry")), F.when(F.col("promoted"), F.col("at"))).alias("phrase"))
     item = F.struct("pre", F.struct("target", "display", "relation").alias("r"))
     links = panel_references(x.nodes).groupBy("rec", "panel").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["r"]).alias("links"))
-    full = numbered
-    for part in (root_senses(x.senses, groups(x.nodes)), kids, links, panel_pronunciations(x.nodes, x.panels, x.dict_id)):
-        full = full.join(part, ["rec", "panel"], "left")
-    full = full.join(x.heads, "rec", "left").join(kinds, "rec", "left")
+    of_record = lambda df, *columns: df.select("rec", F.lit(-1).alias("panel"), *columns)
+    parts = (
+        x.panels.select("rec", "panel", "pos", "is_phrase"), root_senses(x.senses, groups(x.nodes)), small.select("rec", "panel", F.struct("at", "role", "promoted", "entry").alias("child")),
+        links, panel_pronunciations(x.nodes, x.panels, x.dict_id),
+        of_record(x.heads, "headword"), of_record(record_kinds(x.nodes, x.dict_id), "is_phrase_record", "supplemental"), of_record(x.failed, F.lit(True).alias("failed")),
+    )
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    rows = rows.repartition(x.buckets, "rec") if x.buckets else rows.repartition("rec")
+    single = ("pos", "is_phrase", "sense", "links", "pronunciation", "headword", "is_phrase_record", "supplemental", "failed")
+    whole = rows.groupBy("rec", "panel").agg(*[F.first(c, ignorenulls=True).alias(c) for c in single], F.collect_list("child").alias("children"))
+    over = Window.partitionBy("rec")
+    whole = whole.select("*", *[F.max(c).over(over).alias(f"rec_{c}") for c in ("headword", "is_phrase_record", "supplemental", "failed")])
+    sound = whole.where("pos is not null and rec_supplemental = false and rec_failed is null")
+    numbered = number_entries(sound)
+    by_place = lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)
+    kids = lambda test: F.transform(F.array_sort(F.filter("children", test), by_place), lambda c: c["entry"])
+    of = lambda role: kids(lambda c: (c["role"] == role) & ~c["promoted"])
+    numbered = numbered.withColumn("phrase", F.try_element_at(kids(lambda c: c["promoted"]), F.lit(1)))
     phrase = F.col("is_phrase")
     or_empty = lambda c, t: F.coalesce(c, F.array().cast(f"array<{t}>"))
-    unless = lambda c, t: or_empty(F.when(~phrase, F.col(c)), t)
+    unless = lambda c: or_empty(F.when(~phrase, c), CHILD)
     given = F.transform("links", lambda x: _xref(x, no_labels()))
-    plain = full.select(
+    plain = numbered.select(
         "rec", F.col("local").cast("long").alias("local"), F.lit(x.dict_id).alias("dict_id"), "entry_id",
-        F.when(phrase, F.coalesce(F.when(F.col("phrase.headword") != "", F.col("phrase.headword")), "headword")).otherwise(F.col("headword")).alias("headword"),
+        F.when(phrase, F.coalesce(F.when(F.col("phrase.headword") != "", F.col("phrase.headword")), "rec_headword")).otherwise(F.col("rec_headword")).alias("headword"),
         F.lit(x.dict_id).alias("page"), F.col("pos").alias("section"),
-        F.when(phrase | F.col("is_phrase_record"), "phrase").otherwise("word").alias("entry_type"), "pos",
+        F.when(phrase | F.col("rec_is_phrase_record"), "phrase").otherwise("word").alias("entry_type"), "pos",
         or_empty("pronunciation", PRON).alias("pronunciation"),
         or_empty(F.when(phrase, F.col("phrase.sense")).otherwise(F.col("sense")), NODE).alias("sense"),
-        unless("idioms", CHILD).alias("child_idioms"),
-        unless("phrasal_verbs", CHILD).alias("child_phrasal_verbs"),
-        unless("derivatives", CHILD).alias("child_derivatives"),
+        unless(of("o-idiom")).alias("child_idioms"),
+        unless(of("o-phrasal")).alias("child_phrasal_verbs"),
+        unless(of("o-relation-item")).alias("child_derivatives"),
         or_empty(F.when(phrase, F.col("phrase.cross_references")).otherwise(given), XREF).alias("cross_references"),
     )
     return plain.unionByName(supplemental_entries(x.supplements.join(x.failed, "rec", "left_anti"), x.dict_id))

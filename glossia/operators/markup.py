@@ -34,14 +34,16 @@ _WALLS = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "td": ("table",), "t
 class Selectors:
     """Which elements are pruned, are rows even without a class or a link, and are known to those below them.
 
-    ``marks``: column of ``up`` -> the classes it stands for. ``mute``: elements with one
-    of these classes frame others, and their own text is not kept.
+    ``marks``: column of ``up`` -> the classes it stands for. ``inner``: column of ``up``, an
+    element's tag (as ``<tag>``) or class, and a class of its parent. ``mute``: elements with
+    one of these classes frame others, and their own text is not kept.
     """
 
     prune: tuple[str, ...] = ("o-unbox-panel", "o-symbol-wrap")
     prune_tags: tuple[str, ...] = ()
     tags: tuple[str, ...] = ("li", "a", "chn")
     marks: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    inner: tuple[tuple[str, str, str], ...] = ()
     mute: tuple[str, ...] = ()
 
 
@@ -57,6 +59,7 @@ ENTRY_MARKS = (
 )
 ENTRY_PROFILE = Selectors(
     marks=ENTRY_MARKS,
+    inner=(("sense_list", "o-example-list", "o-sense"), ("item", "<li>", "o-example-list")),
     mute=("o-pos-panel", "o-pos-detail", "o-sense", "o-sense-define", "o-example-list", "o-multiple-sense", "o-relations", "o-relation-item"),
 )
 PAGE_PROFILE = Selectors(prune=("ad",), prune_tags=("nav", "footer", "script", "style"), tags=("a", "h1", "p"))
@@ -71,6 +74,10 @@ class _Builder(HTMLParser):
         for name, classes in spec.marks:
             for c in classes:
                 self.marked.setdefault(c, []).append(name)
+        self.inner: dict[str, list[tuple[str, str]]] = {}
+        for name, own, parent in spec.inner:
+            self.inner.setdefault(own, []).append((name, parent))
+        self.up_names = [name for name, *_ in (*spec.marks, *spec.inner)]
         self.mute = frozenset(spec.mute)
 
     def _count(self, node: dict, by: int) -> None:
@@ -98,6 +105,8 @@ class _Builder(HTMLParser):
         node = {"pre": len(self.nodes), "above": above, "tag": tag, "classes": values.get("class", "").split(), "attrs": values, "from": len(self.texts)}
         node["up"] = above["below"] if above else {}
         own = {name for c in node["classes"] for name in self.marked.get(c, ())}
+        if above and self.inner:
+            own |= {name for x in (f"<{tag}>", *node["classes"]) for name, parent in self.inner.get(x, ()) if parent in above["classes"]}
         node["below"] = node["up"] | dict.fromkeys(own, node["pre"]) if own else node["up"]
         node["depth"] = len(self.open)
         self.nodes.append(node)
@@ -128,7 +137,6 @@ class _Builder(HTMLParser):
         self.close()
         while self.open:
             self._close(self.open.pop())
-        marks = [name for name, _ in self.spec.marks]
         for n in self.nodes:
             classes, attrs, above = n["classes"], n["attrs"], n["above"]
             if not (classes or n["tag"] in self.spec.tags or "href" in attrs):
@@ -138,7 +146,7 @@ class _Builder(HTMLParser):
             yield (
                 n["pre"], n["last"], above["pre"] if above else -1, n["depth"], n["tag"], classes, above["classes"] if above else [],
                 attrs.get("href"), attrs.get("data-pronunciation-for"), n["pruned"],
-                " ".join(s for t, _ in own if (s := t.strip())), "".join(t for t, example in own if not example), *map(up.get, marks),
+                " ".join(s for t, _ in own if (s := t.strip())), "".join(t for t, example in own if not example), *map(up.get, self.up_names),
             )
 
 
@@ -160,11 +168,11 @@ def markup_nodes(records: DataFrame, spec: Selectors = ENTRY_PROFILE, rec: str =
     counts and links are taken before pruning. A record whose parse fails has one row
     with ``error``. Null content has no rows.
     """
-    marks = [name for name, _ in spec.marks] or ["none"]
+    marks = [name for name, *_ in (*spec.marks, *spec.inner)] or ["none"]
     names = ["rec", *[n for n, _ in _FIELDS], "up", "error"]
 
     def table(recs: list, rows: list, bad: list) -> pa.RecordBatch:
-        blank = (None,) * (len(_FIELDS) + len(spec.marks))
+        blank = (None,) * (len(_FIELDS) + len(spec.marks) + len(spec.inner))
         columns = list(zip(*rows, *[blank] * len(bad), strict=True))
         up = [pa.array(c, pa.int32()) for c in columns[len(_FIELDS) :]] or [pa.nulls(len(rows) + len(bad), pa.int32())]
         arrays = [pa.array(recs + [r for r, _ in bad], pa.int64()), *[pa.array(c, kind) for c, (_, kind) in zip(columns, _FIELDS, strict=False)]]
