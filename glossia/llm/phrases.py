@@ -188,7 +188,7 @@ def _pass(docs: DataFrame, k: int, known: Known, longest: int, cap: int) -> Data
             if sums is not None and len(ids) > k:
                 both = here[k][:-1] & here[k][1:]
                 place = (hashes[k + 1][both] & np.uint64(buckets - 1)).astype(np.int64)
-                np.add.at(sums, place, 1)
+                np.add(sums, np.bincount(place, minlength=buckets), out=sums, casting="unsafe")
 
         def flush() -> pa.RecordBatch:
             rows = [(lang, phrase, n, None, None, None) for (lang, phrase), n in held.items()]
@@ -225,7 +225,7 @@ def _text_parts(data: bytes) -> Iterator[tuple[int, int]]:
     """Ranges of a text that end where a piece does, of about ``_TOGETHER`` bytes where pieces allow."""
     at = 0
     while at < len(data):
-        end = at + _TOGETHER
+        end = min(at + _TOGETHER, len(data))
         if end < len(data):
             found = data.find(b"\n", end), data.find(b".", end), data.find(b",", end)
             end = min((f for f in found if f >= 0), default=len(data))
