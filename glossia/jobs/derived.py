@@ -11,8 +11,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from glossia.operators import extract, markup
+from glossia.schemas import ENTRY, NODE
 from glossia.sources.shared import bucketed
 
 DICT = "dict"
@@ -169,7 +171,6 @@ def buckets(spark: SparkSession, sf_dir: str) -> int:
 
 def nodes(spark: SparkSession, sf_dir: str, n: int | None = None) -> DataFrame:
     """The node table, parsed once and written in buckets by record: no reader moves its rows."""
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")  # joins by (record, x) use the buckets too
     return bucketed(extract.placed(markup.markup_nodes(records(spark, sf_dir))), "nodes", "rec", n or buckets(spark, sf_dir))
 
 
@@ -185,6 +186,14 @@ def media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def word_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that the rendered records refer to, but for one part in fifty-three: ``key, name, content``."""
+    panels = table(spark, sf_dir, "part").where("p_partkey % 53 <> 52").select("p_name", F.explode(F.expr("transform(sequence(0, p_size % 3), j -> 3 * p_partkey + j)")).alias("v"))
+    names = F.array(F.concat(F.lit("w"), "v", F.lit("__gb 1.mp3")), F.concat(F.lit("aside"), "v", F.lit(".mp3")))
+    each = panels.select(F.explode(names).alias("name"), F.concat(F.lit("ID3"), "p_name").cast("binary").alias("content"))
+    return each.select(F.concat(F.lit("\\AUDIO\\word\\"), "name").alias("key"), "name", "content")
+
+
 def media_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that the labels refer to, and for poor ones a name that no archive has."""
     labels = table(spark, sf_dir, "labels")
@@ -207,3 +216,52 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select((F.col("p_partkey") + 1).alias("entry_id"), F.col("p_brand").alias("alias"))
+
+
+#: p_partkey % 40, and the path and rule that such an entry breaks.
+CONTRACT_FAULTS = (
+    (1, "entry_id", "entry_id"), (2, "headword", "blank"), (3, "pos", "blank"), (4, "entry_type", "entry_type"), (5, "page", "blank"),
+    (6, "pronunciation[].region", "region"), (7, "pronunciation[].notation", "blank"), (8, "sense[].kind", "kind"), (9, "sense[].definition", "one_sided"),
+    (10, "sense[].examples[]", "one_sided"), (11, "sense[].labels.grammar[]", "blank"), (12, "sense[].cross_references[].kind", "kind"),
+    (13, "sense[].cross_references[].target", "blank"), (14, "sense[].cross_references[].labels.note[]", "blank"), (15, "sense[]", "group_title"),
+    (16, "sense[].title", "one_sided"), (17, "sense[].senses[].kind", "kind"), (18, "sense[].senses[].definition", "one_sided"),
+    (19, "sense[].senses[].examples[]", "one_sided"), (20, "sense[].senses[].cross_references[].display", "blank"), (21, "child_idioms[].headword", "blank"),
+    (22, "child_idioms[].pronunciation[].region", "region"), (23, "child_phrasal_verbs[].sense[].definition", "one_sided"),
+    (24, "child_phrasal_verbs[].cross_references[].kind", "kind"), (25, "child_derivatives[].headword", "blank"), (26, "cross_references[].display", "blank"),
+    (27, "sense[]", "extra"), (28, "child_idioms", "absent"), (29, "sense[].examples[]", "absent"), (30, "child_idioms[].sense[].senses[].labels.region[]", "blank"),
+)
+
+
+def contract_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole entries of the parts, with the faults of ``CONTRACT_FAULTS``."""
+    bad = lambda k, fault, sound: f"if(p_partkey % 40 = {k}, {fault}, {sound})"
+    struct = lambda **fields: "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+    none = "cast(null as string)"
+    words = lambda k=-1, last="'n'": f"array('l', {bad(k, chr(39) + ' ' + chr(39), last)})"
+    labels = lambda grammar=-1, region=-1, note=-1: struct(grammar=words(grammar), register=words(), region=words(region), usage=words(), construction=words(), note=words(note))  # noqa: E731, E501
+    pair = lambda k=-1: struct(en="p_name", zh=bad(k, "''", "'货'"))
+    sound = lambda region=-1, notation=-1: f"array({struct(region=bad(region, none, chr(39) + 'UK' + chr(39)), notation=bad(notation, none, 'p_brand'), audio_url=none)})"  # noqa: E731, E501
+    link = lambda kind=-1, target=-1, display=-1, note=-1: f"array({struct(kind=bad(kind, chr(39) + 'reference' + chr(39), chr(39) + extract.REFERENCE_KIND + chr(39)), target=bad(target, none, 'p_type'), display=bad(display, none, 'p_type'), relation=none, labels=labels(note=note))})"  # noqa: E731, E501
+
+    def sense(kind: int = -1, definition: int = -1, example: int = -1, lacks: int = -1, region: int = -1, grammar: int = -1, kind_of_link: int = -1, **links: int) -> dict[str, str]:
+        examples = f"array({pair()}, {bad(lacks, 'null', pair(example))})"
+        return {"kind": bad(kind, none, "'sense'"), "index": none, "labels": labels(grammar=grammar, region=region), "definition": pair(definition), "examples": examples, "cross_references": link(kind_of_link, **links)}
+
+    def leaf(extra: int = -1, **faults: int) -> str:
+        return struct(**sense(**faults), title=bad(extra, pair(), "null"), senses="null")
+
+    def group(title: int = -1, half: int = -1, **faults: int) -> str:
+        null = dict.fromkeys(("index", "labels", "definition", "examples", "cross_references"), "null")
+        return struct(kind="'group'", **null, title=bad(title, "null", pair(half)), senses=f"array({struct(**sense(**faults))})")
+
+    def child(headword: int = -1, region: int = -1, kind: int = -1, inner: int = -1, definition: int = -1) -> str:
+        nodes = f"array(cast({leaf(definition=definition)} as {NODE}), cast({group(region=inner)} as {NODE}))"
+        return f"array({struct(headword=bad(headword, none, 'p_brand'), pos=none, pronunciation=sound(region), sense=nodes, cross_references=link(kind))})"
+
+    nodes = f"array(cast({leaf(27, kind=8, definition=9, example=10, lacks=29, grammar=11)} as {NODE}), cast({leaf(target=13, note=14, kind_of_link=12)} as {NODE}), cast({group(15, 16)} as {NODE}), cast({group(kind=17, definition=18, example=19, display=20)} as {NODE}))"
+    columns = {
+        "dict_id": f"'{DICT}'", "entry_id": bad(1, "-1 - p_partkey", "1 + p_partkey"), "headword": bad(2, "' '", "p_name"), "page": bad(5, "''", f"'{DICT}'"), "section": "'s'",
+        "entry_type": bad(4, none, "'word'"), "pos": bad(3, none, "p_type"), "pronunciation": sound(6, 7), "sense": nodes,
+        "child_idioms": bad(28, "null", child(21, 22, inner=30)), "child_phrasal_verbs": child(kind=24, definition=23), "child_derivatives": child(25), "cross_references": link(display=26),
+    }
+    return table(spark, sf_dir, "part").select(*[F.expr(f"cast({x} as {StructType.fromDDL(ENTRY)[c].dataType.simpleString()})").alias(c) for c, x in columns.items()])

@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossia.functions import text, windows
-from glossia.jobs import derived
+from glossia.jobs import derived, publish
 from glossia.jobs.derived import DICT, table
-from glossia.operators import audit, extract, index, markup, media, records, redirects
+from glossia.operators import audit, contract, extract, index, markup, media, records, redirects
 from glossia.sources import files
 from glossia.sources.shared import saved
 
@@ -521,7 +521,11 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_CANDIDATES}, {_WORDS} SELECT q.word, b.entry_id, coalesce(t.total, 0) AS total FROM q LEFT JOIN best b USING (word) LEFT JOIN (SELECT word, count(*) AS total FROM best GROUP BY word) t USING (word)")
 def lookup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.lookup_words(_words(spark, sf_dir), _index(spark, sf_dir))
+    """Look-ups in the stored index."""
+    e = derived.entries(spark, sf_dir)
+    root = files.new_folder(spark, "dictionary")
+    files.write_dictionary(e.select("entry_id", F.to_json(F.struct("*")).alias("json")), _index(spark, sf_dir), root)
+    return index.lookup_stored(_words(spark, sf_dir), files.read_dictionary(spark, root)[1])
 
 
 @query("SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) <= 100")
@@ -622,7 +626,7 @@ def locate_packed_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("archive", "position", "block_no", F.col("inner").alias("inner_"))
 
 
-@query(f"WITH {_REFERENCES} SELECT archive, position, md5(CASE WHEN position % 3 = 0 THEN 'ID3' ELSE '' END || coalesce(d.text, '')) AS digest FROM a JOIN documents d ON d.doc_id = a.position WHERE archive IS NOT NULL")
+@query(f"WITH {_REFERENCES} SELECT archive, position, md5(CASE WHEN position % 3 = 0 THEN 'ID3' ELSE '' END || coalesce(d.text, '')) AS digest FROM a JOIN documents d ON d.doc_id = a.position")
 def slice_packed_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contents cut out of the blocks that they were packed into."""
     at, blocks = _packed(spark, sf_dir)
@@ -635,7 +639,7 @@ def slice_packed_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT source AS archive, count(*) + 1 AS declared, count(*) AS packed_total FROM documents WHERE source > (SELECT min(source) FROM documents) GROUP BY source")
 def layout_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All archives but the first declare one file too many."""
-    blocks = _packed(spark, sf_dir)[1].where("archive is not null")
+    blocks = _packed(spark, sf_dir)[1]
     sizes = blocks.groupBy("archive").agg(F.sum("packed_size").alias("n"))
     first = sizes.agg(F.min("archive").alias("first"))
     declared = sizes.join(first).select("archive", (F.col("n") + F.when(F.col("archive") > F.col("first"), 1).otherwise(0)).alias("declared"))
@@ -759,6 +763,48 @@ def audit_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.gate(audit.unpivot(b.totals()), wanted, list(audit.MUST_BE_ZERO), b.lists())
 
 
+_GOOD = f"""
+    {_METRICS}, {_ENTRIES}, {_AUDIO}, {_BUILD},
+    good AS (SELECT rec FROM m WHERE {' AND '.join(f'{c} = 0' for c in audit.MUST_BE_ZERO)}),
+    gone AS (SELECT DISTINCT rec FROM a WHERE (rec - 1) % 53 = 52 AND rec IN (SELECT rec FROM good)), whole AS (SELECT rec FROM good WHERE rec NOT IN (SELECT rec FROM gone)),
+    faults AS (SELECT 'first' AS build, (SELECT count(*) FROM (
+        {' UNION ALL '.join(f"SELECT 1 FROM m HAVING sum({c}) <> 0" for c in audit.MUST_BE_ZERO)}
+        UNION ALL SELECT 1 FROM part WHERE p_partkey % 50 >= 40 AND p_partkey % 50 <> 48 HAVING count(*) > 0
+        UNION ALL SELECT 1 FROM q WHERE kind = 'self' HAVING count(*) > 0 UNION ALL SELECT 1 FROM lost HAVING count(*) > 0)) AS errors)
+"""
+
+
+@query(f"""
+    WITH {_GOOD}
+    SELECT 'first' AS build, 'failed' AS status, errors, CAST(NULL AS BIGINT) AS entries, CAST(NULL AS BIGINT) AS media FROM faults
+    UNION ALL SELECT 'second', 'passed', 0, (SELECT count(*) FROM n WHERE (entry_id >> 10) IN (SELECT rec FROM whole)), (SELECT count(DISTINCT name) FROM a WHERE rec IN (SELECT rec FROM whole))
+""")
+def publish_builds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two builds: of all records, which is refused, and of those that stand the audit and whose audio is there."""
+    root = files.new_folder(spark, "publications")
+    archive = derived.word_audio(spark, sf_dir)
+    none = spark.createDataFrame([], "name string, expected long")
+    first = _built(spark, sf_dir)
+    refused = publish.publish(first, archive, root, none, version=1)
+    good, led = publish.sound_part(first)
+    audio = saved(extract.audio_references(first.layout.nodes), "audio")
+    silent = audio.join(media.missing(archive, audio), "name").select("rec").distinct()
+    second = publish.publish(_part_of(first, saved(good.join(silent, "rec", "left_anti"), "whole"), led), archive, root, none, version=2)
+    done = publish.published(spark, root).select(F.col("build").alias("id"), "entries", "media")
+    row = lambda name, s: publish.read_audit(spark, s.path).select(F.lit(name).alias("build"), F.col("build").alias("id"), "status", F.size("errors").cast("long").alias("errors"))
+    return row("first", refused).unionByName(row("second", second)).join(done, "id", "left").drop("id")
+
+
+def _part_of(b: audit.Build, kept: DataFrame, led: DataFrame) -> audit.Build:
+    """A build over some of the records of another, and the redirects that still lead somewhere."""
+    x = b.layout
+    own = x.records.join(kept.withColumnRenamed("rec", "record_number"), "record_number", "left_semi")
+    part = extract.Layout(x.nodes.join(kept, "rec", "left_semi"), saved(own, "records"), DICT, x.buckets)
+    direct = own.select(text.normalize_headword(F.col("key")).alias("key"), F.col("record_number").alias("entry_id"))
+    lost = redirects.unresolved(led, direct).select("record_number")
+    return audit.Build(part, saved(extract.assemble(part), "entries"), saved(led.join(lost, "record_number", "left_anti"), "led"))
+
+
 @query("""
     WITH t AS (SELECT conv_id * 1000 + turn AS entry_id, role, text AS en, lead(CASE WHEN role = 'assistant' THEN text END) OVER (PARTITION BY conv_id ORDER BY turn) AS zh FROM conversations)
     SELECT entry_id, unnest(list_filter([CASE WHEN entry_id <= 0 THEN 'entry_id' END, CASE WHEN role <> 'user' THEN 'entry_type' END, CASE WHEN coalesce(trim(en), '') = '' OR coalesce(trim(zh), '') = '' THEN 'one_sided' END], lambda x: x IS NOT NULL)) AS rule FROM t
@@ -773,7 +819,13 @@ def validate_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glossia.schemas import NODE, PRON
 
     entries = t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("entry_id"), F.lit("turn").alias("headword"), F.lit("turn").alias("pos"), kind.alias("entry_type"), F.array().cast(f"array<{PRON}>").alias("pronunciation"), F.expr(sense).cast(f"array<{NODE}>").alias("sense"))
-    return audit.violations(entries)
+    return contract.violations(entries).select("entry_id", "rule")
+
+
+@query(f"SELECT CASE WHEN k = 1 THEN -1 - p_partkey ELSE 1 + p_partkey END AS entry_id, path, rule FROM part JOIN (VALUES {', '.join(map(str, derived.CONTRACT_FAULTS))}) f(k, path, rule) ON p_partkey % 40 = k")
+def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries that break one rule each in most of forty, at every level of their schema."""
+    return contract.violations(derived.contract_entries(spark, sf_dir))
 
 
 @query(f"WITH {_CANDIDATES} SELECT (SELECT count(*) FROM part WHERE p_partkey % 50 <> 17) AS entries, (SELECT count(*) FROM i) AS indices, (SELECT count(*) FROM part WHERE p_partkey % 50 = 13) AS id_mismatches, (SELECT count(*) FROM i WHERE (entry_id - 1) % 50 = 17) AS dangling")

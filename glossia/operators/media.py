@@ -55,8 +55,9 @@ def block_layout(blocks: DataFrame) -> DataFrame:
 
 def layout_errors(blocks: DataFrame, declared: DataFrame) -> DataFrame:
     """Archives whose packed sizes don't add up to the declared total."""
-    sums = blocks.groupBy("archive").agg(F.sum("packed_size").alias("packed_total"))
-    return declared.join(sums, "archive", "left").where(~F.col("declared").eqNullSafe(F.col("packed_total")))
+    sums = blocks.groupBy(F.col("archive").alias("_a")).agg(F.sum("packed_size").alias("packed_total"))
+    both = declared.join(sums, F.col("archive").eqNullSafe(F.col("_a")), "left").drop("_a")
+    return both.where(~F.col("declared").eqNullSafe(F.col("packed_total")))
 
 
 def locate(records: DataFrame, layout: DataFrame) -> DataFrame:
@@ -84,8 +85,9 @@ def locate(records: DataFrame, layout: DataFrame) -> DataFrame:
 
 def sliced(located: DataFrame, blocks: DataFrame) -> DataFrame:
     """``content`` of located records cut out of their blocks' content; a block is read once."""
-    joined = located.join(blocks.select("archive", "block_no", F.col("content").alias("_whole")), ["archive", "block_no"])
-    return joined.withColumn("content", F.expr("substring(_whole, cast(inner as int) + 1, cast(end - offset as int))")).drop("_whole")
+    whole = blocks.select(F.col("archive").alias("_a"), F.col("block_no").alias("_b"), F.col("content").alias("_whole"))
+    joined = located.join(whole, F.col("archive").eqNullSafe(F.col("_a")) & (F.col("block_no") == F.col("_b")))
+    return joined.withColumn("content", F.expr("substring(_whole, cast(inner as int) + 1, cast(end - offset as int))")).drop("_whole", "_a", "_b")
 
 
 def duplicates(media: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -35,14 +35,20 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def use_buckets(spark: SparkSession) -> None:
+    """Session settings by which plans use the buckets of tables: in joins by more than their key, and to open only those that are asked for."""
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+
+
 def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     """Write once as a table whose rows lie by ``key`` in so many buckets, read back.
 
-    What is read is known to be dealt by the key, so aggregates, windows and joins by it
-    (and by more columns, with ``spark.sql.requireAllClusterKeysForCoPartition`` off) move
-    no row. Rows that aren't dealt yet are shuffled once, here.
+    What is read is known to be dealt by the key, so aggregates, windows and joins by it,
+    and by it with more columns, move no row. Rows that aren't dealt yet are shuffled once, here.
     """
     spark = df.sparkSession
+    use_buckets(spark)
     table = f"{name}_{uuid.uuid4().hex}"
     df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", f"{folder(spark)}/{table}").saveAsTable(table)
     return spark.table(table)
