@@ -369,10 +369,10 @@ def drop_empty_senses(p: extract.Layout) -> DataFrame:
     return extract.drop_empty_senses(read).groupBy("rec").agg(F.count("*").alias("kept"))
 
 
-@parsed(_WITH + "SELECT rec, local, p_name || ' in lot' AS target, 'short form of' AS relation FROM v WHERE v % 5 = 0 AND p_partkey % 11 = 0")
+@parsed(_WITH + "SELECT rec, local, 'cross-reference' AS kind, p_name || ' in lot' AS target, 'short form of' AS relation FROM v WHERE v % 5 = 0 AND p_partkey % 11 = 0")
 def contraction_to_reference(p: extract.Layout) -> DataFrame:
     s = p.senses.where("short_form").join(_local(p), ["rec", "panel"])
-    return s.select("rec", "local", F.col("cross_references")[0]["target"].alias("target"), F.col("cross_references")[0]["relation"].alias("relation"))
+    return s.select("rec", "local", F.col("cross_references")[0]["kind"].alias("kind"), F.col("cross_references")[0]["target"].alias("target"), F.col("cross_references")[0]["relation"].alias("relation"))
 
 
 def _roots(p: extract.Layout) -> DataFrame:

@@ -301,20 +301,32 @@ def groups(nodes: DataFrame) -> DataFrame:
 
 
 def root_senses(found: DataFrame, titled: DataFrame) -> DataFrame:
-    """``rec, panel, sense``: a panel's direct senses and groups, in document order."""
-    kept = drop_empty_senses(found).where("child is null")
-    direct = kept.where("direct").select("rec", "panel", F.col("sense").alias("at"), _node(_sense()).alias("node"))
-    inner = kept.where("group is not null").groupBy("rec", "group").agg(F.transform(F.array_sort(F.collect_list(F.struct("sense", _sense().alias("s")))), lambda x: x["s"]).alias("senses"))
+    """``rec, panel, sense``: a panel's direct senses and groups, in document order.
+
+    A direct sense stands for itself, a group's senses stand where the group does; groups
+    that aren't ``titled`` are left out, titled ones without senses stay.
+    """
+    kept = drop_empty_senses(found).where("child is null and (direct or group is not null)")
+    units = kept.groupBy("rec", F.coalesce(F.when(~F.col("direct"), F.col("group")), F.col("sense")).alias("at")).agg(
+        F.max("panel").alias("own_panel"), F.max("direct").alias("direct"),
+        F.transform(F.array_sort(F.collect_list(F.struct("sense", _sense().alias("s"))), _by("sense")), lambda x: x["s"]).alias("senses"),
+    )
     null = lambda t: F.lit(None).cast(t)
     group = F.struct(
         F.lit("group").alias("kind"), null("string").alias("index"), null(LABELS).alias("labels"), null(EN_ZH).alias("definition"),
         null(f"array<{EN_ZH}>").alias("examples"), null(f"array<{XREF}>").alias("cross_references"), F.col("title"),
         F.coalesce("senses", F.array().cast(f"array<{SENSE}>")).alias("senses"),
     ).cast(NODE)
-    shells = titled.join(inner, ["rec", "group"], "left").select("rec", "panel", F.col("group").alias("at"), group.alias("node"))
-    both = direct.unionByName(shells)
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "node")), lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)), lambda x: x["node"])
-    return both.groupBy("rec", "panel").agg(ordered.alias("sense"))
+    full = units.join(titled.select("rec", "panel", F.col("group").alias("at"), "title"), ["rec", "at"], "full")
+    node = F.when(F.col("title").isNotNull(), group).when(F.col("direct"), _node(F.col("senses")[0]))
+    placed_ = full.select("rec", F.coalesce("panel", "own_panel").alias("panel"), "at", node.alias("node")).where("node is not null")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "node")), _by("at")), lambda x: x["node"])
+    return placed_.groupBy("rec", "panel").agg(ordered.alias("sense"))
+
+
+def _by(field: str):
+    """Order of structs by one field; the others may be of kinds that don't compare."""
+    return lambda a, b: F.when(a[field] < b[field], -1).when(a[field] > b[field], 1).otherwise(0)
 
 
 def boxes(nodes: DataFrame) -> DataFrame:
@@ -377,7 +389,7 @@ def child_rows(nodes: DataFrame, found: DataFrame, read: DataFrame, dict_id: str
     named = F.when(F.col("role") == "o-idiom", F.col("o-idiom")).when(F.col("role") == "o-phrasal", F.col("o-phrasal")).otherwise(F.col("o-relation-item"))
     derived = F.col("role") == "o-relation-item"
     own = drop_empty_senses(found).where("child is not null and parent = child")
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("sense", _sense().alias("s"))), lambda a, b: F.when(a["sense"] < b["sense"], -1).when(a["sense"] > b["sense"], 1).otherwise(0)), lambda x: _node(x["s"]))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("sense", _sense().alias("s"))), _by("sense")), lambda x: _node(x["s"]))
     inside = own.groupBy("rec", "child").agg(listed.alias("sense"))
     said = chunks(nodes).where("child_above is not null").select("rec", F.col("child_above").alias("child"), "region", "notation", "file", F.struct(F.lit(0).alias("src"), F.col("chunk").alias("at")).alias("ord"))
     said = pronunciations(said, ["rec", "child"], dict_id)
@@ -516,8 +528,7 @@ def assemble(x: Layout) -> DataFrame:
     whole = whole.select("*", *[F.max(c).over(over).alias(f"rec_{c}") for c in ("headword", "is_phrase_record", "supplemental", "failed")])
     sound = whole.where("pos is not null and rec_supplemental = false and rec_failed is null")
     numbered = number_entries(sound)
-    by_place = lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)
-    kids = lambda test: F.transform(F.array_sort(F.filter("children", test), by_place), lambda c: c["entry"])
+    kids = lambda test: F.transform(F.array_sort(F.filter("children", test), _by("at")), lambda c: c["entry"])
     of = lambda role: kids(lambda c: (c["role"] == role) & ~c["promoted"])
     numbered = numbered.withColumn("phrase", F.try_element_at(kids(lambda c: c["promoted"]), F.lit(1)))
     phrase = F.col("is_phrase")
@@ -581,7 +592,7 @@ def supplemental_entries(found: DataFrame, dict_id: str) -> DataFrame:
         F.lit("sense").alias("kind"), null("string").alias("index"), no_labels().alias("labels"), F.col("definition"),
         F.array().cast(f"array<{EN_ZH}>").alias("examples"), F.col("cross_references"), null(EN_ZH).alias("title"), null(f"array<{SENSE}>").alias("senses"),
     ).cast(NODE)
-    pairs = F.array_sort(F.collect_list(F.struct("sense", node.alias("node"))), lambda a, b: F.when(a["sense"] < b["sense"], -1).when(a["sense"] > b["sense"], 1).otherwise(0))
+    pairs = F.array_sort(F.collect_list(F.struct("sense", node.alias("node"))), _by("sense"))
     each = found.where("definition is not null").groupBy("rec").agg(F.first("headword").alias("headword"), F.first("pronunciation").alias("pronunciation"), F.transform(pairs, lambda x: x["node"]).alias("sense"))
     none = lambda t: F.array().cast(f"array<{t}>")
     return each.select(
