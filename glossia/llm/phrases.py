@@ -16,9 +16,8 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +37,11 @@ BYTES_A_BUCKET = 128
 MIN_BUCKETS, MAX_BUCKETS = 1 << 16, 1 << 24
 _CHUNK = 1 << 16
 #: Bytes of text of one language that are worked on together; different phrases and words that a task holds.
-_TOGETHER = 1 << 22
-_HELD = 500_000
-_WORDS = 1_000_000
+_TOGETHER = 1 << 21
+_HELD = 200_000
+_WORDS = 500_000
+#: Phrases whose buckets are added up together.
+_PLACES = 1 << 21
 _BREAK = b"."
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 #: ASCII capitals become small letters, the separators of pieces one mark, tabs spaces.
@@ -52,33 +53,39 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+class _Numbers(dict):
+    """Numbers of words as they are met; those that ``rare`` says can't be in a phrase are 0, as a break is."""
+
+    def __init__(self, rare: Callable[[int], bool] | None):
+        super().__init__({_BREAK: 0, b"": -1})
+        self.rare, self.spelt, self.hashes = rare, [_BREAK], [0]
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(word)
+        if self.rare is not None and self.rare(h):
+            self[word] = 0
+            return 0
+        self[word] = n = len(self.spelt)
+        self.spelt.append(word)
+        self.hashes.append(h)
+        return n
+
+
 class Words:
-    """Numbers of the words a task has met, their hashes, and the breaks between pieces as word 0."""
+    """The words of one language that a task has met: their numbers, spelling and hashes."""
 
-    def __init__(self) -> None:
-        self.number = _Numbers()
-        self.number[_BREAK]  # noqa: B018  it takes 0
-        self.hashes = np.zeros(1 << 16, np.uint64)
-        self.hashed = 1
-        self.spelt: list[bytes] = [_BREAK]
+    def __init__(self, lang: str, bits: np.ndarray | None):
+        seed, mask = int(_seed(lang)), 0 if bits is None else len(bits) - 1
+        self.number = _Numbers(None if bits is None else lambda h: not bits[_mixed_int(h ^ seed) & mask])
+        self.hashes = np.zeros(1, np.uint64)
 
     def read(self, data: bytes) -> np.ndarray:
+        """Numbers of the words in order, 0 between pieces."""
         tokens = data.translate(_FOLD).replace(_BREAK, b" . ").split(b" ")
         found = np.fromiter(map(self.number.__getitem__, tokens), np.int32, len(tokens))
-        new = list(islice(self.number, self.hashed, None))
-        if self.hashed + len(new) > len(self.hashes):
-            self.hashes = np.concatenate((self.hashes, np.zeros(max(len(self.hashes), len(new)), np.uint64)))
-        self.hashes[self.hashed : self.hashed + len(new)] = [xxhash.xxh64_intdigest(w) for w in new]
-        self.hashed += len(new)
-        self.spelt += new
-        blank = self.number.get(b"", -1)
-        return found[found != blank]
-
-
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+        new = self.number.hashes[len(self.hashes) :]
+        self.hashes = np.concatenate((self.hashes, np.array(new, np.uint64)))
+        return found[found >= 0]
 
 
 @dataclass
@@ -93,6 +100,11 @@ class Known:
         return np.unpackbits(np.frombuffer(of[k].value, np.uint8)).view(np.bool_) if k in of else None
 
 
+def _mixed_int(x: int) -> int:
+    x = (x ^ (x >> 31)) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+    return x ^ (x >> 29)
+
+
 def _seed(lang: str) -> np.uint64:
     return np.uint64(xxhash.xxh64_intdigest(lang.encode(), 7))
 
@@ -160,35 +172,44 @@ def _pass(docs: DataFrame, k: int, known: Known, longest: int, cap: int) -> Data
         held: Counter = Counter()
         waiting: dict[str, list[bytes]] = {}
         size: Counter = Counter()
-        words = Words()
+        known_words: dict[str, Words] = {}
+        places: list[np.ndarray] = []
+
+        def add_up() -> None:
+            if places:
+                np.add(sums, np.bincount(np.concatenate(places), minlength=buckets), out=sums, casting="unsafe")
+                places.clear()
 
         def work(lang: str) -> None:
-            nonlocal words
             data = _BREAK.join(waiting.pop(lang))
             del size[lang]
-            if len(words.number) > _WORDS:
-                words = Words()
+            if sum(len(w.number) for w in known_words.values()) > _WORDS:
+                known_words.clear()
+            if lang not in known_words:
+                known_words[lang] = Words(lang, frequent.get(1))
+            words = known_words[lang]
             ids = words.read(data)
             own = words.hashes[ids]
             whole = ids > 0
             hashes = {j: _hashes(own, lang, j) for j in range(1, k + 2)}
             here = _survivors(hashes, whole, k, buckets, full, frequent)
+            spelt = words.number.spelt
             if k == 1:
                 held[lang, None] += int(whole.sum())
             at = np.flatnonzero(here[k])
             if k == 1:
                 n = np.bincount(ids[at], minlength=1)
                 for i in np.flatnonzero(n):
-                    held[lang, words.spelt[i]] += int(n[i])
+                    held[lang, spelt[i]] += int(n[i])
             elif len(at):
                 place, n = _counted(ids, at, hashes[k], k)
-                spelt = words.spelt
                 for row, count in zip(np.stack([ids[place + j] for j in range(k)], 1).tolist(), n.tolist(), strict=True):
                     held[lang, b" ".join([spelt[i] for i in row])] += count
             if sums is not None and len(ids) > k:
                 both = here[k][:-1] & here[k][1:]
-                place = (hashes[k + 1][both] & np.uint64(buckets - 1)).astype(np.int64)
-                np.add(sums, np.bincount(place, minlength=buckets), out=sums, casting="unsafe")
+                places.append((hashes[k + 1][both] & np.uint64(buckets - 1)).astype(np.int64))
+                if sum(map(len, places)) >= _PLACES:
+                    add_up()
 
         def flush() -> pa.RecordBatch:
             rows = [(lang, phrase, n, None, None, None) for (lang, phrase), n in held.items()]
@@ -211,6 +232,7 @@ def _pass(docs: DataFrame, k: int, known: Known, longest: int, cap: int) -> Data
             work(lang)
         yield flush()
         if sums is not None:
+            add_up()
             salt = TaskContext.get().partitionId()
             for chunk, packed in _chunks(np.minimum(sums, cap), cap):
                 yield frame([(None, None, None, chunk, salt, packed)], _EMITTED)
