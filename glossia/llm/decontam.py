@@ -5,7 +5,9 @@ one polynomial (Karp-Rabin: every window from prefix sums) and joined with the h
 windows of the benchmark, which finds the few documents and items that share seeds.
 For such a pair, seeds on a diagonal grow into maximal matches, and the longest match
 is marked again and again, never over marked words; what is left of a match that is
-partly marked returns to the queue with its shorter length. The share of an item's
+partly marked returns to the queue with its shorter length. Where words repeat so much
+that there are many pairs of seeds, the longest width that still matches is searched for
+instead, all its tiles are marked, and so on with smaller widths. The share of an item's
 words that tiles cover does not depend on the order of its passages.
 
 The benchmark is taken in blocks of at most ``BLOCK_WORDS`` words (or one longer item), so
@@ -37,54 +39,117 @@ BLOCK_WORDS = 500_000
 
 _WORD = re.compile(r"\w+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _CHUNK = 1 << 20
-#: Pairs of equal windows that are looked at together.
-_PAIRS = 1 << 20
+#: Up to so many pairs of equal windows are looked at one by one; more are searched by length.
+_PAIRS = 1 << 12
 
 
 def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+def _spread(ids: np.ndarray) -> np.ndarray:
+    values = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+    return values ^ (values >> np.uint64(31))
+
+
 def window_hashes(ids: np.ndarray, width: int) -> np.ndarray:
     """Karp-Rabin hash, modulo 2^64, of every window of ``width`` ids."""
     if len(ids) < width:
         return np.empty(0, np.uint64)
-    values = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
-    values ^= values >> np.uint64(31)
+    values = _spread(ids)
     out = np.zeros(len(ids) - width + 1, np.uint64)
     for j in range(width):
         out = out * _BASE + values[j : j + len(out)]
     return out
 
 
-def _runs(pattern: np.ndarray, text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal matches of at least ``least`` words: pattern start, text start, length in words.
+def _runs(pattern: np.ndarray, text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Maximal matches of at least ``least`` words: pattern start, text start, length in words; None if there are many.
 
-    Equal windows are paired for some of the text's at a time, ``_PAIRS`` pairs or those
-    of one window, and joined along their diagonals at once; runs go on over the cuts.
+    Equal windows are paired and joined along their diagonals at once.
     """
     mine, theirs = window_hashes(pattern, least), window_hashes(text, least)
     order = np.argsort(mine, kind="stable")
     low, high = np.searchsorted(mine[order], theirs, "left"), np.searchsorted(mine[order], theirs, "right")
     count = high - low
-    upto = np.cumsum(count)
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    a = 0
-    while a < len(theirs):
-        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + _PAIRS, "right")))
-        own = count[a:b]
-        at = np.repeat(np.arange(a, b), own)
-        start = order[np.repeat(low[a:b], own) + np.arange(len(at)) - np.repeat(np.cumsum(own) - own, own)]
-        real = np.ones(len(at), np.bool_)
-        for j in range(least):  # hashes may collide
-            real &= (pattern[start + j] == text[at + j]) & (text[at + j] >= 0)
-        found.append(_along(start[real], at[real], np.ones(int(real.sum()), np.int64)))
-        a = b
-    start, at, windows = _along(*(np.concatenate(x) for x in zip(*found, strict=True))) if found else (np.empty(0, np.int64),) * 3
+    if count.sum() > _PAIRS:
+        return None
+    at = np.repeat(np.arange(len(theirs)), count)
+    start = order[np.repeat(low, count) + np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)]
+    real = np.ones(len(at), np.bool_)
+    for j in range(least):  # hashes may collide
+        real &= (pattern[start + j] == text[at + j]) & (text[at + j] >= 0)
+    start, at, windows = _along(start[real], at[real], np.ones(int(real.sum()), np.int64))
     return start, at, windows + least - 1
 
 
+class _Windows:
+    """Hashes of the windows of any width of one sequence, from prefix sums, and which of its words are free."""
+
+    def __init__(self, ids: np.ndarray):
+        self.ids, self.free = ids, ids >= 0
+        up, down = np.full(len(ids) + 1, _BASE), np.full(len(ids) + 1, _INVERSE)
+        up[0] = down[0] = 1
+        self.down = np.cumprod(down)
+        self.sums = np.concatenate(([np.uint64(0)], np.cumsum(_spread(ids) * np.cumprod(up)[:-1])))
+
+    def of(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where windows of free words start, and their hashes."""
+        taken = np.concatenate(([0], np.cumsum(~self.free)))
+        at = np.flatnonzero(taken[width:] == taken[:-width])
+        return at, (self.sums[at + width] - self.sums[at]) * self.down[at]
+
+    def longest(self) -> int:
+        """The longest run of free words."""
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], self.free, [False]))))
+        return int((edges[1::2] - edges[::2]).max(initial=0))
+
+
+def _by_length(pattern: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """The same tiles by running Karp-Rabin: the longest width at which free windows are equal, all its tiles, then the next.
+
+    Widths are found by halving, as a match of some width has matches of all smaller
+    ones in it. Tiles of one width are taken from the left; a window of the text that
+    overlaps a tile is never looked at again. So a width takes time in proportion to the
+    words, however often they repeat.
+    """
+    mine, theirs = _Windows(pattern), _Windows(text)
+    out, high = [], min(mine.longest(), theirs.longest())
+    shared = lambda width: np.isin(mine.of(width)[1], theirs.of(width)[1]).any()
+    while high >= least:
+        low = least - 1  # the widest known to be shared, or none
+        while low < high:
+            width = (low + high + 1) // 2
+            low, high = (width, high) if shared(width) else (low, width - 1)
+        if low < least:
+            break
+        (at, own), (places, hashes) = mine.of(low), theirs.of(low)
+        order = np.argsort(hashes, kind="stable")
+        hashes, places = hashes[order], places[order]
+        first, last = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
+        some, end, passed = np.flatnonzero(last > first), 0, {}
+        for i in some.tolist():
+            p = int(at[i])
+            if p < end:
+                continue
+            k = passed.get(first[i], int(first[i]))
+            while k < last[i] and not (theirs.free[places[k]] and theirs.free[places[k] + low - 1]):
+                k += 1
+            passed[first[i]] = k
+            while k < last[i]:
+                t = int(places[k])
+                if theirs.free[t] and theirs.free[t + low - 1] and np.array_equal(pattern[p : p + low], text[t : t + low]):
+                    mine.free[p : p + low] = theirs.free[t : t + low] = False
+                    out.append((p, t, low))
+                    end = p + low
+                    break
+                k += 1
+        high = min(low - 1, mine.longest(), theirs.longest())
+    return out
+
+
 def _along(start: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs that continue one another on a diagonal, joined."""
     by = np.lexsort((start, at - start))
@@ -101,7 +166,10 @@ def tiles(pattern: np.ndarray, text: np.ndarray, least: int = LEAST) -> list[tup
 
     Negative ids match nothing.
     """
-    start, at, length = _runs(pattern, text, least)
+    few = _runs(pattern, text, least)
+    if few is None:
+        return _by_length(pattern, text, least)
+    start, at, length = few
     queue = [(-int(n), int(p), int(t)) for n, p, t in zip(length, start, at, strict=True)]
     heapq.heapify(queue)
     in_pattern, in_text = np.zeros(len(pattern), np.bool_), np.zeros(len(text), np.bool_)
