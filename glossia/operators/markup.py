@@ -78,17 +78,28 @@ class _Builder(HTMLParser):
         for name, own, parent in spec.inner:
             self.inner.setdefault(own, []).append((name, parent))
         self.up_names = [name for name, *_ in (*spec.marks, *spec.inner)]
-        self.mute = frozenset(spec.mute)
+        self.mute, self.prune = frozenset(spec.mute), frozenset(spec.prune)
 
-    def _count(self, node: dict, by: int) -> None:
-        if node["tag"] in self.spec.prune_tags or any(c in self.spec.prune for c in node["classes"]):
-            self.pruned += by
-        self.silent += by * (node["tag"] in _SILENT)
-        self.example += by * (node["tag"] == "a" and (node["attrs"].get("href") or "").lower().startswith(text.EXAMPLE_AUDIO))
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # nobody asks for lines and columns
+
+    def _effect(self, tag: str, classes: list[str], attrs: dict) -> tuple[bool, bool, bool] | None:
+        """Whether what is in an element is pruned, silent, example audio; None if nothing of it."""
+        pruned = tag in self.spec.prune_tags or not self.prune.isdisjoint(classes)
+        example = tag == "a" and (attrs.get("href") or "").lower().startswith(text.EXAMPLE_AUDIO)
+        silent = tag in _SILENT
+        return (pruned, silent, example) if pruned or silent or example else None
+
+    def _count(self, effect: tuple[bool, bool, bool], by: int) -> None:
+        pruned, silent, example = effect
+        self.pruned += by * pruned
+        self.silent += by * silent
+        self.example += by * example
 
     def _close(self, node: dict) -> None:
         node["last"], node["to"] = len(self.nodes) - 1, len(self.texts)
-        self._count(node, -1)
+        if node["effect"]:
+            self._count(node["effect"], -1)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         ends = _ENDS.get(tag, ())
@@ -110,7 +121,9 @@ class _Builder(HTMLParser):
         node["below"] = node["up"] | dict.fromkeys(own, node["pre"]) if own else node["up"]
         node["depth"] = len(self.open)
         self.nodes.append(node)
-        self._count(node, 1)
+        node["effect"] = self._effect(tag, node["classes"], values)
+        if node["effect"]:
+            self._count(node["effect"], 1)
         node["pruned"] = self.pruned > 0
         if tag in _VOID:
             self._close(node)
