@@ -65,6 +65,8 @@ PATTERNS = {
 CONTEXT = 160
 SUPPORT = 3
 CERTAIN = 0.25
+#: Buckets of the terms with evidence; they are broadcast, so that few other terms are counted.
+TERM_BUCKETS = 1 << 20
 GENERALISE = 0.8
 REMOVE = 0.95
 #: Code points in a chunk of a text, see ``_pieced``.
@@ -221,7 +223,10 @@ def disclosing(rows: DataFrame, texts: DataFrame, spans: DataFrame, terms: DataF
     classes, class_names = _grouped(held_by(texts, each, "class"))
     pairs = saved(evidence(own, words).withColumn("own", F.lit(True)).unionByName(evidence(classes, words).withColumn("own", F.lit(False))), "evidence")
     listed = F.expr(f"array_distinct(transform(regexp_extract_all(text, {_quoted(_TERM)}, 0), x -> lower(x)))")
-    counts = rows.select(F.explode(listed).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))  # summed before it is moved
+    bucket = F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).alias("bucket")
+    asked = saved(pairs.select(bucket).distinct(), "asked")
+    counts = rows.select(F.explode(listed).alias("term")).select("term", bucket).join(F.broadcast(asked), "bucket", "left_semi")
+    counts = counts.groupBy("term").agg(F.count("*").alias("n_term"))  # summed before it is moved
     total = rows.count()
     told = pairs.join(counts, "term").where(F.col("n_held") < total)
     bound = bounded(F.col("seen"), F.greatest(F.col("n_term") - F.col("inside"), F.lit(0)))
