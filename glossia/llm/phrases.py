@@ -18,6 +18,7 @@ import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +58,7 @@ class _Numbers(dict):
     """Numbers of words as they are met; those that ``rare`` says can't be in a phrase are 0, as a break is."""
 
     def __init__(self, rare: Callable[[int], bool] | None):
-        super().__init__({_BREAK: 0, b"": -1})
+        super().__init__({_BREAK: 0})
         self.rare, self.spelt, self.hashes = rare, [_BREAK], [0]
 
     def __missing__(self, word: bytes) -> int:
@@ -78,14 +79,22 @@ class Words:
         seed, mask = int(_seed(lang)), 0 if bits is None else len(bits) - 1
         self.number = _Numbers(None if bits is None else lambda h: not bits[_mixed_int(h ^ seed) & mask])
         self.hashes = np.zeros(1, np.uint64)
+        self.counts = np.zeros(1, np.int64)
+
+    def count(self, ids: np.ndarray) -> None:
+        self.counts = np.concatenate((self.counts, np.zeros(len(self.hashes) - len(self.counts), np.int64)))
+        self.counts += np.bincount(ids, minlength=len(self.counts))
+
+    def rows(self, lang: str) -> Iterator[tuple]:
+        return ((lang, w, n) for w, n in islice(zip(self.number.spelt, self.counts.tolist(), strict=False), 1, None))
 
     def read(self, data: bytes) -> np.ndarray:
         """Numbers of the words in order, 0 between pieces."""
-        tokens = data.translate(_FOLD).replace(_BREAK, b" . ").split(b" ")
+        tokens = data.translate(_FOLD).replace(_BREAK, b" . ").split()  # no other white space is left
         found = np.fromiter(map(self.number.__getitem__, tokens), np.int32, len(tokens))
         new = self.number.hashes[len(self.hashes) :]
         self.hashes = np.concatenate((self.hashes, np.array(new, np.uint64)))
-        return found[found >= 0]
+        return found
 
 
 @dataclass
@@ -118,29 +127,32 @@ def _hashes(words: np.ndarray, lang: str, k: int) -> np.ndarray:
     return _mixed(out ^ _seed(lang))
 
 
-def _survivors(hashes: np.ndarray, whole: np.ndarray, k: int, buckets: int, full: dict, frequent: dict) -> dict[int, np.ndarray]:
-    """For lengths 1 to k: where a phrase starts that can be frequent by all that is known.
+def _raw(words: np.ndarray, longest: int) -> dict[int, np.ndarray]:
+    """For lengths up to ``longest`` a number of the phrase from every place on; ``_hashes`` are these, mixed."""
+    out = {1: words}
+    for k in range(2, longest + 1):
+        out[k] = out[k - 1][:-1] * _PRIME + words[k - 1 :]
+    return out
+
+
+def _survivors(raw: dict[int, np.ndarray], whole: np.ndarray, lang: str, k: int, full: np.ndarray | None, frequent: np.ndarray | None) -> np.ndarray:
+    """Where a phrase of k words starts that can be frequent: its bucket is full, its first and its last k - 1 words are frequent.
 
-    ``whole``: of each word whether it is one (not a break).
+    ``whole``: of each word whether it is one (not a break, not rare).
     """
-    out: dict[int, np.ndarray] = {}
-    for j in range(1, k + 1):
-        n = len(whole) - j + 1
-        fits = whole.copy() if j == 1 else out[j - 1][:-1] & out[j - 1][1:]
-        if n <= 0:
-            out[j] = np.zeros(0, np.bool_)
-            continue
-        if full.get(j) is not None or frequent.get(j) is not None:
-            at = np.flatnonzero(fits)
-            place = (hashes[j][at] & np.uint64(buckets - 1)).astype(np.int64)
-            for bits in (full.get(j), frequent.get(j)):
-                if bits is not None:
-                    keep = bits[place]
-                    at, place = at[keep], place[keep]
-            fits = np.zeros(n, np.bool_)
-            fits[at] = True
-        out[j] = fits
-    return out
+    if k == 1:
+        return np.flatnonzero(whole)
+    seed = _seed(lang)
+
+    def of(at: np.ndarray, size: int, bits: np.ndarray | None) -> np.ndarray:
+        return at if bits is None else at[bits[(_mixed(raw[size][at] ^ seed) & np.uint64(len(bits) - 1)).astype(np.int64)]]
+
+    inside = whole
+    for j in range(1, k - 1):
+        inside = inside[:-1] & whole[j:]
+    shorter = np.zeros(len(inside), np.bool_)
+    shorter[of(np.flatnonzero(inside), k - 1, frequent)] = True
+    return of(np.flatnonzero(shorter[:-1] & shorter[1:]), k, full)
 
 
 def _counted(ids: np.ndarray, at: np.ndarray, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,8 +178,8 @@ def _pass(docs: DataFrame, k: int, known: Known, longest: int, cap: int) -> Data
     buckets = known.buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = {j: known.bits(known.frequent, j) for j in range(1, k)}
-        full = {j: known.bits(known.full, j) for j in range(2, k + 1)}
+        single, frequent = known.bits(known.frequent, 1), known.bits(known.frequent, k - 1) if k > 2 else None
+        full = known.bits(known.full, k)
         sums = np.zeros(buckets, np.int32) if k < longest else None
         held: Counter = Counter()
         waiting: dict[str, list[bytes]] = {}
@@ -183,37 +195,36 @@ def _pass(docs: DataFrame, k: int, known: Known, longest: int, cap: int) -> Data
         def work(lang: str) -> None:
             data = _BREAK.join(waiting.pop(lang))
             del size[lang]
-            if sum(len(w.number) for w in known_words.values()) > _WORDS:
-                known_words.clear()
             if lang not in known_words:
-                known_words[lang] = Words(lang, frequent.get(1))
+                known_words[lang] = Words(lang, single)
             words = known_words[lang]
             ids = words.read(data)
             own = words.hashes[ids]
             whole = ids > 0
-            hashes = {j: _hashes(own, lang, j) for j in range(1, k + 2)}
-            here = _survivors(hashes, whole, k, buckets, full, frequent)
+            if len(ids) < k:
+                return
+            raw = _raw(own, min(len(ids), k + (sums is not None)))
+            at = _survivors(raw, whole, lang, k, full, frequent)
             spelt = words.number.spelt
             if k == 1:
                 held[lang, None] += int(whole.sum())
-            at = np.flatnonzero(here[k])
-            if k == 1:
-                n = np.bincount(ids[at], minlength=1)
-                for i in np.flatnonzero(n):
-                    held[lang, spelt[i]] += int(n[i])
+                words.count(ids)
             elif len(at):
-                place, n = _counted(ids, at, hashes[k], k)
+                place, n = _counted(ids, at, raw[k], k)
                 for row, count in zip(np.stack([ids[place + j] for j in range(k)], 1).tolist(), n.tolist(), strict=True):
                     held[lang, b" ".join([spelt[i] for i in row])] += count
             if sums is not None and len(ids) > k:
-                both = here[k][:-1] & here[k][1:]
-                places.append((hashes[k + 1][both] & np.uint64(buckets - 1)).astype(np.int64))
+                both = at[:-1][np.diff(at) == 1]
+                places.append((_mixed(raw[k + 1][both] ^ _seed(lang)) & np.uint64(buckets - 1)).astype(np.int64))
                 if sum(map(len, places)) >= _PLACES:
                     add_up()
 
         def flush() -> pa.RecordBatch:
             rows = [(lang, phrase, n, None, None, None) for (lang, phrase), n in held.items()]
             held.clear()
+            if k == 1:
+                rows += [(*row, None, None, None) for lang, w in known_words.items() for row in w.rows(lang)]
+            known_words.clear()
             return frame(rows, _EMITTED)
 
         for batch in batches:
@@ -226,7 +237,7 @@ def _pass(docs: DataFrame, k: int, known: Known, longest: int, cap: int) -> Data
                         work(lang)
                 if size.total() > 2 * _TOGETHER:
                     work(size.most_common(1)[0][0])
-                if len(held) > _HELD:
+                if len(held) > _HELD or sum(len(w.number) for w in known_words.values()) > _WORDS:
                     yield flush()
         for lang in list(waiting):
             work(lang)
