@@ -207,7 +207,11 @@ def read_packed(manifest: DataFrame) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Pack ``docs`` with the public 50k vocabulary and read the matrices back."""
+    """Pack ``docs`` with the public 50k vocabulary and read the matrices back.
+
+    Null and empty texts are the end-of-text id alone, ids may be null or repeat, other
+    columns are ignored, an empty table gives no rows.
+    """
     import public_tokenizers
 
     ranks, vocabulary = (public_tokenizers.path(f"byte_bpe_50k.{x}") for x in ("tiktoken", "json"))

@@ -296,7 +296,11 @@ def read_archives(manifest: DataFrame, payload: bool = False, most: int | None =
 
 
 def archived(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Write ``pages`` to archives in the shared folder and read them back, ids as page_id."""
+    """Write ``pages`` to archives in the shared folder and read them back, ids as page_id.
+
+    Null html is an empty payload, null ids and urls come back null, repeated rows are
+    records of their own, other columns are ignored, an empty table gives no rows.
+    """
     back = read_archives(write_archives(pages, new_dir(spark, "warc")))
     page = lambda c: F.nullif(F.substring(c, len(_ID) + 1, 20), F.lit("")).cast("long")
     return back.select(page("record_id").alias("page_id"), "url", "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
