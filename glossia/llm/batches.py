@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
+import sys
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -31,6 +33,21 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: The module whose work this worker did last.
+_last: list[str] = []
+
+
+def turn_to(owner: str) -> None:
+    """Called as a task begins: a worker that turns to another operator forgets what it kept for the last one."""
+    if _last and _last[0] != owner:
+        forget = getattr(sys.modules.get(_last[0]), "forget", None)
+        if forget is not None:
+            forget()
+            gc.collect()
+            give_back()
+    _last[:] = [owner]
+
+
 def added(df: DataFrame, text: Column | str, fields: str, make: Callable[[], Work], keep: Sequence[str | Column] = ("*",), rows: int = ROWS) -> DataFrame:
     """The columns ``keep`` of ``df``, and new ones of the schema ``fields`` worked out from ``text``.
 
@@ -45,7 +62,10 @@ def added(df: DataFrame, text: Column | str, fields: str, make: Callable[[], Wor
     width = len(kept.columns)
     at_text = kept.columns.index(text) if isinstance(text, str) and text in kept.columns else width
 
+    owner = make.__module__
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to(owner)
         work = make()
         for batch in batches:
             for at in range(0, batch.num_rows, rows):

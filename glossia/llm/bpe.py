@@ -352,6 +352,11 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    """Give up what the worker keeps for the next tasks."""
+    _encoders.clear()
+
+
 def encoded(docs: DataFrame, path: str, keep: list[str], ids: bool = True) -> DataFrame:
     """``keep`` columns of every row plus n_tokens, ids_sha256, decoded_sha256 and ids.
 

@@ -13,11 +13,11 @@ from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossia.llm.batches import Work, added
+from glossia.llm.batches import ROWS, Work, added, frame, give_back, turn_to
 from glossia.llm.durable import unused
 
 BUCKETS = 1 << 15
@@ -154,17 +154,22 @@ def fit(docs: DataFrame, max_docs: int = MAX_TRAINING_DOCS) -> Model:
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, max_docs / r["count"]))])
     sample = rows.where(place < share[F.col("lang")]).select("lang", "text")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to(__name__)
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for lang, part in batch.groupby("lang"):
-                sums[lang] = sums.get(lang, 0) + counts(list(part["text"]))
-        for lang, values in sums.items():
-            bucket = np.flatnonzero(values)
-            yield pd.DataFrame({"lang": lang, "bucket": bucket.astype(np.int32), "n": values[bucket]})
+            for at in range(0, batch.num_rows, ROWS):
+                texts: dict[str, list[str]] = {}
+                for lang, text in zip(*(c.to_pylist() for c in batch.slice(at, ROWS).columns), strict=True):
+                    texts.setdefault(lang, []).append(text)
+                for lang, own in texts.items():
+                    sums[lang] = sums.get(lang, 0) + counts(own)
+        rows = [(lang, int(b), int(values[b])) for lang, values in sums.items() for b in np.flatnonzero(values)]
+        yield frame(rows, "lang string, bucket int, n long")
+        give_back()
 
     found = (
-        sample.mapInPandas(count, "lang string, bucket int, n long")
+        sample.mapInArrow(count, "lang string, bucket int, n long")
         .groupBy("lang", "bucket")
         .agg(F.sum("n").alias("n"))
         .toPandas()  # at most languages x buckets rows
@@ -202,7 +207,11 @@ def predict(docs: DataFrame, model: Model, keep: Sequence[str], names: tuple[str
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` for every row."""
+    """``doc_id, held_out, lang_pred, score`` for every row.
+
+    Null texts and those without letters are ``und`` with score 0, a null doc_id is never
+    held out, repeated rows have a row each, other columns are ignored.
+    """
     out = predict(docs, fit(docs), keep=["doc_id"])
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
