@@ -279,8 +279,8 @@ def _chunks(counts: np.ndarray, threshold: int) -> Iterator[tuple[int, bytes]]:
             yield c // _CHUNK, zlib.compress(own.astype(_kind(threshold)).tobytes(), 1)
 
 
-def _merged(parts: DataFrame, fold: str, keys: list[str], threshold: int) -> DataFrame:
-    """One row for each of ``keys`` (chunk first) from chunks of counters, read as a stream.
+def _merged(parts: DataFrame, fold: str, keys: list[str], threshold: int, most: int) -> DataFrame:
+    """One row for each of ``keys`` (chunk first), ``most`` in all, from chunks of counters, read as a stream.
 
     ``fold`` sum: counters capped at the threshold; bits: which of them reach it.
     """
@@ -297,7 +297,7 @@ def _merged(parts: DataFrame, fold: str, keys: list[str], threshold: int) -> Dat
             yield frame([(*key, out)], schema)
 
     schema = ", ".join([*(f"{c} int" for c in keys), "bucket_counts binary"])
-    return parts.repartition(*keys).mapInArrow(run, schema)
+    return parts.repartition(*keys).coalesce(most).mapInArrow(run, schema)  # no task without a key
 
 
 def _bitmap(spark: SparkSession, chunks: DataFrame, buckets: int, threshold: int) -> Broadcast:
@@ -307,10 +307,11 @@ def _bitmap(spark: SparkSession, chunks: DataFrame, buckets: int, threshold: int
     """
     salts = max(1, int(chunks.select("salt").distinct().count() ** 0.5))
     some = chunks.select("chunk", (F.col("salt") % salts).alias("salt"), "bucket_counts")
-    once = _merged(some, "sum", ["chunk", "salt"], threshold)
-    twice = _merged(once.select("chunk", "bucket_counts"), "bits", ["chunk"], threshold)
+    most = max(1, buckets // _CHUNK)
+    once = _merged(some, "sum", ["chunk", "salt"], threshold, most * salts)
+    twice = _merged(once.select("chunk", "bucket_counts"), "bits", ["chunk"], threshold, most)
     bits = bytearray(buckets // 8)
-    for r in twice.toLocalIterator():
+    for r in twice.collect():  # one job; an iterator takes one for each partition
         bits[r["chunk"] * _CHUNK // 8 : (r["chunk"] + 1) * _CHUNK // 8] = r["bucket_counts"]
     return spark.sparkContext.broadcast(bytes(bits))
 

@@ -323,3 +323,22 @@ def test_no_frequent_phrase(spark):
     docs = frame(spark, [(1, "only once here", "en", "s", 1), (2, None, None, None, None)])
     assert phrases.collocations(docs).count() == 0
     assert phrases.collocations(docs.limit(0)).count() == 0
+
+
+def test_bitmaps_take_few_jobs(spark):
+    """What the passes learn reaches the driver by a job or two, however many partitions a shuffle has."""
+    docs = spark.createDataFrame([(i, "alpha beta gamma delta, one two three", "en") for i in range(8)], "doc_id long, text string, lang string")
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        spark.sparkContext.setJobGroup("bitmaps", "bitmaps")
+        frequent, _ = phrases.frequent_phrases(docs, min_count=4)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("bitmaps"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert frequent.where("k = 4").count() == 1
+    assert 0 < jobs < 120
