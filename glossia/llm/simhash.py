@@ -57,7 +57,11 @@ def shingle_hashes(text: str | None, width: int = SHINGLE_WORDS) -> np.ndarray:
 
 def fingerprint(text: str | None) -> int:
     """64-bit SimHash of a whole text; 0 for a text without words."""
-    hashes = shingle_hashes(text)
+    return fingerprint_of(shingle_hashes(text))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """64-bit SimHash of shingles given by their hashes."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _CHUNK):
         part = np.ascontiguousarray(hashes[at : at + _CHUNK], "<u8").view(np.uint8).reshape(-1, 8)
@@ -80,7 +84,7 @@ def _bits(fp, start: int, width: int):
     return F.shiftrightunsigned(fp, start).bitwiseAND((1 << width) - 1)
 
 
-def _keys(fp):
+def ring_keys(fp):
     """The 24 join keys; the number of the key is kept above bit 30."""
     keys = []
     for start in range(4):
@@ -96,24 +100,22 @@ def _keys(fp):
     return F.array(*keys)
 
 
+def ring_test(key: str, max_bits: int = MAX_BITS) -> str:
+    """Of rows x and y under one ``key``: the chain keeps its cumulative budgets, all bits keep theirs."""
+    differ = "(x.fp ^ y.fp)"
+    start = f"cast(x.{key} div 6442450944 as int)"  # six keys of 2^30 for each start
+    box = lambda j: f"bit_count(shiftrightunsigned({differ}, 16 * (({start} + {j}) % 4)) & 65535)"
+    return f"{box(1)} <= 1 and {box(1)} + {box(2)} <= 2 and bit_count({differ}) <= {max_bits}"
+
+
 def near_pairs(distinct_fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Pairs ``(a, b)``, a < b, of distinct fingerprints with 1 to ``max_bits`` differing bits."""
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError("the ring of four segments is laid out for up to 3 bits")
-    keyed = distinct_fps.select("fp", F.explode(_keys(F.col("fp"))).alias("key"))
-    x, y = keyed.alias("x"), keyed.alias("y")
-    differ = "(x.fp ^ y.fp)"
-    start = "cast(x.key div 6442450944 as int)"  # six keys of 2^30 for each start
-    box = lambda j: f"bit_count(shiftrightunsigned({differ}, 16 * (({start} + {j}) % 4)) & 65535)"
+    keyed = distinct_fps.select("fp", F.explode(ring_keys(F.col("fp"))).alias("key"))
     return (
-        x.join(
-            y,
-            F.expr(
-                "x.key = y.key and x.fp < y.fp"
-                f" and {box(1)} <= 1 and {box(1)} + {box(2)} <= 2"
-                f" and bit_count({differ}) <= {max_bits}"
-            ),
-        )
+        keyed.alias("x")
+        .join(keyed.alias("y"), F.expr(f"x.key = y.key and x.fp < y.fp and {ring_test('key', max_bits)}"))
         .select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
         .distinct()
     )
@@ -177,7 +179,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
 def keep_similar(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies by the likeness of their 5-word sets, 0.8 or more.
 
-    Beyond the reach of the fingerprint's 3 bits; see ``resemblance``, which finds the pairs.
+    By fingerprints of 5-word shingles and the ring, checked by whole sets, and another
+    way for alike pairs that differ in more than 3 bits; see ``resemblance``.
     """
     from glossia.llm import resemblance
 

@@ -72,3 +72,27 @@ def test_repeated_rows_and_missing_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert sorted(map(tuple, resemblance.keep_one(docs).collect()), key=str) == [(3, "x y z", "a"), (4, "", "f"), (None, "alone here", "d")]
     assert resemblance.keep_one(docs.limit(0)).count() == 0
+
+
+def test_ring_of_fingerprints_links_close_copies(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    docs = []
+    for i in range(30):
+        own = [word() for _ in range(400)]
+        docs += [(2 * i, " ".join(own)), (2 * i + 1, " ".join([*own, word()]))]
+    bits = [(simhash.fingerprint_of(resemblance._set(a)) ^ simhash.fingerprint_of(resemblance._set(b))).bit_count() for (_, a), (_, b) in zip(docs[::2], docs[1::2], strict=True)]
+    close = sum(b <= simhash.MAX_BITS for b in bits)
+    assert 0 < close
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    classes = resemblance.sets(rows).selectExpr("*", "struct(false as no_id, doc_id, tkey) as first").drop("doc_id", "tkey")
+    assert resemblance.by_ring(rows, classes).count() == 2 * close
+    assert resemblance.roots(rows, classes).count() == 60
+
+
+def test_ring_links_nothing_unlike(spark):
+    """Fingerprints within 3 bits of each other, as short sets may have, are no links before whole sets agree."""
+    docs = [(1, "a b c d e"), (2, "f g h i j"), (3, ""), (4, None)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    classes = resemblance.sets(rows).where("doc_id < 4").selectExpr("*", "struct(false as no_id, doc_id, tkey) as first").drop("doc_id", "tkey")
+    assert resemblance.by_ring(rows, classes.withColumn("fp", classes.fp * 0)).count() == 0
