@@ -13,7 +13,7 @@ import sys
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
@@ -48,6 +48,14 @@ def turn_to(owner: str) -> None:
     _last[:] = [owner]
 
 
+def small(spark: SparkSession) -> None:
+    """From now on Arrow batches of the session have ``ROWS`` rows at most: JVM and worker hold one each for every task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    most = int(spark.conf.get(name))
+    if not 0 < most <= ROWS:
+        spark.conf.set(name, str(ROWS))
+
+
 def added(df: DataFrame, text: Column | str, fields: str, make: Callable[[], Work], keep: Sequence[str | Column] = ("*",), rows: int = ROWS) -> DataFrame:
     """The columns ``keep`` of ``df``, and new ones of the schema ``fields`` worked out from ``text``.
 

@@ -71,7 +71,9 @@ class Table:
 class Encoder:
     """Vocabulary, merges and the worker's memory of what was encoded."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int | None = None):
+        self.remember = remember or _REMEMBER
+        self.pending = _PENDING * self.remember // _REMEMBER
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = _byte_letters()
@@ -255,18 +257,19 @@ class Encoder:
                     stack.append((child, depth + 1, self._state(state, key)))
                 else:
                     self.words[child] = self._along(last)
-        if len(self.stable_pairs) > _REMEMBER:
-            self.stable_pairs = dict(islice(self.stable_pairs.items(), _REMEMBER // 2))
+        if len(self.stable_pairs) > self.remember:
+            self.stable_pairs = dict(islice(self.stable_pairs.items(), self.remember // 2))
 
     def _forget(self) -> None:
         """Cut what is remembered to its bounds; what was learnt first is what occurs most."""
-        for memory, most in (("words", _REMEMBER // 4), ("pieces", _REMEMBER)):
+        most_chars = _REMEMBER_CHARS * self.remember // _REMEMBER
+        for memory, most in (("words", self.remember // 4), ("pieces", self.remember)):
             own = getattr(self, memory)
-            if len(own) <= most and self.held[memory] <= _REMEMBER_CHARS:
+            if len(own) <= most and self.held[memory] <= most_chars:
                 continue
             kept, chars = {}, 0
             for key, ids in own.items():
-                if len(kept) >= most // 2 or chars > _REMEMBER_CHARS // 2:
+                if len(kept) >= most // 2 or chars > most_chars // 2:
                     break
                 if len(key) <= _LONG_PIECE or key in self.special:
                     kept[key] = ids
@@ -316,7 +319,7 @@ class Encoder:
             pieces = [] if whole else text.split(" ")[1:]
             pending.append((text, pieces, list(map(self.pieces.get, pieces))))
             size += max(len(pieces) + 1, len(text) >> 3)
-            if size > _PENDING:
+            if size > self.pending:
                 yield from self._flush(pending, special)
                 pending, size = [], 0
         yield from self._flush(pending, special)
@@ -342,14 +345,14 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int | None], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remember: int | None = None) -> Encoder:
     """The worker's encoder for a vocabulary file, loaded once."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, remember) not in _encoders:
+        _encoders[path, remember] = Encoder(path, remember)
+    return _encoders[path, remember]
 
 
 def forget() -> None:
@@ -357,16 +360,18 @@ def forget() -> None:
     _encoders.clear()
 
 
-def encoded(docs: DataFrame, path: str, keep: list[str], ids: bool = True) -> DataFrame:
+def encoded(docs: DataFrame, path: str, keep: list[str], ids: bool = True, remember: int | None = None, rows: int = 10_000) -> DataFrame:
     """``keep`` columns of every row plus n_tokens, ids_sha256, decoded_sha256 and ids.
 
     ``path``: the tokenizer's JSON file on each machine. ids holds little-endian 16-bit
     token ids, as binary. Null and empty texts have no tokens and the digests of the
     empty string; repeated rows are encoded each; the row count never changes.
+    ``remember`` and ``rows`` bound what a worker remembers and works on together: less takes
+    less memory and more time, and changes no result.
     """
 
     def make() -> Work:
-        own = encoder(path)
+        own = encoder(path, remember)
 
         def work(texts: list) -> list:
             out: list[list] = [[], [], [], []]
@@ -381,4 +386,4 @@ def encoded(docs: DataFrame, path: str, keep: list[str], ids: bool = True) -> Da
         return work
 
     fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids
-    return added(docs, F.col("text"), fields, make, keep, rows=10_000)  # words of many texts share their prefixes
+    return added(docs, F.col("text"), fields, make, keep, rows=rows)  # words of many texts share their prefixes

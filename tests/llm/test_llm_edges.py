@@ -193,3 +193,11 @@ def test_parities_differ_no_more_than_sets():
         bits = [resemblance._parity(np.sort(np.array(list(x), np.uint64))) for x in (a, b)]
         turned = sum((x ^ y).bit_count() for x, y in zip(*(struct.unpack("<8Q", v.tobytes()) for v in bits)))
         assert turned <= len(a ^ b)
+
+
+def test_encoder_holds_what_it_is_told_to():
+    one, rng = bpe.Encoder(bpe.default_vocabulary(), remember=400), random.Random(4)
+    texts = [" ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(300)) for _ in range(20)]
+    got = [x.tolist() for x in one.encode(texts)]
+    assert len(one.pieces) <= 400 and len(one.words) <= 100 and len(one.stable_pairs) <= 400
+    assert got == [x.tolist() for x in bpe.encoder(bpe.default_vocabulary()).encode(texts)]
