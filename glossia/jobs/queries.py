@@ -189,16 +189,28 @@ def layout(spark: SparkSession, sf_dir: str) -> extract.Layout:
     return extract.Layout(derived.nodes(spark, sf_dir, n), derived.records(spark, sf_dir), DICT, n)
 
 
-def parsed(sql: str | None) -> Callable:
-    """Register a query over the parsed records."""
+def narrow(spark: SparkSession, sf_dir: str, profile: markup.Selectors, kept: bool) -> extract.Layout:
+    """A layout over those elements alone that a profile names; unless they are ``kept``, they are for a single pass."""
+    n = derived.buckets(spark, sf_dir)
+    nodes = derived.nodes(spark, sf_dir, n, profile) if kept else derived.parsed(spark, sf_dir, n, profile)
+    return extract.Layout(nodes, derived.records(spark, sf_dir), DICT, n)
+
+
+def parsed(sql: str | None, profile: markup.Selectors | None = None, kept: bool = False) -> Callable:
+    """Register a query over the parsed records; with a profile it gets what that names, in a table if ``kept``."""
 
     def put(f: Callable[[extract.Layout], DataFrame]) -> Callable:
-        query(sql, f.__name__)(lambda spark, sf_dir: f(layout(spark, sf_dir)))
+        query(sql, f.__name__)(lambda spark, sf_dir: f(narrow(spark, sf_dir, profile, kept) if profile else layout(spark, sf_dir)))
         return f
 
     return put
 
 
+def _dealt(p: extract.Layout) -> DataFrame:
+    """Nodes that weren't kept, moved once for all that follows."""
+    return p.nodes.repartition(p.buckets, "rec")
+
+
 def _local(p: extract.Layout) -> DataFrame:
     """Panels of sound records with their local numbers."""
     return p.local.join(p.failed, "rec", "left_anti")
@@ -290,7 +302,7 @@ _EXAMPLES = """
 """
 
 
-@parsed(f"WITH {_PANELS}, {_EXAMPLES} SELECT rec, en, zh FROM x WHERE zh <> '' AND en <> ''")
+@parsed(f"WITH {_PANELS}, {_EXAMPLES} SELECT rec, en, zh FROM x WHERE zh <> '' AND en <> ''", extract.READ_EXAMPLES, kept=True)
 def extract_examples(p: extract.Layout) -> DataFrame:
     read = extract.examples(p.nodes).join(p.times, ["rec", "sense"], "left_semi")
     return read.where("en <> '' and zh <> ''").select("rec", "en", "zh")
