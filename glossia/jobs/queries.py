@@ -259,9 +259,9 @@ _SETS = """
 """
 
 
-@parsed(f"WITH {_PANELS}, {_SETS} SELECT rec, region, notation, audio_url FROM s UNION ALL SELECT rec, region, notation, audio_url FROM rt UNION ALL SELECT rec, 'other', '/d' || v || '/', NULL FROM v WHERE v % 4 = 3")
+@parsed(f"WITH {_PANELS}, {_SETS} SELECT rec, region, notation, audio_url FROM s UNION ALL SELECT rec, region, notation, audio_url FROM rt UNION ALL SELECT rec, 'other', '/d' || v || '/', NULL FROM v WHERE v % 4 = 3", extract.CHUNKS)
 def extract_pronunciations(p: extract.Layout) -> DataFrame:
-    c = extract.chunks(p.nodes).withColumn("owner", F.coalesce("pron_set", "child_above", "panel"))
+    c = extract.chunks(_dealt(p)).withColumn("owner", F.coalesce("pron_set", "child_above", "panel"))
     c = windows.dedupe_first(c, ["rec", "owner", "region", "notation", "file"], ["chunk"])
     return c.select("rec", "region", "notation", text.media_url(DICT, F.col("file")).alias("audio_url"))
 

@@ -44,7 +44,7 @@ def test_nodes_are_stored_without_moving_them(spark):
 
 
 #: Queries with a profile, and whether what they read is stored.
-NARROW = {"extract_examples": True}
+NARROW = {"extract_examples": True, "extract_pronunciations": False}
 
 
 @needs_data
