@@ -308,9 +308,9 @@ def extract_examples(p: extract.Layout) -> DataFrame:
     return read.where("en <> '' and zh <> ''").select("rec", "en", "zh")
 
 
-@parsed(f"WITH {_PANELS}, {_EXAMPLES} SELECT rec, en FROM x UNION ALL SELECT rec, 'Gathered.' FROM o WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey + 1, 'Gathered.' FROM part WHERE p_partkey % 50 = 40")
+@parsed(f"WITH {_PANELS}, {_EXAMPLES} SELECT rec, en FROM x UNION ALL SELECT rec, 'Gathered.' FROM o WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey + 1, 'Gathered.' FROM part WHERE p_partkey % 50 = 40", extract.EXAMPLES)
 def example_text(p: extract.Layout) -> DataFrame:
-    return extract.examples(p.nodes).select("rec", "en")
+    return extract.examples(_dealt(p)).select("rec", "en")
 
 
 @parsed(f"""WITH {_PANELS}, {_EXAMPLES}, e AS (SELECT rec, count(*) AS n FROM x GROUP BY rec)
