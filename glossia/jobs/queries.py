@@ -266,7 +266,7 @@ def extract_pronunciations(p: extract.Layout) -> DataFrame:
     return c.select("rec", "region", "notation", text.media_url(DICT, F.col("file")).alias("audio_url"))
 
 
-@parsed(f"WITH {_PANELS}, {_SETS} SELECT rec, CAST(local - 1 AS VARCHAR) AS number, region, notation FROM s")
+@parsed(f"WITH {_PANELS}, {_SETS} SELECT rec, CAST(local - 1 AS VARCHAR) AS number, region, notation FROM s", extract.SOUND_SETS, kept=True)
 def panel_pronunciation_sets(p: extract.Layout) -> DataFrame:
     s = extract.set_sounds(p.nodes)
     return windows.dedupe_first(s, ["rec", "number", "region", "notation", "file"], ["ord"]).select("rec", "number", "region", "notation")
