@@ -315,7 +315,7 @@ def example_text(p: extract.Layout) -> DataFrame:
 
 @parsed(f"""WITH {_PANELS}, {_EXAMPLES}, e AS (SELECT rec, count(*) AS n FROM x GROUP BY rec)
     SELECT rec, CAST(sum(CAST(v % 2 = 0 AS INT)) AS BIGINT) + CAST(any_value(p_partkey) % 3 = 0 AS INT) AS excluded, any_value(e.n) + CAST(sum(CAST(v % 13 = 0 AS INT)) AS BIGINT) AS included FROM v JOIN e USING (rec) GROUP BY rec
-    UNION ALL SELECT p_partkey + 1, CAST(p_partkey % 50 = 40 AS BIGINT), CAST(p_partkey % 50 = 48 AS BIGINT) FROM part WHERE p_partkey % 50 IN (40, 48)""")
+    UNION ALL SELECT p_partkey + 1, CAST(p_partkey % 50 = 40 AS BIGINT), CAST(p_partkey % 50 = 48 AS BIGINT) FROM part WHERE p_partkey % 50 IN (40, 48)""", extract.EXAMPLE_ITEMS)
 def classify_excluded_examples(p: extract.Layout) -> DataFrame:
     n = F.sum(F.when(F.col("excluded"), 1).otherwise(0))
     return extract.example_items(p.nodes).groupBy("rec").agg(n.alias("excluded"), (F.count("*") - n).alias("included"))
