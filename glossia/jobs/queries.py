@@ -343,9 +343,9 @@ _LINKS = """
 """
 
 
-@parsed(f"WITH {_PANELS}, {_LINKS} SELECT rec, target, display, relation FROM l")
+@parsed(f"WITH {_PANELS}, {_LINKS} SELECT rec, target, display, relation FROM l", extract.LINKS)
 def entry_references(p: extract.Layout) -> DataFrame:
-    links = extract.references(p.nodes).where("panel is not null").withColumn("owner", F.coalesce("sense", "child", "panel"))
+    links = extract.references(_dealt(p)).where("panel is not null").withColumn("owner", F.coalesce("sense", "child", "panel"))
     return extract.distinct_references(links, ["rec", "owner"]).select("rec", "target", "display", "relation")
 
 
