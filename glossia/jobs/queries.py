@@ -286,7 +286,7 @@ def merge_pronunciations(p: extract.Layout) -> DataFrame:
 _AUDIO = "a AS (SELECT rec, 'w' || v || '__gb 1.mp3' AS name FROM v UNION ALL SELECT rec, 'aside' || v || '.mp3' FROM v WHERE v % 2 = 0)"
 
 
-@parsed(f"WITH {_PANELS}, {_AUDIO} SELECT rec, name FROM a UNION ALL SELECT p_partkey + 1, '../up.mp3' FROM part WHERE p_partkey % 50 = 41")
+@parsed(f"WITH {_PANELS}, {_AUDIO} SELECT rec, name FROM a UNION ALL SELECT p_partkey + 1, '../up.mp3' FROM part WHERE p_partkey % 50 = 41", extract.AUDIO_LINKS)
 def extract_audio_refs(p: extract.Layout) -> DataFrame:
     return extract.audio_references(p.nodes)
 

@@ -44,7 +44,7 @@ def test_nodes_are_stored_without_moving_them(spark):
 
 
 #: Queries with a profile, and whether what they read is stored.
-NARROW = {"extract_examples": True, "extract_pronunciations": False, "example_text": False, "panel_pronunciation_sets": True, "classify_excluded_examples": False, "entry_references": False}
+NARROW = {"extract_examples": True, "extract_pronunciations": False, "example_text": False, "panel_pronunciation_sets": True, "classify_excluded_examples": False, "entry_references": False, "extract_audio_refs": False}
 
 
 @needs_data
