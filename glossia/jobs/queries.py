@@ -452,8 +452,12 @@ def assemble_entries(p: extract.Layout) -> DataFrame:
     return extract.assemble(p).select("entry_id", "headword", "pos", "entry_type", *[F.size(c).alias(n) for n, c in sizes.items()], "page")
 
 
-@parsed(_WITH + "SELECT (rec << 10) | local AS entry_id, 'saying ' || p_partkey AS headword, 'what is said' AS en FROM ph")
-def promote_phrase_panels(p: extract.Layout) -> DataFrame:
+@query(_WITH + "SELECT (rec << 10) | local AS entry_id, 'saying ' || p_partkey AS headword, 'what is said' AS en FROM ph")
+def promote_phrase_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first pass over all records finds those with phrase panels; they alone are assembled."""
+    first = narrow(spark, sf_dir, extract.PANELS, kept=False)
+    phrases = saved(extract.panels(_dealt(first)).where("is_phrase").select("rec").distinct(), "phrases")
+    p = extract.Layout(derived.nodes(spark, sf_dir, first.buckets, only=phrases), derived.records(spark, sf_dir, first.buckets, phrases), DICT, first.buckets)
     return extract.assemble(p).where("pos = 'idiom'").select("entry_id", "headword", F.col("sense")[0]["definition"]["en"].alias("en"))
 
 

@@ -60,3 +60,20 @@ def test_a_profile_changes_no_row(spark, name, monkeypatch):
         monkeypatch.setattr(derived, "bucketed", None)  # nothing is stored
     got = queries.QUERIES[name](spark, DATA).collect()
     assert sorted(map(repr, got)) == sorted(map(repr, want)) and [kept for _, kept in profiles] == [NARROW[name]]
+
+
+@needs_data
+def test_only_records_with_phrase_panels_are_assembled(spark, monkeypatch):
+    made, layout = [], extract.Layout
+    monkeypatch.setattr(extract, "Layout", lambda *a: made.append(layout(*a)) or made[-1])
+    got = {r.headword for r in queries.QUERIES["promote_phrase_panels"](spark, DATA).collect()}
+    recs = {r.rec for r in made[-1].nodes.select("rec").distinct().collect()}
+    sayings = {k for k in range(derived.table(spark, DATA, "part").count()) if k % 50 < 40 and k % 10 == 9}
+    assert got == {f"saying {k}" for k in sayings}
+    assert {k + 1 for k in sayings} <= recs and all((r - 1) % 10 == 9 or (r - 1) % 50 >= 40 for r in recs)
+
+
+def test_texts_are_kept_where_they_are_asked_for(spark):
+    rows = spark.createDataFrame([(1, '<div class="o-idiom"><b class="o-idm">as one</b><ul class="o-example-list"><li><q class="o-example-eng">it is</q></li></ul></div>')], "record_number long, content string")
+    got = {(r.classes[0] if r.classes else r.tag): (r.text_spaced, r.text_joined) for r in markup.markup_nodes(rows, extract.ENTRY_NODES).collect()}
+    assert got == {"o-idiom": ("", ""), "o-idm": ("as one", ""), "li": ("", ""), "o-example-eng": ("", "it is")}
