@@ -729,8 +729,7 @@ def record_metrics(p: extract.Layout) -> DataFrame:
 def _built(spark: SparkSession, sf_dir: str) -> audit.Build:
     """One build over the markup records and the redirects to them."""
     p = layout(spark, sf_dir)
-    entries = saved(extract.assemble(p), "entries")
-    return audit.Build(p, entries, records.split_redirects(derived.build_redirects(spark, sf_dir))[0])
+    return audit.Build(p, extract.assemble(p), records.split_redirects(derived.build_redirects(spark, sf_dir))[0])
 
 
 _TOTALS = f"""

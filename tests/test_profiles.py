@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glossia.jobs import derived, queries
-from glossia.operators import extract, markup
+from glossia.operators import audit, extract, markup
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
@@ -77,3 +77,24 @@ def test_texts_are_kept_where_they_are_asked_for(spark):
     rows = spark.createDataFrame([(1, '<div class="o-idiom"><b class="o-idm">as one</b><ul class="o-example-list"><li><q class="o-example-eng">it is</q></li></ul></div>')], "record_number long, content string")
     got = {(r.classes[0] if r.classes else r.tag): (r.text_spaced, r.text_joined) for r in markup.markup_nodes(rows, extract.ENTRY_NODES).collect()}
     assert got == {"o-idiom": ("", ""), "o-idm": ("as one", ""), "li": ("", ""), "o-example-eng": ("", "it is")}
+
+
+CARD = (
+    '<main class="dict-entry"><section class="o-pos-panel"><div class="o-pos-detail"><b class="o-pos-tag">noun</b><article class="o-sense"><div class="o-sense-define">'
+    '<p class="o-def-eng">thing</p><p class="o-def-simp">物</p></div></article></div></section><header class="o-head-main"><em class="o-h">{0}</em></header></main>'
+)
+
+
+def cards(spark):
+    rows = spark.createDataFrame([(i + 1, w, CARD.format(w)) for i, w in enumerate(("one", "two"))], "record_number long, key string, content string")
+    return extract.Layout(extract.placed(markup.markup_nodes(rows)), rows, "dict")
+
+
+def test_entries_of_a_build_and_counters_are_worked_out_once(spark):
+    x = cards(spark)
+    twice = extract.assemble(x).where("rec = 1").withColumn("rec", F.lit(5).cast("long"))
+    b = audit.Build(x, extract.assemble(x).unionByName(twice), spark.createDataFrame([], "record_number long, source string, target string"))
+    assert [(r.entry_id, r.rec) for r in b.entries.orderBy("rec").collect()] == [(1025, 1), (2049, 2)]
+    assert [(r.entry_id, r.rec) for r in b.collisions.collect()] == [(1025, 5)]
+    assert "Window" not in b.entries._jdf.queryExecution().executedPlan().toString()  # ids were ranked before
+    assert x.metrics is x.metrics and "Join" not in x.metrics._jdf.queryExecution().executedPlan().toString()
