@@ -811,13 +811,13 @@ def publish_builds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _part_of(b: audit.Build, kept: DataFrame, led: DataFrame) -> audit.Build:
-    """A build over some of the records of another, and the redirects that still lead somewhere."""
+    """A build over some of the records of another, with their entries, and the redirects that still lead somewhere."""
     x = b.layout
-    own = x.records.join(kept.withColumnRenamed("rec", "record_number"), "record_number", "left_semi")
-    part = extract.Layout(x.nodes.join(kept, "rec", "left_semi"), saved(own, "records"), DICT, x.buckets)
+    own = saved(x.records.join(kept.withColumnRenamed("rec", "record_number"), "record_number", "left_semi").select("record_number", "key"), "records")
+    part = x.part(kept, own)
     direct = own.select(text.normalize_headword(F.col("key")).alias("key"), F.col("record_number").alias("entry_id"))
     lost = redirects.unresolved(led, direct).select("record_number")
-    return audit.Build(part, saved(extract.assemble(part), "entries"), saved(led.join(lost, "record_number", "left_anti"), "led"))
+    return audit.Build(part, b.entries.join(kept, "rec", "left_semi"), saved(led.join(lost, "record_number", "left_anti"), "led"))
 
 
 @query("""

@@ -98,3 +98,15 @@ def test_entries_of_a_build_and_counters_are_worked_out_once(spark):
     assert [(r.entry_id, r.rec) for r in b.collisions.collect()] == [(1025, 5)]
     assert "Window" not in b.entries._jdf.queryExecution().executedPlan().toString()  # ids were ranked before
     assert x.metrics is x.metrics and "Join" not in x.metrics._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_part_of_a_layout_is_filtered(spark, monkeypatch):
+    x = cards(spark)
+    second = x.records.where("record_number = 2")
+    want = extract.assemble(extract.Layout(x.nodes.where("rec = 2"), second, "dict")).collect()
+    x.metrics, x.failed  # noqa: B018
+    for name in ("headwords", "panels", "senses", "parsed_boxes", "parsed_senses", "child_rows", "supplemental", "failures", "record_metrics"):
+        monkeypatch.setattr(extract, name, None)  # not called again
+    part = x.part(spark.createDataFrame([(2,)], "rec long"), second)
+    assert extract.assemble(part).collect() == want and [r.rec for r in want] == [2]
+    assert [r.rec for r in part.metrics.collect()] == [2]
